@@ -5,7 +5,8 @@ payloads; the largest page id of a digest becomes the ``response``, and other
 captures of at least ``min_bytes`` become ``revisit`` records that refer to it and
 carry no payload.  Each record gets fresh headers and is written by Spark's text
 writer with the line separator CR LF CR LF, which is how a WARC record ends, so
-archives go through Spark's commit protocol to any store it can write.
+archives go through Spark's commit protocol to any store it can write.  Each file is
+compressed as one gzip stream.
 
 Reading: archives are parsed by Content-Length (the payload may hold any bytes),
 payload length and digest are taken from the bytes read, and revisit records are
@@ -21,6 +22,7 @@ type; an empty table gives an empty result.  Extra columns are not archived.
 from __future__ import annotations
 
 import base64
+import gzip
 import hashlib
 from collections.abc import Iterator
 
@@ -86,7 +88,7 @@ def records(resolved: DataFrame, date: str = "2024-01-01T00:00:00Z") -> DataFram
 def write_archives(pages: DataFrame, path: str, min_bytes: int = 0, records_per_file: int = 2000) -> None:
     """Writes ``pages`` as deduplicated archives, each of at most ``records_per_file`` records."""
     records(resolve_revisits(pages, min_bytes)).write.option("lineSep", CRLF * 2).option("maxRecordsPerFile", records_per_file).option(
-        "compression", "none"
+        "compression", "gzip"
     ).text(path)
 
 
@@ -116,7 +118,7 @@ def _parse_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
     for batch in batches:
         for content in batch.column(0):
             rows = []
-            for headers, block in parse_archive(content.as_py()):
+            for headers, block in parse_archive(gzip.decompress(content.as_py())):
                 kind = headers["warc-type"]
                 size = digest = None
                 if kind == "response":
