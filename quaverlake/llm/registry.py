@@ -6,12 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, source_mixing, warc
+from . import embedding_join, exact_dedup, simhash_dedup, source_mixing, warc
 
 MODULES = {
+    "op4_embedding_join": embedding_join,
     "op6_exact_dedup": exact_dedup,
     "op8_source_mixing": source_mixing,
     "op9_warc_revisits": warc,
+    "op10_simhash_dedup": simhash_dedup,
 }
 
 
