@@ -6,11 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import embedding_join, exact_dedup, simhash_dedup, source_mixing, warc
+from . import embedding_join, exact_dedup, language_id, secret_scan, simhash_dedup, source_mixing, toxicity, warc
 
 MODULES = {
+    "op1_language_id": language_id,
     "op4_embedding_join": embedding_join,
+    "op5_secret_scan": secret_scan,
     "op6_exact_dedup": exact_dedup,
+    "op7_toxicity": toxicity,
     "op8_source_mixing": source_mixing,
     "op9_warc_revisits": warc,
     "op10_simhash_dedup": simhash_dedup,
