@@ -323,7 +323,8 @@ def query(spark, sf_dir: str) -> DataFrame:
     docs = find_secrets(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "spans")
     written = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
     base = F.filter("spans", lambda s: s["kind"].isin(*BASE_KINDS))
-    counts = {f"n_{k}": F.size(F.filter("spans", lambda s, k=k: s["kind"] == k)).cast("long") for k in BASE_KINDS}
+    of_kind = lambda k: F.size(F.filter("spans", lambda s: s["kind"] == k)).cast("long")
+    counts = {f"n_{k}": of_kind(k) for k in BASE_KINDS}
     return docs.select(
         "doc_id", *[c.alias(n) for n, c in counts.items()], F.sha2(written(base), 256).alias("base_sha256"), written(F.col("spans")).alias("spans")
     )
