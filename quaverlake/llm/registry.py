@@ -6,10 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import embedding_join, exact_dedup, language_id, secret_scan, simhash_dedup, source_mixing, toxicity, warc
+from . import bpe, embedding_join, exact_dedup, language_id, secret_scan, simhash_dedup, source_mixing, token_files, toxicity, warc
 
 MODULES = {
     "op1_language_id": language_id,
+    "op2_token_files": token_files,
+    "op3_bpe_codec": bpe,
     "op4_embedding_join": embedding_join,
     "op5_secret_scan": secret_scan,
     "op6_exact_dedup": exact_dedup,
