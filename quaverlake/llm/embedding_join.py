@@ -91,24 +91,28 @@ def _join_blocks(key: tuple, rows: pd.DataFrame, least: float) -> pd.DataFrame:
     right = np.flatnonzero(rows["visitor"] == visiting) if visiting else np.flatnonzero(rows["block"] == two)
     same = not visiting and one == two
     single = units.astype(np.float32)
-    links, seen = np.zeros(n, dtype=np.int64), []
-    for at in range(0, len(left), 512):
-        part = left[at : at + 512]
-        cos = single[part] @ single[right].T
-        i, j = np.nonzero(cos >= least - MARGIN)
-        i, j, sure = part[i], right[j], cos[i, j] >= least + MARGIN
-        if same:
-            ahead = i < j
-            i, j, sure = i[ahead], j[ahead], sure[ahead]
-        doubt = np.flatnonzero(~sure)
-        sure[doubt] = np.einsum("ij,ij->i", units[i[doubt]], units[j[doubt]]) >= least
-        i, j = i[sure], j[sure]
-        np.add.at(links, i, weight[j])
-        np.add.at(links, j, weight[i])
-        cuts = np.flatnonzero(np.diff(i)) + 1
-        seen += [(int(a[0]), b) for a, b in zip(np.split(i, cuts), np.split(j, cuts), strict=True) if len(a)]
+    links = np.zeros(n, dtype=np.int64)
+
+    def found():
+        for at in range(0, len(left), 512):
+            part = left[at : at + 512]
+            cos = single[part] @ single[right].T
+            i, j = np.nonzero(cos >= least - MARGIN)
+            i, j, sure = part[i], right[j], cos[i, j] >= least + MARGIN
+            if same:
+                ahead = i < j
+                i, j, sure = i[ahead], j[ahead], sure[ahead]
+            doubt = np.flatnonzero(~sure)
+            sure[doubt] = np.einsum("ij,ij->i", units[i[doubt]], units[j[doubt]]) >= least
+            i, j = i[sure], j[sure]
+            np.add.at(links, i, weight[j])
+            np.add.at(links, j, weight[i])
+            cuts = np.flatnonzero(np.diff(i)) + 1
+            yield from ((int(a[0]), b) for a, b in zip(np.split(i, cuts), np.split(j, cuts), strict=True) if len(a))
+
     ids = rows["class_id"].to_numpy()
-    tree = np.array(forest(n, seen), dtype=np.int64).reshape(-1, 2)
+    # the forest takes links as they are found, so that a dense cell's are never held together
+    tree = np.array(forest(n, found()), dtype=np.int64).reshape(-1, 2)
     counted = np.flatnonzero(links)
     return pd.DataFrame(
         {
