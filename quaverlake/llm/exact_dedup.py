@@ -5,8 +5,8 @@ and keeps the positions that two or more rows hit: a counting Bloom filter cut
 off at two.  Pass two tests every row.  A hash that occurs twice has all its
 positions in the filter, so a row with a position outside it is unique and
 passes straight through; only the other rows shuffle, to be grouped by the
-SHA-256 of their text.  False positives cost a shuffled row, never a wrong
-result.
+SHA-256 of their text; the rows of a large group are dealt by id instead.  False
+positives cost a shuffled row, never a wrong result.
 
 The filter is broadcast as 4 KB bitmaps.  Its size is bounded by
 ``max_filter_bits`` (32 MB by default), whatever the input: beyond about
@@ -24,7 +24,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ASCII_SPACE, cut, table
+from .common import ASCII_SPACE, cut, join_groups, table
 
 PROBES = 2
 #: Bits of one bitmap of the bitmap functions.
@@ -74,12 +74,13 @@ def mark_possible_repeats(rows: DataFrame, digest: str, bits: int, bitmaps: Data
 
 def group_by_digest(rows: DataFrame, id_col: str, digest: str, max_filter_bits: int) -> DataFrame:
     """``rows`` with ``__keep_id`` and ``__group_size``."""
-    bits = filter_bits(rows.count(), max_filter_bits)
+    total = rows.count()
+    bits = filter_bits(total, max_filter_bits)
     tested = mark_possible_repeats(rows, digest, bits, repeat_filter(rows.select(digest), digest, bits))
     maybe, unique = tested.where("__maybe").drop("__maybe"), tested.where("NOT __maybe").drop("__maybe")
     # min() skips null ids, so a null id is kept only where the group has no other
-    groups = maybe.groupBy(F.col(digest).alias("__digest")).agg(F.min(id_col).alias("__keep_id"), F.count(F.lit(1)).alias("__group_size"))
-    grouped = maybe.join(groups, F.col(digest) == F.col("__digest")).drop("__digest")
+    groups = maybe.groupBy(digest).agg(F.min(id_col).alias("__keep_id"), F.count(F.lit(1)).alias("__group_size")).withColumn("__rows", F.col("__group_size"))
+    grouped = join_groups(maybe, groups, digest, total, F.col(id_col))
     passed = unique.withColumns({"__keep_id": F.col(id_col), "__group_size": F.lit(1).cast("long")})
     return grouped.unionByName(passed)
 

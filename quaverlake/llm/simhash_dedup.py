@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, table
+from .common import cut, join_groups, table
 from .graph import connected_components, forest
 
 SEED = 42
@@ -142,7 +142,7 @@ def group_documents(hashed: DataFrame, id_col: str = "doc_id", distance: int = 2
     ``verify`` filters links: it gets them with the least ids of both classes
     (``a``, ``b``, ``a_id``, ``b_id``) and returns those to keep.
     """
-    classes = cut(hashed.groupBy("fp").agg(F.min(id_col).alias("least")))
+    classes = cut(hashed.groupBy("fp").agg(F.min(id_col).alias("least"), F.count(F.lit(1)).alias("__rows")))
     links = near_pairs(classes.select("fp"), distance, segments)
     if verify is not None:
         ids = [classes.select(F.col("fp").alias(c), F.col("least").alias(f"{c}_id")) for c in "ab"]
@@ -151,8 +151,9 @@ def group_documents(hashed: DataFrame, id_col: str = "doc_id", distance: int = 2
     linked = cut(members.join(classes, "fp"))
     least = linked.groupBy("root").agg(F.min("least").alias("component"))
     named = linked.join(least, "root").select("fp", "component")
-    ids = classes.join(named, "fp", "left").select("fp", F.coalesce("component", "least").alias("component_id"))
-    return hashed.join(ids, "fp")
+    ids = classes.join(named, "fp", "left").select("fp", "__rows", F.coalesce("component", "least").alias("component_id"))
+    total = classes.agg(F.sum("__rows")).first()[0] or 0
+    return join_groups(hashed, ids, "fp", total, F.col(id_col))
 
 
 def hash_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3) -> DataFrame:

@@ -12,9 +12,10 @@ offset of the source, and a document is emitted once for each integer boundary
 crossed.  Size classes (an eighth of a power of two) keep the words taken within
 a few documents of the target.
 
-A source may hold most rows, so its prefix sum has two levels: rows are numbered
-within blocks of (source, size class, id modulo ``blocks``), and block counts,
-one small row each, are summed ahead of them.
+A source may hold most rows, so its prefix sum has three levels: rows are numbered
+within blocks of (source, size class, id modulo ``blocks``), and counts of blocks
+within their class and of classes within their source, one small row each, are
+summed ahead of them.
 
 Defined cases: null text has size 0; documents of size 0 are numbered like the
 others, and take 0 words; a source whose sizes are all 0 has target 0 and no
@@ -73,8 +74,14 @@ def source_targets(sized: DataFrame, max_repeat: int) -> DataFrame:
 def block_starts(slim: DataFrame, max_repeat: int) -> DataFrame:
     """One row per block: the rows of its source ahead of it, and its source's figures."""
     counts = slim.groupBy(*BLOCK).agg(F.count(F.lit(1)).alias("__rows"))
-    ahead = Window.partitionBy("__source").orderBy("__class", "__block").rowsBetween(Window.unboundedPreceding, -1)
-    summed = counts.withColumn("__ahead", F.coalesce(F.sum("__rows").over(ahead), F.lit(0))).drop("__rows")
+    previous = (Window.unboundedPreceding, -1)
+    # prefix sums of blocks within a class, and of classes within a source: a source has a few hundred classes
+    in_class = Window.partitionBy("__source", "__class").orderBy("__block").rowsBetween(*previous)
+    in_source = Window.partitionBy("__source").orderBy("__class").rowsBetween(*previous)
+    classes = counts.groupBy("__source", "__class").agg(F.sum("__rows").alias("__class_rows"))
+    classes = classes.withColumn("__classes_ahead", F.coalesce(F.sum("__class_rows").over(in_source), F.lit(0))).drop("__class_rows")
+    summed = counts.withColumn("__blocks_ahead", F.coalesce(F.sum("__rows").over(in_class), F.lit(0))).join(classes, ["__source", "__class"])
+    summed = summed.select(*BLOCK, (F.col("__blocks_ahead") + F.col("__classes_ahead")).alias("__ahead"))
     return summed.join(source_targets(slim, max_repeat), "__source")
 
 

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import new_folder, table
+from .common import join_groups, new_folder, table
 
 CRLF = "\r\n"
 #: RFC 4648 digits, and the digits that conv() writes in base 32.
@@ -51,13 +51,11 @@ def resolve_revisits(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
     """``page_id``, ``url``, ``payload``, ``digest``, and ``original_id`` where the record is a revisit."""
     payload = F.coalesce(F.col("html"), F.lit(""))
     captures = pages.select("page_id", "url", payload.alias("payload"), sha1_base32(payload.cast("binary")).alias("digest"))
-    headers = captures.groupBy("digest").agg(F.max("page_id").alias("latest"), F.count(F.lit(1)).alias("captures"))
+    headers = captures.groupBy("digest").agg(F.max("page_id").alias("latest"), F.count(F.lit(1)).alias("__rows"))
     # most digests have one capture: only those of several need the join
-    shared = headers.where("captures > 1").select("digest", "latest")
+    joined = join_groups(captures, headers.where("__rows > 1"), "digest", pages.count(), F.col("page_id"))
     small = F.octet_length("payload") < min_bytes
-    return captures.join(shared, "digest", "left").withColumn(
-        "original_id", F.when(~small & ~F.col("page_id").eqNullSafe(F.col("latest")), F.col("latest"))
-    ).drop("latest")
+    return joined.withColumn("original_id", F.when(~small & ~F.col("page_id").eqNullSafe(F.col("latest")), F.col("latest"))).drop("latest")
 
 
 def _record_id(page_id: Column) -> Column:
