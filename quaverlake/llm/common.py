@@ -55,13 +55,14 @@ def join_groups(rows: DataFrame, groups: DataFrame, key: str, total: int, salt:
 
     A key with over a thousandth of all ``total`` rows is hot: there are fewer than
     ``HOT_KEYS``, so these are broadcast, and their rows are dealt by ``salt`` where
-    the others are dealt by key.  Keys are not null.
+    the others are dealt by key.  (A constant in its place would be folded away, and
+    all rows dealt by key.)  Keys are not null.
     """
     values = [c for c in groups.columns if c not in (key, "__rows")]
     is_hot = F.col("__rows") * HOT_KEYS > total
     hot = groups.where(is_hot).select(F.col(key).alias("__hot_key"), *[F.col(c).alias(f"__hot_{k}") for k, c in enumerate(values)])
-    cold = groups.where(~is_hot).select(F.col(key).alias("__cold_key"), F.lit(0).cast("long").alias("__cold_salt"), *[F.col(c).alias(f"__cold_{k}") for k, c in enumerate(values)])
-    met = rows.join(F.broadcast(hot), F.col(key) == F.col("__hot_key"), "left").withColumn("__salt", F.when(F.col("__hot_key").isNotNull(), F.xxhash64(salt)).otherwise(F.lit(0)))
+    cold = groups.where(~is_hot).select(F.col(key).alias("__cold_key"), F.xxhash64(key).alias("__cold_salt"), *[F.col(c).alias(f"__cold_{k}") for k, c in enumerate(values)])
+    met = rows.join(F.broadcast(hot), F.col(key) == F.col("__hot_key"), "left").withColumn("__salt", F.when(F.col("__hot_key").isNotNull(), F.xxhash64(salt)).otherwise(F.xxhash64(key)))
     joined = met.join(cold, (F.col(key) == F.col("__cold_key")) & (F.col("__salt") == F.col("__cold_salt")), "left")
     return joined.select(*rows.columns, *[F.coalesce(f"__hot_{k}", f"__cold_{k}").alias(c) for k, c in enumerate(values)])
 
