@@ -254,7 +254,8 @@ def read_token_files(files: DataFrame) -> DataFrame:
 
 
 def _spread(files: DataFrame) -> DataFrame:
-    return files.select("path", "offset").repartition(F.col("path"))
+    # by a stated number, or the few bytes of the paths would all be dealt to one task
+    return files.select("path", "offset").repartition(max(1, min(files.count(), 10000)), F.col("path"))
 
 
 def _documents(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[list, list[int], list[np.ndarray]]]:
