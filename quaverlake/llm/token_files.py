@@ -27,6 +27,7 @@ import json
 import re
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -138,7 +139,18 @@ class TokenFile:
         return int(decode_at(self.levels, np.array([at]))[0])
 
     def slice(self, start: int, stop: int) -> np.ndarray:
-        return decode_at(self.levels, np.arange(start, stop))
+        """Consecutive ids: their chunks are consecutive in each level."""
+        out, which, shift, at = np.zeros(stop - start, dtype=np.uint32), np.arange(stop - start), 0, start
+        for bits, (stored, bitmap, ranks) in zip(self.header["chunks"], self.levels, strict=True):
+            if not len(which):
+                break
+            out[which] |= unpack(stored, bits, np.arange(at, at + len(which))).astype(np.uint32) << np.uint32(shift)
+            covering = np.unpackbits(bitmap[at >> 3 : (at + len(which) + 7) >> 3], bitorder="little")
+            on = covering[at & 7 : (at & 7) + len(which)].astype(bool)
+            which, shift = which[on], shift + bits
+            if len(which):
+                at = int(rank(bitmap, ranks, np.array([at]))[0])
+        return out
 
 
 # --- tokens of texts -------------------------------------------------------
@@ -148,29 +160,55 @@ OTHER_SPACE = "\t-\r\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 SPACE = " " + OTHER_SPACE
 #: Pieces at whose borders the pattern always splits.
 PIECES = re.compile(f" ?[^{SPACE}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+")
+#: A word of Latin letters, which the pattern takes whole, and punctuation after it, which it takes apart.
+WORD = re.compile("( ?[A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\u024f]+)([!-&(-/:-@\\[-`{-~]*)")
 #: White space other than single spaces and single line ends.
 ODD_SPACE = re.compile(f"[{SPACE}][{SPACE}]|[{OTHER_SPACE}](?<!\n)|[{SPACE}]\\Z")
 
 
+def byte_characters() -> dict[int, int]:
+    """The character that stands for each byte: printable Latin-1 for itself, others from U+0100 on."""
+    plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    others = [b for b in range(256) if b not in plain]
+    return {b: b for b in plain} | {b: 0x100 + k for k, b in enumerate(others)}
+
+
 class PieceCache(dict):
     """Token ids of the pieces of texts, as little-endian bytes, up to a bound.
 
-    The library encodes each piece once; a text is then a join of its pieces.
+    The library encodes each piece once; a text is then a join of its pieces.  Of a
+    plain word the library's model is asked at once, as its pattern cannot split it.
+    When the cache is full, it becomes the older one, and what is met again moves on
+    from there.
     """
 
     def __init__(self, path: str):
         super().__init__()
         self.library = Tokenizer.from_file(path)
         self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
+        self.tokenize = self.library.model.tokenize
+        self.characters = byte_characters()
+        self.older: dict[str, bytes] = {}
 
     def whole(self, text: str) -> bytes:
-        return np.array(self.library.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
+        return array("I", self.library.encode(text, add_special_tokens=False).ids).tobytes()
+
+    def fresh(self, piece: str) -> bytes:
+        word = WORD.fullmatch(piece)
+        if word:
+            if word[2]:
+                return self[word[1]] + self[word[2]]
+            return array("I", [t.id for t in self.tokenize(piece.encode().decode("latin-1").translate(self.characters))]).tobytes()
+        if piece[0] == "\n" and len(piece) > 1 and not ODD_SPACE.match(piece):
+            return self["\n"] + self[piece[1:]]
+        return self.whole(piece)
 
     def __missing__(self, piece: str) -> bytes:
+        found = self.older.get(piece) or self.fresh(piece)
         if len(self) >= CACHE:
+            self.older = dict(self)
             self.clear()
-        line = piece[0] == "\n" and len(piece) > 1 and not ODD_SPACE.match(piece)
-        found = self[piece] = self.whole("\n") + self.whole(piece[1:]) if line else self.whole(piece)
+        self[piece] = found
         return found
 
     def encode(self, text: str) -> bytes:
