@@ -162,8 +162,16 @@ SPACE = " " + OTHER_SPACE
 PIECES = re.compile(f" ?[^{SPACE}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+")
 #: A word of Latin letters, which the pattern takes whole, and punctuation after it, which it takes apart.
 WORD = re.compile("( ?[A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\u024f]+)([!-&(-/:-@\\[-`{-~]*)")
-#: White space other than single spaces and single line ends.
-ODD_SPACE = re.compile(f"[{SPACE}][{SPACE}]|[{OTHER_SPACE}](?<!\n)|[{SPACE}]\\Z")
+#: Each of the white space but for the space and the line end.
+RARE_SPACE = [c for c in map(chr, range(0x3001)) if c != "\n" and re.match(f"[{OTHER_SPACE}]", c)]
+SPACES = frozenset([" ", "\n", *RARE_SPACE])
+#: Before a piece that follows no white space; others without any follow a space.
+FIRST = "\t"
+
+
+def is_odd(text: str) -> bool:
+    """Whether white space is other than single spaces and line ends between words, or a line end before the first."""
+    return text[:1] == " " or text[-1:] in (" ", "\n") or any(s in text for s in ("  ", "\n\n", " \n", "\n ", *RARE_SPACE))
 
 
 def byte_characters() -> dict[int, int]:
@@ -193,14 +201,18 @@ class PieceCache(dict):
     def whole(self, text: str) -> bytes:
         return array("I", self.library.encode(text, add_special_tokens=False).ids).tobytes()
 
-    def fresh(self, piece: str) -> bytes:
+    def fresh(self, key: str) -> bytes:
+        if key[0] == FIRST and len(key) > 1 and key[1] not in SPACES:
+            piece = key[1:]
+        else:
+            piece = key if key[0] in SPACES else " " + key
         word = WORD.fullmatch(piece)
         if word:
             if word[2]:
-                return self[word[1]] + self[word[2]]
+                return self[word[1][1:] if piece[0] == " " else FIRST + word[1]] + self[FIRST + word[2]]
             return array("I", [t.id for t in self.tokenize(piece.encode().decode("latin-1").translate(self.characters))]).tobytes()
-        if piece[0] == "\n" and len(piece) > 1 and not ODD_SPACE.match(piece):
-            return self["\n"] + self[piece[1:]]
+        if piece[0] == "\n" and len(piece) > 1 and piece[1] not in SPACES:
+            return self["\n"] + self[FIRST + piece[1:]]
         return self.whole(piece)
 
     def __missing__(self, piece: str) -> bytes:
@@ -214,14 +226,12 @@ class PieceCache(dict):
     def encode(self, text: str) -> bytes:
         if any(s in text for s in self.special):
             return self.whole(text)
-        if ODD_SPACE.search(text) or text[:1] == " ":
-            return b"".join(map(self.__getitem__, PIECES.findall(text)))
+        if is_odd(text):
+            return b"".join(map(self.__getitem__, [p if p[0] in SPACES else FIRST + p for p in PIECES.findall(text)]))
         # single spaces and line ends only: each space belongs to the word after it
-        first, *others = text.replace("\n", " \n").split(" ") if text else ("",)
-        if not others:
-            return self[first] if first else b""
-        pieces = [x if x[:1] == "\n" else " " + x for x in others]
-        return (self[first] if first else b"") + b"".join(map(self.__getitem__, pieces))
+        first, _, others = text.replace("\n", " \n").partition(" ")
+        begin = self[FIRST + first] if first else b""
+        return begin + b"".join(map(self.__getitem__, others.split(" "))) if others else begin
 
 
 @functools.cache
