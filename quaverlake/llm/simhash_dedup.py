@@ -90,11 +90,38 @@ def chains(segments: int, distance: int) -> tuple[list[int], list[list[tuple[int
     return exact, longer
 
 
-def _near_in_block(key: tuple, rows: pd.DataFrame, distance: int) -> pd.DataFrame:
-    """Connecting links among the fingerprints of one block, or between those of two."""
+#: A set's hashes by their low byte, each bit the parity of a count: two sets differ in at least as many members as bits.
+PARITY = ["p0", "p1", "p2", "p3"]
+
+
+def _may_reach(similarity: float) -> Column:
+    """False only where the sets of ``a_`` and ``b_`` columns surely have a lower Jaccard similarity, or are in one part already."""
+    least, most = F.least("a_n", "b_n"), F.greatest("a_n", "b_n")
+    differ = sum((F.bit_count(F.col(f"a_{p}").bitwiseXOR(F.col(f"b_{p}"))) for p in PARITY), F.lit(0))
+    bound = (1 - similarity) / (1 + similarity) * (F.col("a_n") + F.col("b_n")) + 1e-6
+    return (F.col("a_part") != F.col("b_part")) & (least + 1e-6 >= similarity * most) & (differ <= bound)
+
+
+#: A set's hashes by their low byte, each bit the parity of a count: two sets differ in at least as many members as bits.
+PARITY = ["p0", "p1", "p2", "p3"]
+
+
+def _may_reach(similarity: float) -> Column:
+    """False only where the sets of ``a_`` and ``b_`` columns surely have a lower Jaccard similarity, or are in one part already."""
+    least, most = F.least("a_n", "b_n"), F.greatest("a_n", "b_n")
+    differ = sum((F.bit_count(F.col(f"a_{p}").bitwiseXOR(F.col(f"b_{p}"))) for p in PARITY), F.lit(0))
+    bound = (1 - similarity) / (1 + similarity) * (F.col("a_n") + F.col("b_n")) + 1e-6
+    return (F.col("a_part") != F.col("b_part")) & (least + 1e-6 >= similarity * most) & (differ <= bound)
+
+
+def _near_in_block(key: tuple, rows: pd.DataFrame, distance: int, similarity: float | None = None) -> pd.DataFrame:
+    """Links among the rows of one block, or between those of two: enough to connect them or, with ``similarity``, all that may reach it."""
     a, b = key[-2:]
     fp = rows["fp"].to_numpy().view(np.uint64)
     one, other = np.flatnonzero(rows["block"] == a), np.flatnonzero(rows["block"] == b)
+    if similarity is not None:
+        n, part = rows["n"].to_numpy(), rows["part"].to_numpy()
+        parity = rows[PARITY].to_numpy().view(np.uint64)
 
     def links():
         for k, i in enumerate(one):
@@ -104,49 +131,59 @@ def _near_in_block(key: tuple, rows: pd.DataFrame, distance: int) -> pd.DataFram
             if len(near):
                 yield int(i), rest[near[np.argsort(apart[near], kind="stable")]]
 
-    kept = np.array(forest(len(fp), links()), dtype=np.int64).reshape(-1, 2)
-    signed = fp.view(np.int64)
-    return pd.DataFrame({"a": signed[kept[:, 0]], "b": signed[kept[:, 1]]})
+    def hopeful():
+        for i, near in links():
+            differ = np.bitwise_count(parity[near] ^ parity[i]).sum(axis=1, dtype=np.int64)
+            fits = (part[near] != part[i]) & (np.minimum(n[near], n[i]) + 1e-6 >= similarity * np.maximum(n[near], n[i]))
+            near = near[fits & (differ <= (1 - similarity) / (1 + similarity) * (n[near] + n[i]) + 1e-6)]
+            if len(near):
+                yield np.stack([np.full(len(near), i), near], axis=1)
+
+    if similarity is None:
+        name, kept = fp.view(np.int64), np.array(forest(len(fp), links()), dtype=np.int64).reshape(-1, 2)
+    else:
+        name, kept = rows["node"].to_numpy(), np.concatenate([np.empty((0, 2), dtype=np.int64), *hopeful()])
+    return pd.DataFrame({"a": name[kept[:, 0]], "b": name[kept[:, 1]]})
 
 
-def near_pairs(classes: DataFrame, distance: int = 2, segments: int = 5, max_bucket: int = 64, block: int = 4096) -> DataFrame:
-    """Links (``a``, ``b``) between fingerprints (column ``fp``, distinct) that connect all that are linked."""
+def near_pairs(
+    classes: DataFrame, distance: int = 2, segments: int = 5, max_bucket: int = 64, block: int = 4096, similarity: float | None = None
+) -> DataFrame:
+    """Links (``a``, ``b``) between fingerprints (column ``fp``, distinct) that connect all that are linked.
+
+    With ``similarity``: all links between nodes (columns ``node``, ``fp``, ``n``, ``part``
+    and ``PARITY``; nodes are distinct) of different parts, but those that surely fall below it.
+    """
     if segments <= distance:
         raise ValueError("the ring needs more pieces than the distance has bits")
+    node, carried = ("fp", ["fp"]) if similarity is None else ("node", ["node", "fp", "n", "part", *PARITY])
     exact, longer = chains(segments, distance)
     starts = F.array(*[F.struct(F.lit(k).alias("start"), F.col("fp").bitwiseAND(F.lit(_signed(m))).alias("key")) for k, m in enumerate(exact)])
-    keyed = classes.select("fp", F.explode(starts).alias("at")).select("fp", "at.start", "at.key")
+    keyed = classes.select(*carried, F.explode(starts).alias("at")).select(*carried, "at.start", "at.key")
     sizes = keyed.groupBy("start", "key").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
     shared = cut(keyed.join(sizes, ["start", "key"]))
-    left = shared.where(F.col("size") <= max_bucket).select("start", "key", F.col("fp").alias("a"))
-    right = left.withColumnRenamed("a", "b")
-    differ = F.col("a").bitwiseXOR(F.col("b"))
-    passes = F.lit(True)
+    left, right = (shared.where(F.col("size") <= max_bucket).select("start", "key", *[F.col(c).alias(f"{x}_{c}") for c in carried]) for x in "ab")
+    differ = F.col("a_fp").bitwiseXOR(F.col("b_fp"))
+    passes = F.lit(True) if similarity is None else _may_reach(similarity)
     for length in range(len(longer[0])):
         masks = F.array(*[F.lit(_signed(longer[k][length][0])) for k in range(segments)])
         passes = passes & (F.bit_count(differ.bitwiseAND(F.element_at(masks, F.col("start") + 1))) <= longer[0][length][1])
-    pairs = left.join(right, ["start", "key"]).where((F.col("a") < F.col("b")) & passes & (F.bit_count(differ) <= distance)).select("a", "b")
+    pairs = left.join(right, ["start", "key"]).where((F.col(f"a_{node}") < F.col(f"b_{node}")) & passes & (F.bit_count(differ) <= distance))
+    pairs = pairs.select(F.col(f"a_{node}").alias("a"), F.col(f"b_{node}").alias("b"))
     blocks = F.ceil(F.col("size") / block).cast("int")
-    large = shared.where(F.col("size") > max_bucket).withColumn("block", F.pmod(F.xxhash64("fp", "start"), blocks).cast("int"))
-    dealt = large.select("start", "key", "fp", "block", F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other"))
-    grouped = dealt.select("start", "key", "fp", "block", F.least("block", "other").alias("one"), F.greatest("block", "other").alias("two"))
+    large = shared.where(F.col("size") > max_bucket).withColumn("block", F.pmod(F.xxhash64(node, "start"), blocks).cast("int"))
+    dealt = large.select("start", "key", *carried, "block", F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other"))
+    grouped = dealt.select("start", "key", *carried, "block", F.least("block", "other").alias("one"), F.greatest("block", "other").alias("two"))
     found = grouped.groupBy("start", "key", "one", "two").applyInPandas(
-        lambda key, rows: _near_in_block(key, rows, distance), "a long, b long"
+        lambda key, rows: _near_in_block(key, rows, distance, similarity), "a long, b long"
     )
     return pairs.unionByName(found)
 
 
-def group_documents(hashed: DataFrame, id_col: str = "doc_id", distance: int = 2, segments: int = 5, verify=None) -> DataFrame:
-    """``hashed`` (an id and ``fp``) with ``component_id``, the least id of its group.
-
-    ``verify`` filters links: it gets them with the least ids of both classes
-    (``a``, ``b``, ``a_id``, ``b_id``) and returns those to keep.
-    """
+def group_documents(hashed: DataFrame, id_col: str = "doc_id", distance: int = 2, segments: int = 5) -> DataFrame:
+    """``hashed`` (an id and ``fp``) with ``component_id``, the least id of its group."""
     classes = cut(hashed.groupBy("fp").agg(F.min(id_col).alias("least"), F.count(F.lit(1)).alias("__rows")))
     links = near_pairs(classes.select("fp"), distance, segments)
-    if verify is not None:
-        ids = [classes.select(F.col("fp").alias(c), F.col("least").alias(f"{c}_id")) for c in "ab"]
-        links = verify(cut(links.distinct().join(ids[0], "a").join(ids[1], "b")))
     members = connected_components(links).select(F.col("node").alias("fp"), "root")
     linked = cut(members.join(classes, "fp"))
     least = linked.groupBy("root").agg(F.min("least").alias("component"))
@@ -161,46 +198,89 @@ def hash_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return cut(df.select(id_col, fingerprints(F.col(text_col), shingle).alias("fp")))
 
 
+def shingle_set(text: str | None, shingle: int) -> np.ndarray:
+    """The distinct hashes of a text's word shingles, ascending."""
+    words = (text or "").encode("utf-8").lower().split()
+    whole = zip(*[words[k:] for k in range(shingle)], strict=False) if len(words) >= shingle else [words]
+    return np.unique(np.fromiter((xxhash.xxh64_intdigest(b" ".join(w), SEED) for w in whole), dtype=np.uint64))
+
+
+def shingle_set(text: str | None, shingle: int) -> np.ndarray:
+    """The distinct hashes of a text's word shingles, ascending."""
+    words = (text or "").encode("utf-8").lower().split()
+    whole = zip(*[words[k:] for k in range(shingle)], strict=False) if len(words) >= shingle else [words]
+    return np.unique(np.fromiter((xxhash.xxh64_intdigest(b" ".join(w), SEED) for w in whole), dtype=np.uint64))
+
+
 def shingle_hashes(text: Column, shingle: int) -> Column:
     """The distinct hashes of a text's word shingles."""
 
     @F.pandas_udf("array<long>")
     def hashed(batch: pd.Series) -> pd.Series:
-        def one(text: str | None) -> np.ndarray:
-            words = (text or "").encode("utf-8").lower().split()
-            whole = zip(*[words[k:] for k in range(shingle)], strict=False) if len(words) >= shingle else [words]
-            return np.unique(np.fromiter((xxhash.xxh64_intdigest(b" ".join(w), SEED) for w in whole), dtype=np.uint64)).view(np.int64)
-
-        return batch.map(one)
+        return batch.map(lambda text: shingle_set(text, shingle).view(np.int64))
 
     return hashed(text)
 
 
+def sketches(text: Column, words: int, shingle: int) -> Column:
+    """What stands for a text until it is verified: its fingerprint over ``words``, and its shingle set's size and parities."""
+
+    @F.pandas_udf("struct<fp:long,node:long,n:long,p0:long,p1:long,p2:long,p3:long>")
+    def sketched(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out = []
+            for x in batch:
+                members = shingle_set(x, shingle)
+                odd = np.packbits(np.bincount(members & np.uint64(255), minlength=256) & 1, bitorder="little").view(np.int64)
+                fp = fingerprint(x, words)
+                digest = fp
+                out.append((_signed(fp), _signed(digest), len(members), *odd.tolist()))
+            yield pd.DataFrame(out, columns=["fp", "node", "n", *PARITY])
+
+    return sketched(text)
+
+
 def similar_links(docs: DataFrame, links: DataFrame, id_col: str, text_col: str, shingle: int, similarity: float) -> DataFrame:
-    """The ``links`` whose two texts have a Jaccard similarity of ``similarity`` or more in word shingles."""
-    wanted = links.select(F.col("a_id").alias(id_col)).unionByName(links.select(F.col("b_id").alias(id_col))).distinct()
+    """The ``links`` (``a``, ``b``: ids of ``docs``) whose two texts have a Jaccard similarity of ``similarity`` or more in word shingles."""
+    wanted = links.select(F.col("a").alias(id_col)).unionByName(links.select(F.col("b").alias(id_col))).distinct()
     sets = cut(docs.select(id_col, text_col).join(wanted, id_col).select(id_col, shingle_hashes(F.col(text_col), shingle).alias("set")))
-    sides = [sets.select(F.col(id_col).alias(f"{c}_id"), F.col("set").alias(f"{c}_set")) for c in "ab"]
+    sides = [sets.select(F.col(id_col).alias(c), F.col("set").alias(f"{c}_set")) for c in "ab"]
     both = F.size(F.array_intersect("a_set", "b_set"))
     either = F.size("a_set") + F.size("b_set") - both
-    return links.join(sides[0], "a_id").join(sides[1], "b_id").where(both >= similarity * either).select("a", "b")
+    return links.join(sides[0], "a").join(sides[1], "b").where(both >= similarity * either).select("a", "b")
 
 
 def keep_one_per_group(
-    df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 2, distance: int = 8, segments: int = 9, shingle: int = 5, similarity: float = 0.8
+    df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 2, distance: int = 8, segments: int = 9, shingle: int = 5, similarity: float = 0.8,
+    max_bucket: int = 64,
 ) -> DataFrame:
     """``df`` with one row of each group of near copies: the one with the least id.
 
     Near copies have a Jaccard similarity of ``similarity`` or more in ``shingle``-word
     shingles.  Their fingerprints over such long shingles lie too far apart for a
     filter (about 11 of 64 bits at 0.8), so candidates come from fingerprints over
-    shingles of ``words`` words, within ``distance`` bits, and each link is then
-    verified.  Rows with a null id stay; ids are taken to be unique.
+    shingles of ``words`` words, within ``distance`` bits.  All candidates are
+    verified before they are contracted to groups, but those that the sets' sizes or
+    parities already rule out.  Rows with a null id stay; ids are taken to be unique.
     """
-    ids = df.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text")).where("__id IS NOT NULL")
-    hashed = hash_documents(ids, "__id", "__text", words)
-    grouped = group_documents(hashed, "__id", distance, segments, lambda links: similar_links(ids, links, "__id", "__text", shingle, similarity))
-    dropped = grouped.where("__id <> component_id").select("__id")
+    ids = df.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text"), F.xxhash64(text_col).alias("__mark")).where("__id IS NOT NULL")
+    rows = cut(ids.select("__id", "__mark", sketches(F.col("__text"), words, shingle).alias("__sketch")).select("__id", "__mark", "__sketch.*"))
+    same = [F.first(c).alias(c) for c in ("n", *PARITY)]
+    nodes = cut(rows.groupBy("node").agg(F.min("fp").alias("fp"), *same, F.min(F.struct("__id", "__mark")).alias("least"), F.count(F.lit(1)).alias("__rows")))
+    chosen = nodes.select("node", "least.__id", "least.__mark")
+    texts = ids.join(chosen, ["__id", "__mark"]).dropDuplicates(["node"]).select("node", "__text")
+
+    def verified(links: DataFrame) -> DataFrame:
+        tidy = cut(links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+        return similar_links(texts, tidy, "node", "__text", shingle, similarity)
+
+    links = verified(near_pairs(nodes.withColumn("part", F.col("node")), distance, segments, max_bucket, similarity=similarity))
+    roots = connected_components(links)
+    keepers = nodes.join(roots, "node", "left").select("node", "__rows", "least", F.coalesce("root", "node").alias("root"))
+    best = keepers.groupBy("root").agg(F.min("least").alias("keep"))
+    total = nodes.agg(F.sum("__rows")).first()[0] or 0
+    found = join_groups(rows.select("__id", "__mark", "node"), keepers.join(best, "root").select("node", "__rows", "keep"), "node", total, F.col("__id"))
+    dropped = found.where("__id <> keep.__id").select("__id").distinct()
     return df.join(dropped, F.col(id_col) == F.col("__id"), "left_anti")
 
 
