@@ -106,6 +106,18 @@ def _may_reach(similarity: float) -> Column:
 PARITY = ["p0", "p1", "p2", "p3"]
 
 
+def _may_reach(similarity: float) -> Column:
+    """False only where the sets of ``a_`` and ``b_`` columns surely have a lower Jaccard similarity, or are in one part already."""
+    least, most = F.least("a_n", "b_n"), F.greatest("a_n", "b_n")
+    differ = sum((F.bit_count(F.col(f"a_{p}").bitwiseXOR(F.col(f"b_{p}"))) for p in PARITY), F.lit(0))
+    bound = (1 - similarity) / (1 + similarity) * (F.col("a_n") + F.col("b_n")) + 1e-6
+    return (F.col("a_part") != F.col("b_part")) & (least + 1e-6 >= similarity * most) & (differ <= bound)
+
+
+#: A set's hashes by their low byte, each bit the parity of a count: two sets differ in at least as many members as bits.
+PARITY = ["p0", "p1", "p2", "p3"]
+
+
 def _may_reach(similarity: float) -> Column:
     """False only where the sets of ``a_`` and ``b_`` columns surely have a lower Jaccard similarity, or are in one part already."""
     least, most = F.least("a_n", "b_n"), F.greatest("a_n", "b_n")
@@ -212,6 +224,13 @@ def shingle_set(text: str | None, shingle: int) -> np.ndarray:
     return np.unique(np.fromiter((xxhash.xxh64_intdigest(b" ".join(w), SEED) for w in whole), dtype=np.uint64))
 
 
+def shingle_set(text: str | None, shingle: int) -> np.ndarray:
+    """The distinct hashes of a text's word shingles, ascending."""
+    words = (text or "").encode("utf-8").lower().split()
+    whole = zip(*[words[k:] for k in range(shingle)], strict=False) if len(words) >= shingle else [words]
+    return np.unique(np.fromiter((xxhash.xxh64_intdigest(b" ".join(w), SEED) for w in whole), dtype=np.uint64))
+
+
 def shingle_hashes(text: Column, shingle: int) -> Column:
     """The distinct hashes of a text's word shingles."""
 
@@ -223,7 +242,7 @@ def shingle_hashes(text: Column, shingle: int) -> Column:
 
 
 def sketches(text: Column, words: int, shingle: int) -> Column:
-    """What stands for a text until it is verified: its fingerprint over ``words``, and its shingle set's size and parities."""
+    """What stands for a text until it is verified: its fingerprint over ``words``, and of its shingle set a digest (``node``), size and parities."""
 
     @F.pandas_udf("struct<fp:long,node:long,n:long,p0:long,p1:long,p2:long,p3:long>")
     def sketched(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
@@ -233,7 +252,7 @@ def sketches(text: Column, words: int, shingle: int) -> Column:
                 members = shingle_set(x, shingle)
                 odd = np.packbits(np.bincount(members & np.uint64(255), minlength=256) & 1, bitorder="little").view(np.int64)
                 fp = fingerprint(x, words)
-                digest = fp
+                digest = xxhash.xxh64_intdigest(members.tobytes(), SEED)
                 out.append((_signed(fp), _signed(digest), len(members), *odd.tolist()))
             yield pd.DataFrame(out, columns=["fp", "node", "n", *PARITY])
 
@@ -261,7 +280,9 @@ def keep_one_per_group(
     filter (about 11 of 64 bits at 0.8), so candidates come from fingerprints over
     shingles of ``words`` words, within ``distance`` bits.  All candidates are
     verified before they are contracted to groups, but those that the sets' sizes or
-    parities already rule out.  Rows with a null id stay; ids are taken to be unique.
+    parities already rule out.  Rows with a null id stay; rows that repeat an
+    id are told apart by their text, and rows that repeat both are one.  Texts of equal
+    shingle sets (by a 64-bit digest) are one node; equal fingerprints are verified like others.
     """
     ids = df.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text"), F.xxhash64(text_col).alias("__mark")).where("__id IS NOT NULL")
     rows = cut(ids.select("__id", "__mark", sketches(F.col("__text"), words, shingle).alias("__sketch")).select("__id", "__mark", "__sketch.*"))
@@ -280,8 +301,14 @@ def keep_one_per_group(
     best = keepers.groupBy("root").agg(F.min("least").alias("keep"))
     total = nodes.agg(F.sum("__rows")).first()[0] or 0
     found = join_groups(rows.select("__id", "__mark", "node"), keepers.join(best, "root").select("node", "__rows", "keep"), "node", total, F.col("__id"))
-    dropped = found.where("__id <> keep.__id").select("__id").distinct()
-    return df.join(dropped, F.col(id_col) == F.col("__id"), "left_anti")
+    dropped = found.where("__id <> keep.__id OR __mark <> keep.__mark").select("__id", "__mark").distinct()
+    here = (F.col(id_col) == F.col("__id")) & (F.xxhash64(text_col) == F.col("__mark"))
+    kept = df.join(dropped, here, "left_anti")
+    repeated = cut(rows.groupBy("__id", "__mark").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("__id", "__mark"))
+    if repeated.isEmpty():
+        return kept
+    again = kept.join(repeated, here, "left_semi").withColumn("__mark", F.xxhash64(text_col)).dropDuplicates([id_col, "__mark"]).drop("__mark")
+    return kept.join(repeated, here, "left_anti").unionByName(again)
 
 
 def query(spark, sf_dir: str) -> DataFrame:

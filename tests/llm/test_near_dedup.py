@@ -60,3 +60,21 @@ def test_a_star_beyond_a_bucket(spark):
     base = [f"w{k}" for k in rng.integers(0, 5000, 300)]
     rows = [" ".join(edited(base, rng.choice(300, 5, replace=False))) for _ in range(400)]
     check(spark, list(enumerate([*rows, " ".join(base)])), distance=16, segments=17)
+
+
+def test_equal_fingerprints_of_different_texts(spark):
+    rows = [(k, "row " * 120 + " ".join(f"d{k}w{j}" for j in range(60))) for k in range(4)]
+    assert len({simhash_dedup.fingerprint(t, 2) for _, t in rows}) == 1
+    check(spark, rows)
+
+
+def test_repeated_ids_nulls_and_empty_texts(spark):
+    words = [f"w{k}" for k in range(100)]
+    near, other = " ".join(edited(words, [99])), " ".join(f"x{k}" for k in range(100))
+    rows = [(1, " ".join(words)), (2, near), (2, other), (3, None), (4, ""), (5, " "), (6, other), (6, other)]
+    df = spark.createDataFrame([*rows, (None, near), (None, near)], "doc_id long, text string").repartition(3)
+    got = sorted((tuple(r) for r in simhash_dedup.keep_one_per_group(df).collect()), key=str)
+    assert got == sorted([rows[0], rows[2], rows[3], (None, near), (None, near)], key=str)
+    twice = spark.createDataFrame([rows[0], rows[0]], "doc_id long, text string")
+    assert simhash_dedup.keep_one_per_group(twice).count() == 1
+    assert simhash_dedup.keep_one_per_group(df.limit(0)).count() == 0
