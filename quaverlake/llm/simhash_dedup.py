@@ -118,6 +118,18 @@ def _may_reach(similarity: float) -> Column:
 PARITY = ["p0", "p1", "p2", "p3"]
 
 
+def _may_reach(similarity: float) -> Column:
+    """False only where the sets of ``a_`` and ``b_`` columns surely have a lower Jaccard similarity, or are in one part already."""
+    least, most = F.least("a_n", "b_n"), F.greatest("a_n", "b_n")
+    differ = sum((F.bit_count(F.col(f"a_{p}").bitwiseXOR(F.col(f"b_{p}"))) for p in PARITY), F.lit(0))
+    bound = (1 - similarity) / (1 + similarity) * (F.col("a_n") + F.col("b_n")) + 1e-6
+    return (F.col("a_part") != F.col("b_part")) & (least + 1e-6 >= similarity * most) & (differ <= bound)
+
+
+#: A set's hashes by their low byte, each bit the parity of a count: two sets differ in at least as many members as bits.
+PARITY = ["p0", "p1", "p2", "p3"]
+
+
 def _may_reach(similarity: float) -> Column:
     """False only where the sets of ``a_`` and ``b_`` columns surely have a lower Jaccard similarity, or are in one part already."""
     least, most = F.least("a_n", "b_n"), F.greatest("a_n", "b_n")
@@ -231,6 +243,13 @@ def shingle_set(text: str | None, shingle: int) -> np.ndarray:
     return np.unique(np.fromiter((xxhash.xxh64_intdigest(b" ".join(w), SEED) for w in whole), dtype=np.uint64))
 
 
+def shingle_set(text: str | None, shingle: int) -> np.ndarray:
+    """The distinct hashes of a text's word shingles, ascending."""
+    words = (text or "").encode("utf-8").lower().split()
+    whole = zip(*[words[k:] for k in range(shingle)], strict=False) if len(words) >= shingle else [words]
+    return np.unique(np.fromiter((xxhash.xxh64_intdigest(b" ".join(w), SEED) for w in whole), dtype=np.uint64))
+
+
 def shingle_hashes(text: Column, shingle: int) -> Column:
     """The distinct hashes of a text's word shingles."""
 
@@ -241,10 +260,40 @@ def shingle_hashes(text: Column, shingle: int) -> Column:
     return hashed(text)
 
 
+#: A pair of similarity s shares no band with a probability of (1 - s^BAND_ROWS)^BANDS: 3e-6 at 0.8.
+BANDS, BAND_ROWS = 24, 4
+MULTIPLIERS = np.random.default_rng(SEED).integers(0, 1 << 63, BANDS * BAND_ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+
+
+def bands_of(members: np.ndarray) -> list[int]:
+    """Independent fingerprints of a set of hashes: each of ``BAND_ROWS`` least members under random orders."""
+    least = np.full(len(MULTIPLIERS), np.iinfo(np.uint64).max)
+    for k in range(0, len(members), 4096):
+        least = np.minimum(least, (MULTIPLIERS[:, None] * members[None, k : k + 4096]).min(axis=1))
+    return [_signed(xxhash.xxh64_intdigest(row.tobytes(), k)) for k, row in enumerate(least.reshape(BANDS, BAND_ROWS))]
+
+
+def band_members(nodes: DataFrame) -> DataFrame:
+    """``node`` and ``key`` of each band that two or more share, with the band's ``size`` and ``least`` node."""
+    keyed = nodes.select("node", F.explode("bands").alias("key"))
+    return keyed.join(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min("node").alias("least")).where("size > 1"), "key")
+
+
+def band_pairs(members: DataFrame, nodes: DataFrame, similarity: float, block: int = 4096) -> DataFrame:
+    """All links between nodes that share a band, of different parts, but those that surely fall below ``similarity``."""
+    carried = ["node", "n", "part", *PARITY]
+    rows = members.join(nodes.select(carried), "node")
+    mixed = rows.groupBy("key").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low <> high").select("key")
+    rows, blocks = cut(rows.join(mixed, "key")), F.ceil(F.col("size") / block).cast("int")
+    left = rows.select("key", F.pmod(F.xxhash64("node", "key"), blocks).cast("int").alias("block"), *[F.col(c).alias(f"a_{c}") for c in carried])
+    right = rows.select("key", F.explode(F.sequence(F.lit(0), blocks - 1)).alias("block"), *[F.col(c).alias(f"b_{c}") for c in carried])
+    return left.join(right, ["key", "block"]).where((F.col("a_node") < F.col("b_node")) & _may_reach(similarity)).select(F.col("a_node").alias("a"), F.col("b_node").alias("b"))
+
+
 def sketches(text: Column, words: int, shingle: int) -> Column:
-    """What stands for a text until it is verified: its fingerprint over ``words``, and of its shingle set a digest (``node``), size and parities."""
+    """What stands for a text until it is verified: its fingerprint over ``words``, and of its shingle set a digest (``node``), size, parities and bands."""
 
-    @F.pandas_udf("struct<fp:long,node:long,n:long,p0:long,p1:long,p2:long,p3:long>")
+    @F.pandas_udf("struct<fp:long,node:long,n:long,p0:long,p1:long,p2:long,p3:long,bands:array<long>>")
     def sketched(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             out = []
@@ -253,8 +302,8 @@ def sketches(text: Column, words: int, shingle: int) -> Column:
                 odd = np.packbits(np.bincount(members & np.uint64(255), minlength=256) & 1, bitorder="little").view(np.int64)
                 fp = fingerprint(x, words)
                 digest = xxhash.xxh64_intdigest(members.tobytes(), SEED)
-                out.append((_signed(fp), _signed(digest), len(members), *odd.tolist()))
-            yield pd.DataFrame(out, columns=["fp", "node", "n", *PARITY])
+                out.append((_signed(fp), _signed(digest), len(members), *odd.tolist(), bands_of(members)))
+            yield pd.DataFrame(out, columns=["fp", "node", "n", *PARITY, "bands"])
 
     return sketched(text)
 
@@ -278,7 +327,9 @@ def keep_one_per_group(
     Near copies have a Jaccard similarity of ``similarity`` or more in ``shingle``-word
     shingles.  Their fingerprints over such long shingles lie too far apart for a
     filter (about 11 of 64 bits at 0.8), so candidates come from fingerprints over
-    shingles of ``words`` words, within ``distance`` bits.  All candidates are
+    shingles of ``words`` words, within ``distance`` bits, and from ``BANDS`` independent
+    fingerprints of the shingle set itself, which are equal whatever the kind of edit
+    (a pair at 0.8 shares none with a probability of 3e-6).  All candidates are
     verified before they are contracted to groups, but those that the sets' sizes or
     parities already rule out.  Rows with a null id stay; rows that repeat an
     id are told apart by their text, and rows that repeat both are one.  Texts of equal
@@ -286,7 +337,7 @@ def keep_one_per_group(
     """
     ids = df.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text"), F.xxhash64(text_col).alias("__mark")).where("__id IS NOT NULL")
     rows = cut(ids.select("__id", "__mark", sketches(F.col("__text"), words, shingle).alias("__sketch")).select("__id", "__mark", "__sketch.*"))
-    same = [F.first(c).alias(c) for c in ("n", *PARITY)]
+    same = [F.first(c).alias(c) for c in ("n", *PARITY, "bands")]
     nodes = cut(rows.groupBy("node").agg(F.min("fp").alias("fp"), *same, F.min(F.struct("__id", "__mark")).alias("least"), F.count(F.lit(1)).alias("__rows")))
     chosen = nodes.select("node", "least.__id", "least.__mark")
     texts = ids.join(chosen, ["__id", "__mark"]).dropDuplicates(["node"]).select("node", "__text")
@@ -295,8 +346,15 @@ def keep_one_per_group(
         tidy = cut(links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
         return similar_links(texts, tidy, "node", "__text", shingle, similarity)
 
-    links = verified(near_pairs(nodes.withColumn("part", F.col("node")), distance, segments, max_bucket, similarity=similarity))
-    roots = connected_components(links)
+    plain = nodes.withColumn("part", F.col("node"))
+    shared = cut(band_members(plain))
+    # links to a band's least node join most groups; then only those between the parts left are looked at
+    first = verified(shared.where("node <> least").select(F.col("node").alias("a"), F.col("least").alias("b")))
+    first = cut(first)
+    parts = connected_components(first).withColumnRenamed("root", "part")
+    apart = cut(nodes.join(parts, "node", "left").withColumn("part", F.coalesce("part", "node")))
+    more = near_pairs(apart, distance, segments, max_bucket, similarity=similarity).unionByName(band_pairs(shared, apart, similarity))
+    roots = connected_components(first.unionByName(verified(more)))
     keepers = nodes.join(roots, "node", "left").select("node", "__rows", "least", F.coalesce("root", "node").alias("root"))
     best = keepers.groupBy("root").agg(F.min("least").alias("keep"))
     total = nodes.agg(F.sum("__rows")).first()[0] or 0

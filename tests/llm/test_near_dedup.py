@@ -78,3 +78,14 @@ def test_repeated_ids_nulls_and_empty_texts(spark):
     twice = spark.createDataFrame([rows[0], rows[0]], "doc_id long, text string")
     assert simhash_dedup.keep_one_per_group(twice).count() == 1
     assert simhash_dedup.keep_one_per_group(df.limit(0)).count() == 0
+
+
+def test_near_copies_by_each_kind_of_edit(spark):
+    """At 0.8 and a little more; by one fingerprint about half of the block edits are missed."""
+    rng, rows = np.random.default_rng(4), []
+    for g in range(60):
+        base = [f"g{g}w{k}" for k in rng.integers(0, 5000, 300)]
+        cut_at, at = int(rng.integers(0, 240)), rng.integers(0, 8)
+        copies = [base[:cut_at] + base[cut_at + 54 :], edited(base, range(int(at), 290, 46)), base + [f"g{g}n{k}" for k in range(60)]]
+        rows += [" ".join(base), " ".join(copies[g % 3])]
+    check(spark, list(enumerate(rows)))
