@@ -7,6 +7,8 @@ fill a list, ``filled_walk`` takes a longer one, until it does or the pool is us
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -60,10 +62,21 @@ def filled_walk(scores: DataFrame, size: int, spacing: int, first: int | None =
         limit *= 4
 
 
+def grown(ranking: DataFrame, build: Callable[[DataFrame], DataFrame], done: Column, limit: int) -> tuple[DataFrame, int]:
+    """``build`` over as long a head as is ``done`` (an aggregate) for each seed, or over all of the pool; and that head's length."""
+    pools = {r["seed_id"]: r["n"] for r in ranking.groupBy("seed_id").agg(F.count(F.lit(1)).alias("n")).collect()}
+    while True:
+        out = build(ranking.where(F.col("rank") <= limit))
+        got = {r["seed_id"]: r["done"] for r in out.groupBy("seed_id").agg(done.alias("done")).collect()}
+        if all(got.get(s) or n <= limit for s, n in pools.items()):
+            return out, limit
+        limit *= 4
+
+
 REPORT = "seed_id long, id long, rank int, score double, fit double, position int, status string"
 
 
-def walk_report(ranking: DataFrame, size: int, spacing: int, line: float | None = None, floor: int = 0, variety: float = 0.0, twin: str | None = None, recording: str | None = None, ceiling: dict[int, float] | None = None) -> DataFrame:
+def walk_report(ranking: DataFrame, size: int, spacing: int, line: float | None = None, floor: int = 0, variety: float = 0.0, twin: str | None = None, recording: str | None = None, ceiling: dict[int, float] | None = None, first: int | None = None) -> DataFrame:
     """What a walk does with each candidate it reaches.
 
     ``status`` is taken, past (taken below the line to reach the floor), coin, fit,
@@ -101,7 +114,7 @@ def walk_report(ranking: DataFrame, size: int, spacing: int, line: float | None
                     seen[c].add(r[c])
                 result[i] = (status, len(out))
 
-        below = False
+        below = ended = False
         for i, r in enumerate(records):
             if line is not None and r["score"] / top < line:
                 if not below:
@@ -112,6 +125,7 @@ def walk_report(ranking: DataFrame, size: int, spacing: int, line: float | None
                         test(j, "taken")
                 if len(out) >= floor:
                     result[i] = ("fit", None)
+                    ended = True
                     break
                 test(i, "past")
             elif variety > 0 and r["toss"] >= keep:
@@ -120,6 +134,7 @@ def walk_report(ranking: DataFrame, size: int, spacing: int, line: float | None
             else:
                 test(i, "taken")
             if len(out) >= size or below and len(out) >= floor:
+                ended = True
                 break
         told = [(*result.get(i, ("left", None)), r) for i, r in enumerate(records)]
         return pd.DataFrame(
@@ -131,10 +146,18 @@ def walk_report(ranking: DataFrame, size: int, spacing: int, line: float | None
                 "fit": [r["score"] / top for _, _, r in told],
                 "position": pd.array([p for _, p, _ in told], dtype="Int32"),
                 "status": [s for s, _, _ in told],
+                "ended": ended,
             }
         )
 
-    return coined.groupBy("seed_id").applyInPandas(one, REPORT)
+    head, limit = grown(coined, lambda rows: rows.groupBy("seed_id").applyInPandas(one, REPORT + ", ended boolean"), F.max("ended"), first or size * (spacing + 1) * 4)
+    # what lies past the head is left by every walk that ended in it; the others had all of their pool
+    tops = [F.when(F.col("seed_id") == s, F.lit(float(t))) for s, t in (ceiling or {}).items() if t > 1e-9]
+    left = ranking.where(F.col("rank") > limit).select(
+        F.col("seed_id").cast("long"), F.col("id").cast("long"), F.col("rank").cast("int"), "score", (F.col("score") / F.coalesce(*tops, F.lit(1.0))).alias("fit"),
+        F.lit(None).cast("int").alias("position"), F.lit("left").alias("status"),
+    )
+    return head.drop("ended").unionByName(left)
 
 
 ENERGY_WIDTH = 0.35
@@ -147,13 +170,14 @@ def arc(kind: str, accepted: int, position: int = 0) -> float:
     return {"flat": 0.0, "rise": 2 * phase - 1, "fall": 1 - 2 * phase, "wave": float(np.sin(2 * np.pi * phase))}[kind]
 
 
-def radio(ranking: DataFrame, size: int, spacing: int, variety: float, kind: str = "flat", position: int = 0, energy: str | None = None) -> DataFrame:
+def radio(ranking: DataFrame, size: int, spacing: int, variety: float, kind: str = "flat", position: int = 0, energy: str | None = None, first: int | None = None) -> DataFrame:
     """A queue with one coin a candidate, and one for its energy against the arc; without variety it is a plain walk."""
     if variety <= 0:
         return walk(ranking, size, spacing)
+    limit, filled = first or size * (spacing + 1) * 4, F.count(F.lit(1)) >= size
     tossed = ranking.withColumn("toss", text.hash_unit(F.lit("radio"), F.col("seed_id"), F.col("id")))
     if energy is None:
-        return walk(tossed.where(F.col("toss") < 1.0 / (1.0 + variety)), size, spacing)
+        return grown(tossed, lambda head: walk(head.where(F.col("toss") < 1.0 / (1.0 + variety)), size, spacing), filled, limit)[0]
     tossed = tossed.withColumn("toss2", text.hash_unit(F.lit("energy"), F.col("seed_id"), F.col("id")))
 
     def one(rows: pd.DataFrame) -> pd.DataFrame:
@@ -170,9 +194,12 @@ def radio(ranking: DataFrame, size: int, spacing: int, variety: float, kind: str
                 continue
             taken.append(r)
             artists.append(r["artist"])
+        if not taken:  # Spark takes no empty frame here: a row of position 0 stands for it
+            return pd.DataFrame({"seed_id": [rows["seed_id"].iloc[0]], "id": [0], "artist": [""], "score": [0.0], "rank": [0], "position": [0]})
         return pd.DataFrame({c: [r[c] for r in taken] for c in ("seed_id", "id", "artist", "score", "rank")}).assign(position=range(1, len(taken) + 1))
 
-    out = tossed.groupBy("seed_id").applyInPandas(one, "seed_id long, id long, artist string, score double, rank int, position int")
+    schema = "seed_id long, id long, artist string, score double, rank int, position int"
+    out, _ = grown(tossed, lambda head: head.where(F.col("toss") < 1.0 / (1.0 + variety)).groupBy("seed_id").applyInPandas(one, schema).where("position > 0"), filled, limit)
     return out.select("seed_id", "position", "id", "artist", "score", "rank")
 
 
