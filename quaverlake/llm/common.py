@@ -19,8 +19,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share, from ``spark.checkpoint.dir``.
 
-    Where the session names none (tests on one machine), a temporary folder is
-    made and kept for the rest of the session.
+    Where a session on one machine names none, a temporary folder is made and kept
+    for the rest of the session; a cluster without that setting is an error.
     """
     sc = spark.sparkContext
     configured = spark.conf.get("spark.checkpoint.dir", None)
@@ -30,6 +30,8 @@ def shared_dir(spark: SparkSession) -> str:
             sc.setCheckpointDir(configured)
         return configured.rstrip("/")
     if current is None:
+        if not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="shared-"))
         current = sc.getCheckpointDir()
     return current.rstrip("/")
@@ -46,6 +48,13 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def saved(df: DataFrame, label: str) -> DataFrame:
+    """As ``cut``, but as a table, whose size decides whether a join may broadcast it."""
+    path = new_folder(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
 #: At most so many keys hold more than this share of all rows each.
 HOT_KEYS = 1000
 
@@ -67,6 +76,21 @@ def join_groups(rows: DataFrame, groups: DataFrame, key: str, total: int, salt:
     return joined.select(*rows.columns, *[F.coalesce(f"__hot_{k}", f"__cold_{k}").alias(c) for k, c in enumerate(values)])
 
 
+def join_dealt(rows: DataFrame, side: DataFrame, key: str, counts: DataFrame, total: int, salt: Column) -> DataFrame:
+    """Inner join of ``rows`` with ``side`` (one row a key), where a key may hold most of ``rows``.
+
+    ``counts`` has ``__rows``, the number of ``rows`` of each key; ``total`` is their sum.
+    The rows of a key with over a thousandth of all are dealt by ``salt``, and that
+    key's row of ``side`` is copied to each share: at most twice ``HOT_KEYS`` copies in all.
+    """
+    shares = F.ceil(F.col("__rows") * HOT_KEYS / max(1, total)).cast("int")
+    hot = counts.where(F.col("__rows") * HOT_KEYS > total).select(F.col(key).alias("__hot_key"), shares.alias("__shares"))
+    marked = [df.join(F.broadcast(hot), F.col(key) == F.col("__hot_key"), "left").withColumn("__shares", F.coalesce("__shares", F.lit(1))) for df in (rows, side)]
+    left = marked[0].withColumn("__share", F.pmod(F.xxhash64(salt), F.col("__shares")).cast("int")).drop("__hot_key", "__shares")
+    right = marked[1].withColumn("__share", F.explode(F.sequence(F.lit(0), F.col("__shares") - 1))).drop("__hot_key", "__shares")
+    return left.join(right, [key, "__share"]).drop("__share")
+
+
 def crc_remainder(id_col: Column, modulus: int) -> Column:
     """crc32 of the id's decimal text, modulo ``modulus`` (null for a null id)."""
     return F.pmod(F.crc32(id_col.cast("string").cast("binary")), F.lit(modulus))

@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, join_dealt
 
 
 def forest(nodes: int, links: Iterable[tuple[int, np.ndarray]]) -> list[tuple[int, int]]:
@@ -28,18 +28,19 @@ def forest(nodes: int, links: Iterable[tuple[int, np.ndarray]]) -> list[tuple[in
     return kept
 
 
-def _star(edges: DataFrame, large: bool) -> DataFrame:
+def _star(edges: DataFrame, large: bool, total: int) -> DataFrame:
     """One contraction: every node sends neighbours to the least node it knows.
 
-    ``edges`` has ``a > b``.  The large star moves the larger neighbours of each
-    node, the small star the smaller ones and the node itself.
+    ``edges`` (``total``, ``a > b``).  The large star moves the larger neighbours of each
+    node, the small star the smaller ones and the node itself.  A root with very many
+    neighbours has them dealt over tasks.
     """
-    both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))) if large else edges
-    least = both.groupBy(F.col("a").alias("n")).agg(F.min("b").alias("m")).withColumn("m", F.least("n", "m"))
-    joined = both.join(least, F.col("a") == F.col("n"))
+    both, total = (edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))), 2 * total) if large else (edges, total)
+    least = both.groupBy("a").agg(F.least("a", F.min("b")).alias("m"), F.count(F.lit(1)).alias("__rows"))
+    joined = join_dealt(both, least.select("a", "m"), "a", least.select("a", "__rows"), total, F.col("b"))
     moved = joined.where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")) if large else joined.select(F.col("b").alias("a"), F.col("m").alias("b"))
     if not large:
-        moved = moved.unionByName(least.select(F.col("n").alias("a"), F.col("m").alias("b")))
+        moved = moved.unionByName(least.select("a", F.col("m").alias("b")))
     return moved.where("a <> b").distinct()
 
 
@@ -49,14 +50,13 @@ def connected_components(edges: DataFrame) -> DataFrame:
     Each round is written to the shared folder; a component of diameter ``d`` takes
     about ``log d`` rounds.
     """
-    tidy = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct()
-    current, seen = cut(tidy), None
+    current, seen = cut(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct()), None
     while True:
         # a sum of row hashes and a count stand for the set of edges
         mark = current.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if mark == seen or mark[0] == 0:
             break
         seen = mark
-        current = cut(_star(_star(current, True), False))
+        current = cut(_star(_star(current, True, mark[0]), False, mark[0]))
     roots = current.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct()
     return current.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(roots)

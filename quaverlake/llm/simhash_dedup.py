@@ -9,18 +9,25 @@ fingerprints within ``distance`` bits have a start such that each chain of ``l``
 consecutive pieces from it differs in at most ``l * distance / segments`` bits.
 With 5 pieces and 2 bits, the first two pieces of the chain are equal: these about
 26 bits are a join key, at five starts; chains of three and four pieces then allow
-one bit, which the join checks before the whole distance.
+one bit, which is checked before the whole distance.
 
 Equal fingerprints are one class from the start.  Keys that few classes share are
 joined; for a key with more than ``max_bucket`` classes the classes are dealt into
-blocks, and each pair of blocks is compared in one task that returns a forest of
-the links it finds, never all pairs.
+blocks, and each pair of blocks is compared in one task, by the same chains, that
+returns a forest of the links it finds, never all pairs.  The work on such a key
+grows as the square of its distinct fingerprints, which share 26 bits of 64.
+
+``keep_one_per_group`` is for near copies by Jaccard similarity of word shingles.
+There, a text has several fingerprints, each over a consistent sample of its
+shingles; texts whose fingerprints link are compared shingle by shingle.
 
 Defined cases: null text is like empty text; no words gives fingerprint zero,
 linked like any other; fewer words than a shingle give one shingle of them all;
-rows with a null id have a group but never name it unless all its ids are null;
-rows that repeat an id are compared like others; an empty table gives an empty
-result.
+very long texts are hashed whole; ties do not arise, as groups are named by their
+least id; rows with a null id have a group but never name it unless all its ids are
+null; rows that repeat an id are compared like others; an empty table gives an empty
+result; input columns besides id and text are dropped by ``group_documents``, and
+kept by ``keep_one_per_group``, which uses names with two leading underscores.
 """
 
 from __future__ import annotations
@@ -34,22 +41,35 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, join_groups, table
+from .common import cut, join_dealt, join_groups, saved, table
 from .graph import connected_components, forest
 
 SEED = 42
 BITS = 64
 
 
-def fingerprint(text: str | None, shingle: int = 3) -> int:
-    """The unsigned fingerprint of one text.  Words lie between ASCII white space; A-Z are lowered."""
-    words = (text or "").encode("utf-8").lower().split()
+# --- fingerprints ------------------------------------------------------------
+
+
+def shingles_of(text: str | None, shingle: int) -> np.ndarray:
+    """The unsigned hashes of a text's word shingles, repeats included.  Words lie between ASCII white space; A-Z are lowered."""
+    words = (text or "").encode("utf-8", "replace").lower().split()
     if not words:
-        return 0
-    shingles = map(b" ".join, zip(*[words[k:] for k in range(shingle)], strict=False)) if len(words) >= shingle else [b" ".join(words)]
-    hashes = np.fromiter(map(xxhash.xxh64_intdigest, shingles, repeat(SEED)), dtype="<u8")
-    counts = np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int.from_bytes(np.packbits(2 * counts > len(hashes), bitorder="little").tobytes(), "little")
+        return np.empty(0, dtype="<u8")
+    whole = map(b" ".join, zip(*[words[k:] for k in range(shingle)], strict=False)) if len(words) >= shingle else [b" ".join(words)]
+    return np.fromiter(map(xxhash.xxh64_intdigest, whole, repeat(SEED)), dtype="<u8")
+
+
+def majority(hashes: np.ndarray) -> np.ndarray:
+    """Of each row of hashes, the bits that are set in over half, as one number."""
+    bits = np.unpackbits(np.ascontiguousarray(hashes).view(np.uint8).reshape(*hashes.shape, 8), axis=-1, bitorder="little")
+    return np.packbits(2 * bits.sum(axis=-2, dtype=np.int64) > hashes.shape[-1], axis=-1, bitorder="little").view("<u8")[..., 0]
+
+
+def fingerprint(text: str | None, shingle: int = 3) -> int:
+    """The unsigned fingerprint of one text."""
+    hashes = shingles_of(text, shingle)
+    return int(majority(hashes)) if len(hashes) else 0
 
 
 def fingerprints(text: Column, shingle: int = 3) -> Column:
@@ -63,6 +83,9 @@ def fingerprints(text: Column, shingle: int = 3) -> Column:
     return hashed(text)
 
 
+# --- pigeonring ----------------------------------------------------------------
+
+
 def _signed(mask: int) -> int:
     return mask - (1 << BITS) if mask >= 1 << (BITS - 1) else mask
 
@@ -90,117 +113,53 @@ def chains(segments: int, distance: int) -> tuple[list[int], list[list[tuple[int
     return exact, longer
 
 
-#: A set's hashes by their low byte, each bit the parity of a count: two sets differ in at least as many members as bits.
-PARITY = ["p0", "p1", "p2", "p3"]
-
-
-def _may_reach(similarity: float) -> Column:
-    """False only where the sets of ``a_`` and ``b_`` columns surely have a lower Jaccard similarity, or are in one part already."""
-    least, most = F.least("a_n", "b_n"), F.greatest("a_n", "b_n")
-    differ = sum((F.bit_count(F.col(f"a_{p}").bitwiseXOR(F.col(f"b_{p}"))) for p in PARITY), F.lit(0))
-    bound = (1 - similarity) / (1 + similarity) * (F.col("a_n") + F.col("b_n")) + 1e-6
-    return (F.col("a_part") != F.col("b_part")) & (least + 1e-6 >= similarity * most) & (differ <= bound)
-
-
-#: A set's hashes by their low byte, each bit the parity of a count: two sets differ in at least as many members as bits.
-PARITY = ["p0", "p1", "p2", "p3"]
-
-
-def _may_reach(similarity: float) -> Column:
-    """False only where the sets of ``a_`` and ``b_`` columns surely have a lower Jaccard similarity, or are in one part already."""
-    least, most = F.least("a_n", "b_n"), F.greatest("a_n", "b_n")
-    differ = sum((F.bit_count(F.col(f"a_{p}").bitwiseXOR(F.col(f"b_{p}"))) for p in PARITY), F.lit(0))
-    bound = (1 - similarity) / (1 + similarity) * (F.col("a_n") + F.col("b_n")) + 1e-6
-    return (F.col("a_part") != F.col("b_part")) & (least + 1e-6 >= similarity * most) & (differ <= bound)
-
-
-#: A set's hashes by their low byte, each bit the parity of a count: two sets differ in at least as many members as bits.
-PARITY = ["p0", "p1", "p2", "p3"]
-
-
-def _may_reach(similarity: float) -> Column:
-    """False only where the sets of ``a_`` and ``b_`` columns surely have a lower Jaccard similarity, or are in one part already."""
-    least, most = F.least("a_n", "b_n"), F.greatest("a_n", "b_n")
-    differ = sum((F.bit_count(F.col(f"a_{p}").bitwiseXOR(F.col(f"b_{p}"))) for p in PARITY), F.lit(0))
-    bound = (1 - similarity) / (1 + similarity) * (F.col("a_n") + F.col("b_n")) + 1e-6
-    return (F.col("a_part") != F.col("b_part")) & (least + 1e-6 >= similarity * most) & (differ <= bound)
-
-
-#: A set's hashes by their low byte, each bit the parity of a count: two sets differ in at least as many members as bits.
-PARITY = ["p0", "p1", "p2", "p3"]
-
-
-def _may_reach(similarity: float) -> Column:
-    """False only where the sets of ``a_`` and ``b_`` columns surely have a lower Jaccard similarity, or are in one part already."""
-    least, most = F.least("a_n", "b_n"), F.greatest("a_n", "b_n")
-    differ = sum((F.bit_count(F.col(f"a_{p}").bitwiseXOR(F.col(f"b_{p}"))) for p in PARITY), F.lit(0))
-    bound = (1 - similarity) / (1 + similarity) * (F.col("a_n") + F.col("b_n")) + 1e-6
-    return (F.col("a_part") != F.col("b_part")) & (least + 1e-6 >= similarity * most) & (differ <= bound)
-
-
-def _near_in_block(key: tuple, rows: pd.DataFrame, distance: int, similarity: float | None = None) -> pd.DataFrame:
-    """Links among the rows of one block, or between those of two: enough to connect them or, with ``similarity``, all that may reach it."""
-    a, b = key[-2:]
+def _near_in_block(key: tuple, rows: pd.DataFrame, longer: list[list[tuple[int, int]]], distance: int) -> pd.DataFrame:
+    """A forest of the links among the rows of one block, or between those of two."""
+    start, a, b = int(rows["start"].iloc[0]), *key[-2:]
     fp = rows["fp"].to_numpy().view(np.uint64)
     one, other = np.flatnonzero(rows["block"] == a), np.flatnonzero(rows["block"] == b)
-    if similarity is not None:
-        n, part = rows["n"].to_numpy(), rows["part"].to_numpy()
-        parity = rows[PARITY].to_numpy().view(np.uint64)
+    tests = [*((np.uint64(mask), most) for mask, most in longer[start]), (np.uint64((1 << BITS) - 1), distance)]
 
     def links():
         for k, i in enumerate(one):
-            rest = other[k + 1 :] if a == b else other
-            apart = np.bitwise_count(fp[rest] ^ fp[i])
-            near = np.flatnonzero(apart <= distance)
+            near = other[k + 1 :] if a == b else other
+            for mask, most in tests:
+                near = near[np.bitwise_count((fp[near] ^ fp[i]) & mask) <= most]
             if len(near):
-                yield int(i), rest[near[np.argsort(apart[near], kind="stable")]]
+                yield int(i), near
 
-    def hopeful():
-        for i, near in links():
-            differ = np.bitwise_count(parity[near] ^ parity[i]).sum(axis=1, dtype=np.int64)
-            fits = (part[near] != part[i]) & (np.minimum(n[near], n[i]) + 1e-6 >= similarity * np.maximum(n[near], n[i]))
-            near = near[fits & (differ <= (1 - similarity) / (1 + similarity) * (n[near] + n[i]) + 1e-6)]
-            if len(near):
-                yield np.stack([np.full(len(near), i), near], axis=1)
-
-    if similarity is None:
-        name, kept = fp.view(np.int64), np.array(forest(len(fp), links()), dtype=np.int64).reshape(-1, 2)
-    else:
-        name, kept = rows["node"].to_numpy(), np.concatenate([np.empty((0, 2), dtype=np.int64), *hopeful()])
+    name, kept = rows["name"].to_numpy(), np.array(forest(len(fp), links()), dtype=np.int64).reshape(-1, 2)
     return pd.DataFrame({"a": name[kept[:, 0]], "b": name[kept[:, 1]]})
 
 
-def near_pairs(
-    classes: DataFrame, distance: int = 2, segments: int = 5, max_bucket: int = 64, block: int = 4096, similarity: float | None = None
-) -> DataFrame:
-    """Links (``a``, ``b``) between fingerprints (column ``fp``, distinct) that connect all that are linked.
+def near_pairs(classes: DataFrame, distance: int = 2, segments: int = 5, max_bucket: int = 64, block: int = 4096) -> DataFrame:
+    """Links (``a``, ``b``) between fingerprints (column ``fp``, distinct) that connect all that are within ``distance`` bits.
 
-    With ``similarity``: all links between nodes (columns ``node``, ``fp``, ``n``, ``part``
-    and ``PARITY``; nodes are distinct) of different parts, but those that surely fall below it.
+    Where there are columns ``name`` and ``family``, links are between names, of
+    fingerprints of one family.
     """
     if segments <= distance:
         raise ValueError("the ring needs more pieces than the distance has bits")
-    node, carried = ("fp", ["fp"]) if similarity is None else ("node", ["node", "fp", "n", "part", *PARITY])
+    if "name" not in classes.columns:
+        classes = classes.select(F.col("fp").alias("name"), "fp", F.lit(0).alias("family"))
     exact, longer = chains(segments, distance)
-    starts = F.array(*[F.struct(F.lit(k).alias("start"), F.col("fp").bitwiseAND(F.lit(_signed(m))).alias("key")) for k, m in enumerate(exact)])
-    keyed = classes.select(*carried, F.explode(starts).alias("at")).select(*carried, "at.start", "at.key")
-    sizes = keyed.groupBy("start", "key").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
-    shared = cut(keyed.join(sizes, ["start", "key"]))
-    left, right = (shared.where(F.col("size") <= max_bucket).select("start", "key", *[F.col(c).alias(f"{x}_{c}") for c in carried]) for x in "ab")
-    differ = F.col("a_fp").bitwiseXOR(F.col("b_fp"))
-    passes = F.lit(True) if similarity is None else _may_reach(similarity)
+    starts = F.array(*[F.struct(F.lit(k).alias("start"), F.col("fp").bitwiseAND(F.lit(_signed(m))).alias("chain")) for k, m in enumerate(exact)])
+    keyed = classes.select("name", "fp", "family", F.explode(starts).alias("at")).select("name", "fp", "at.start", F.xxhash64("family", "at.start", "at.chain").alias("key"))
+    # most keys have one fingerprint: the few others are a small table, which a join can broadcast
+    sizes = saved(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1"), "ring-keys")
+    shared = saved(keyed.join(sizes, "key"), "ring-rows")
+    left, right = (shared.where(F.col("size") <= max_bucket).select("key", "start", *[F.col(c).alias(f"{x}_{c}") for c in ("name", "fp")]) for x in "ab")
+    differ, passes = F.col("a_fp").bitwiseXOR(F.col("b_fp")), F.lit(True)
     for length in range(len(longer[0])):
         masks = F.array(*[F.lit(_signed(longer[k][length][0])) for k in range(segments)])
         passes = passes & (F.bit_count(differ.bitwiseAND(F.element_at(masks, F.col("start") + 1))) <= longer[0][length][1])
-    pairs = left.join(right, ["start", "key"]).where((F.col(f"a_{node}") < F.col(f"b_{node}")) & passes & (F.bit_count(differ) <= distance))
-    pairs = pairs.select(F.col(f"a_{node}").alias("a"), F.col(f"b_{node}").alias("b"))
+    pairs = left.join(right.drop("start"), "key").where((F.col("a_name") < F.col("b_name")) & passes & (F.bit_count(differ) <= distance))
+    pairs = pairs.select(F.col("a_name").alias("a"), F.col("b_name").alias("b"))
     blocks = F.ceil(F.col("size") / block).cast("int")
-    large = shared.where(F.col("size") > max_bucket).withColumn("block", F.pmod(F.xxhash64(node, "start"), blocks).cast("int"))
-    dealt = large.select("start", "key", *carried, "block", F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other"))
-    grouped = dealt.select("start", "key", *carried, "block", F.least("block", "other").alias("one"), F.greatest("block", "other").alias("two"))
-    found = grouped.groupBy("start", "key", "one", "two").applyInPandas(
-        lambda key, rows: _near_in_block(key, rows, distance, similarity), "a long, b long"
-    )
+    large = shared.where(F.col("size") > max_bucket).withColumn("block", F.pmod(F.xxhash64("name", "start"), blocks).cast("int"))
+    dealt = large.withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    grouped = dealt.select("key", "start", "name", "fp", "block", F.least("block", "other").alias("one"), F.greatest("block", "other").alias("two"))
+    found = grouped.groupBy("key", "one", "two").applyInPandas(lambda key, rows: _near_in_block(key, rows, longer, distance), "a long, b long")
     return pairs.unionByName(found)
 
 
@@ -222,32 +181,89 @@ def hash_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return cut(df.select(id_col, fingerprints(F.col(text_col), shingle).alias("fp")))
 
 
-def shingle_set(text: str | None, shingle: int) -> np.ndarray:
-    """The distinct hashes of a text's word shingles, ascending."""
-    words = (text or "").encode("utf-8").lower().split()
-    whole = zip(*[words[k:] for k in range(shingle)], strict=False) if len(words) >= shingle else [words]
-    return np.unique(np.fromiter((xxhash.xxh64_intdigest(b" ".join(w), SEED) for w in whole), dtype=np.uint64))
+# --- near copies by Jaccard similarity -------------------------------------------
+
+#: Fingerprints of a text for near copies, and the shingles that each one samples.
+#: A pair of similarity s has no equal ones with a probability of (1 - s^SAMPLE)^FAMILIES: 0.002 at 0.8.
+FAMILIES, SAMPLE = 12, 4
+#: Orders in which samples take the least: odd multipliers of 64-bit hashes.
+MULTIPLIERS = np.random.default_rng(SEED).integers(0, 1 << 63, FAMILIES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+INVERSES = np.array([pow(int(m), -1, 1 << BITS) for m in MULTIPLIERS], dtype=np.uint64)
+#: Fixed value: an odd number near 2^64 over the golden ratio.
+MIX = np.uint64(0x9E3779B97F4A7C15)
+#: A set's hashes by their low byte, each bit the parity of a count: two sets differ in at least as many members as bits.
+PARITY = ["p0", "p1", "p2", "p3"]
 
 
-def shingle_set(text: str | None, shingle: int) -> np.ndarray:
-    """The distinct hashes of a text's word shingles, ascending."""
-    words = (text or "").encode("utf-8").lower().split()
-    whole = zip(*[words[k:] for k in range(shingle)], strict=False) if len(words) >= shingle else [words]
-    return np.unique(np.fromiter((xxhash.xxh64_intdigest(b" ".join(w), SEED) for w in whole), dtype=np.uint64))
+#: Long texts go in pieces of about so many bytes.
+PIECE = 1 << 18
+#: Random values of bytes, and powers of an odd number and of its inverse for their places.
+BYTE_VALUES = np.random.default_rng(SEED + 1).integers(0, 1 << 63, 256, dtype=np.uint64)
+POWERS, UNPOWERS = (np.cumprod(np.full(PIECE, x, dtype=np.uint64)) for x in (int(MULTIPLIERS[0]), int(INVERSES[0])))
+IN_WORD = np.ones(256, dtype=np.int8)
+IN_WORD[[0x20, *range(0x09, 0x0E)]] = 0
+
+
+def word_hashes(text: str | None) -> np.ndarray:
+    """A 64-bit polynomial hash of each word, in order.  Words lie between ASCII white space; A-Z are lowered."""
+    data, out, at = np.frombuffer((text or "").encode("utf-8", "replace").lower(), dtype=np.uint8), [], 0
+    while at < len(data):
+        here = IN_WORD[data[at : at + PIECE]]
+        if at + PIECE < len(data) and here[-1]:
+            here = here[: len(here) - int(here[::-1].argmin())] if not here.all() else here
+        inside = np.zeros(len(here) + 2, dtype=np.int8)
+        inside[1:-1] = here
+        edges = np.flatnonzero(np.diff(inside))
+        starts, ends = edges[::2], edges[1::2]
+        sums = np.zeros(len(here) + 1, dtype=np.uint64)
+        np.cumsum(BYTE_VALUES[data[at : at + len(here)]] * POWERS[: len(here)], out=sums[1:])
+        hashes = ((sums[ends] - sums[starts]) * UNPOWERS[starts]) if len(starts) else np.empty(0, dtype=np.uint64)
+        # a word longer than a piece is one word a piece
+        out.append((hashes ^ (hashes >> np.uint64(32))) * MIX)
+        at += len(here)
+    return np.concatenate(out) if out else np.empty(0, dtype=np.uint64)
 
 
 def shingle_set(text: str | None, shingle: int) -> np.ndarray:
-    """The distinct hashes of a text's word shingles, ascending."""
-    words = (text or "").encode("utf-8").lower().split()
-    whole = zip(*[words[k:] for k in range(shingle)], strict=False) if len(words) >= shingle else [words]
-    return np.unique(np.fromiter((xxhash.xxh64_intdigest(b" ".join(w), SEED) for w in whole), dtype=np.uint64))
+    """The distinct hashes of a text's word shingles, ascending: each mixed from those of its words in order.
 
+    Fewer words than a shingle are one of them all, and so is no word.
+    """
+    words = word_hashes(text)
+    size = min(shingle, len(words))
+    mixed = np.full(len(words) - size + 1, size, dtype=np.uint64)
+    for k in range(size):
+        mixed ^= words[k : k + len(mixed)]
+        mixed *= MIX
+        mixed ^= mixed >> np.uint64(29)
+    mixed.sort()
+    return mixed[np.append(True, mixed[1:] != mixed[:-1])]
+
+
+def sampled_fingerprints(members: np.ndarray) -> np.ndarray:
+    """A fingerprint for each family: over the ``SAMPLE`` members that come first in its order, or all of fewer."""
+    least = np.empty((FAMILIES, 0), dtype=np.uint64)
+    for k in range(0, len(members), 1 << 15):
+        least = np.concatenate([least, MULTIPLIERS[:, None] * members[None, k : k + (1 << 15)]], axis=1)
+        if least.shape[1] > SAMPLE:
+            least = np.partition(least, SAMPLE - 1, axis=1)[:, :SAMPLE]
+    return majority(least * INVERSES[:, None])
+
+
+def sketches(text: Column, shingle: int) -> Column:
+    """What stands for a text until it is compared: of its shingle set a digest (``node``), size, parities and sampled fingerprints."""
+
+    @F.pandas_udf("struct<node:long,n:long,p0:long,p1:long,p2:long,p3:long,fps:array<long>>")
+    def sketched(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out = []
+            for x in batch:
+                members = shingle_set(x, shingle)
+                odd = np.packbits(np.bincount((members & np.uint64(255)).astype(np.int64), minlength=256) & 1, bitorder="little").view(np.int64)
+                out.append((_signed(xxhash.xxh64_intdigest(members.tobytes(), SEED)), len(members), *odd.tolist(), sampled_fingerprints(members).view(np.int64)))
+            yield pd.DataFrame(out, columns=["node", "n", *PARITY, "fps"])
 
-def shingle_set(text: str | None, shingle: int) -> np.ndarray:
-    """The distinct hashes of a text's word shingles, ascending."""
-    words = (text or "").encode("utf-8").lower().split()
-    whole = zip(*[words[k:] for k in range(shingle)], strict=False) if len(words) >= shingle else [words]
-    return np.unique(np.fromiter((xxhash.xxh64_intdigest(b" ".join(w), SEED) for w in whole), dtype=np.uint64))
+    return sketched(text)
 
 
 def shingle_hashes(text: Column, shingle: int) -> Column:
@@ -260,109 +276,134 @@ def shingle_hashes(text: Column, shingle: int) -> Column:
     return hashed(text)
 
 
-#: A pair of similarity s shares no band with a probability of (1 - s^BAND_ROWS)^BANDS: 3e-6 at 0.8.
-BANDS, BAND_ROWS = 24, 4
-MULTIPLIERS = np.random.default_rng(SEED).integers(0, 1 << 63, BANDS * BAND_ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-
-
-def bands_of(members: np.ndarray) -> list[int]:
-    """Independent fingerprints of a set of hashes: each of ``BAND_ROWS`` least members under random orders."""
-    least = np.full(len(MULTIPLIERS), np.iinfo(np.uint64).max)
-    for k in range(0, len(members), 4096):
-        least = np.minimum(least, (MULTIPLIERS[:, None] * members[None, k : k + 4096]).min(axis=1))
-    return [_signed(xxhash.xxh64_intdigest(row.tobytes(), k)) for k, row in enumerate(least.reshape(BANDS, BAND_ROWS))]
-
-
-def band_members(nodes: DataFrame) -> DataFrame:
-    """``node`` and ``key`` of each band that two or more share, with the band's ``size`` and ``least`` node."""
-    keyed = nodes.select("node", F.explode("bands").alias("key"))
-    return keyed.join(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min("node").alias("least")).where("size > 1"), "key")
-
-
-def band_pairs(members: DataFrame, nodes: DataFrame, similarity: float, block: int = 4096) -> DataFrame:
-    """All links between nodes that share a band, of different parts, but those that surely fall below ``similarity``."""
-    carried = ["node", "n", "part", *PARITY]
-    rows = members.join(nodes.select(carried), "node")
-    mixed = rows.groupBy("key").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low <> high").select("key")
-    rows, blocks = cut(rows.join(mixed, "key")), F.ceil(F.col("size") / block).cast("int")
-    left = rows.select("key", F.pmod(F.xxhash64("node", "key"), blocks).cast("int").alias("block"), *[F.col(c).alias(f"a_{c}") for c in carried])
-    right = rows.select("key", F.explode(F.sequence(F.lit(0), blocks - 1)).alias("block"), *[F.col(c).alias(f"b_{c}") for c in carried])
-    return left.join(right, ["key", "block"]).where((F.col("a_node") < F.col("b_node")) & _may_reach(similarity)).select(F.col("a_node").alias("a"), F.col("b_node").alias("b"))
-
-
-def sketches(text: Column, words: int, shingle: int) -> Column:
-    """What stands for a text until it is verified: its fingerprint over ``words``, and of its shingle set a digest (``node``), size, parities and bands."""
-
-    @F.pandas_udf("struct<fp:long,node:long,n:long,p0:long,p1:long,p2:long,p3:long,bands:array<long>>")
-    def sketched(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            out = []
-            for x in batch:
-                members = shingle_set(x, shingle)
-                odd = np.packbits(np.bincount(members & np.uint64(255), minlength=256) & 1, bitorder="little").view(np.int64)
-                fp = fingerprint(x, words)
-                digest = xxhash.xxh64_intdigest(members.tobytes(), SEED)
-                out.append((_signed(fp), _signed(digest), len(members), *odd.tolist(), bands_of(members)))
-            yield pd.DataFrame(out, columns=["fp", "node", "n", *PARITY, "bands"])
-
-    return sketched(text)
-
-
-def similar_links(docs: DataFrame, links: DataFrame, id_col: str, text_col: str, shingle: int, similarity: float) -> DataFrame:
-    """The ``links`` (``a``, ``b``: ids of ``docs``) whose two texts have a Jaccard similarity of ``similarity`` or more in word shingles."""
-    wanted = links.select(F.col("a").alias(id_col)).unionByName(links.select(F.col("b").alias(id_col))).distinct()
-    sets = cut(docs.select(id_col, text_col).join(wanted, id_col).select(id_col, shingle_hashes(F.col(text_col), shingle).alias("set")))
-    sides = [sets.select(F.col(id_col).alias(c), F.col("set").alias(f"{c}_set")) for c in "ab"]
-    both = F.size(F.array_intersect("a_set", "b_set"))
-    either = F.size("a_set") + F.size("b_set") - both
-    return links.join(sides[0], "a").join(sides[1], "b").where(both >= similarity * either).select("a", "b")
+def _may_reach(similarity: float) -> Column:
+    """False only where the sets of ``a_`` and ``b_`` columns surely have a lower Jaccard similarity."""
+    least, most = F.least("a_n", "b_n"), F.greatest("a_n", "b_n")
+    differ = sum((F.bit_count(F.col(f"a_{p}").bitwiseXOR(F.col(f"b_{p}"))) for p in PARITY), F.lit(0))
+    bound = (1 - similarity) / (1 + similarity) * (F.col("a_n") + F.col("b_n")) + 1e-6
+    return (least + 1e-6 >= similarity * most) & (differ <= bound)
+
+
+class NearCopies:
+    """The texts of a table of near copies to be, each distinct shingle set a node, and checks of links between them."""
+
+    def __init__(self, ids: DataFrame, shingle: int, similarity: float):
+        """``ids`` has ``__id`` (not null), ``__text`` and ``__mark``, which tells texts of one id apart."""
+        self.ids, self.shingle, self.similarity = ids, shingle, similarity
+        self.rows = saved(ids.select("__id", "__mark", sketches(F.col("__text"), shingle).alias("s")).select("__id", "__mark", "s.*"), "sketches")
+        same = [F.first(c).alias(c) for c in ("n", *PARITY, "fps")]
+        self.nodes = saved(self.rows.groupBy("node").agg(*same, F.min(F.struct("__id", "__mark")).alias("least"), F.count(F.lit(1)).alias("__rows")), "nodes")
+
+    def with_sides(self, links: DataFrame, side: DataFrame) -> DataFrame:
+        """``links`` with the columns of ``side`` (``node`` and others) for both ends; an end may have most links."""
+        total = links.count()
+        for end, other in ("ab", "ba"):
+            named = side.select(*[F.col(c).alias(end if c == "node" else f"{end}_{c}") for c in side.columns])
+            counts = links.groupBy(end).agg(F.count(F.lit(1)).alias("__rows"))
+            links = join_dealt(links, named, end, counts, total, F.col(other))
+        return links
+
+    def sets(self, wanted: DataFrame) -> DataFrame:
+        """``node`` and ``set`` of some nodes, from the texts."""
+        chosen = saved(self.nodes.select("node", "least.__id", "least.__mark").join(wanted.distinct(), "node"), "wanted")
+        found = self.ids.join(chosen, ["__id", "__mark"]).select("node", shingle_hashes(F.col("__text"), self.shingle).alias("set"))
+        return saved(found.dropDuplicates(["node"]), "sets")
+
+    def verified(self, links: DataFrame) -> DataFrame:
+        """Those of the links (``a``, ``b``) whose sets have the similarity."""
+        tidy = saved(links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct(), "candidates")
+        hopeful = saved(self.with_sides(tidy, self.nodes.select("node", "n", *PARITY)).where(_may_reach(self.similarity)).select("a", "b"), "hopeful")
+        sets = self.sets(hopeful.select(F.col("a").alias("node")).unionByName(hopeful.select(F.col("b").alias("node"))))
+        both = F.size(F.array_intersect("a_set", "b_set"))
+        either = F.size("a_set") + F.size("b_set") - both
+        return saved(self.with_sides(hopeful, sets).where(both >= self.similarity * either).select("a", "b"), "links")
+
+    def buckets(self, distance: int, segments: int, max_bucket: int) -> DataFrame:
+        """``node``, ``bucket`` and its ``size``: nodes of a bucket have fingerprints of one family that link; only buckets of several."""
+        marks = self.nodes.select("node", F.posexplode("fps").alias("family", "fp")).withColumn("name", F.xxhash64("family", "fp"))
+        classes = saved(marks.groupBy("name").agg(F.first("family").alias("family"), F.first("fp").alias("fp"), F.count(F.lit(1)).alias("n")), "classes")
+        linked = saved(connected_components(near_pairs(classes, distance, segments, max_bucket)), "linked")
+        named = classes.join(linked.select(F.col("node").alias("name"), "root"), "name", "left").select("name", "n", F.coalesce("root", "name").alias("bucket"))
+        sizes = named.groupBy("bucket").agg(F.sum("n").alias("size")).where("size > 1")
+        shared = saved(named.join(sizes, "bucket").select("name", "bucket", "size", F.col("n").alias("__rows")), "buckets")
+        found = join_groups(marks.select("node", "name"), shared, "name", max(1, FAMILIES * self.nodes.count()), F.col("node"))
+        return saved(found.where("bucket IS NOT NULL").select("node", "bucket", "size").distinct(), "members")
+
+    def to_hubs(self, members: DataFrame) -> DataFrame:
+        """A link from each node of a bucket to its hub: the one whose buckets are the largest, which most copies were made from."""
+        seats = members.groupBy("node").agg(F.sum("size").alias("score"), F.collect_list(F.struct("bucket", "size")).alias("at"))
+        scored = seats.select("node", "score", F.explode("at").alias("x")).select("node", "score", "x.*")
+        hubs = scored.groupBy("bucket").agg(F.max(F.struct("score", "node"))["node"].alias("hub"), F.max("size").alias("__rows"))
+        return join_groups(members, hubs, "bucket", members.count(), F.col("node")).select(F.col("node").alias("a"), F.col("hub").alias("b"))
+
+    def across(self, rows: DataFrame, key: str, block: int = 4096) -> DataFrame:
+        """Links between ``rows`` (``node``, ``part``, ``key``) of one key and different parts, but for pairs within the key's largest part."""
+        counts = rows.groupBy(key, "part").agg(F.count(F.lit(1)).alias("n"))
+        tops = counts.groupBy(key).agg(F.max(F.struct("n", "part"))["part"].alias("top"), F.count(F.lit(1)).alias("parts"), F.sum("n").alias("__rows")).where("parts > 1")
+        tops = saved(tops.withColumn("blocks", F.ceil(F.col("__rows") / block).cast("int")).drop("parts"), "tops")
+        met = saved(join_groups(rows, tops, key, rows.count(), F.col("node")).where("top IS NOT NULL"), "across")
+        left = met.where("part <> top").select(key, F.pmod(F.xxhash64("node", F.lit(1)), F.col("blocks")).cast("int").alias("block"), F.col("node").alias("a"), F.col("part").alias("a_part"))
+        right = met.select(key, F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.col("node").alias("b"), F.col("part").alias("b_part"))
+        return left.join(right, [key, "block"]).where("a_part <> b_part").select("a", "b")
+
+    def by_prefix(self, rows: DataFrame) -> DataFrame:
+        """As ``across`` for all ``rows`` (``node``, ``part``) at once: sets of the similarity share one of their rarest members.
+
+        Of a set of ``n`` members in one order, the first ``n - ceil(similarity * n) + 1``
+        hold one of each similar set's.  The order is by frequency, so that what all of a
+        large bucket share is not compared.
+        """
+        members = saved(self.sets(rows.select("node")).select("node", F.size("set").alias("n"), F.explode("set").alias("hash")), "exploded")
+        counts = members.groupBy("hash").agg(F.count(F.lit(1)).alias("__rows")).withColumn("often", F.col("__rows"))
+        ordered = join_groups(members, counts, "hash", members.count(), F.col("node"))
+        first = F.col("n") - F.ceil(F.col("n") * self.similarity - 1e-6) + 1
+        listed = ordered.groupBy("node", "n").agg(F.array_sort(F.collect_list(F.struct("often", "hash"))).alias("order"))
+        prefix = listed.select("node", F.explode(F.slice("order", F.lit(1), first.cast("int"))).alias("x")).select("node", "x.hash", "x.often").where("often > 1")
+        return self.across(prefix.join(rows, "node").select("node", "part", "hash"), "hash")
 
 
 def keep_one_per_group(
-    df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 2, distance: int = 8, segments: int = 9, shingle: int = 5, similarity: float = 0.8,
-    max_bucket: int = 64,
+    df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8, distance: int = 2, segments: int = 5, max_bucket: int = 64
 ) -> DataFrame:
     """``df`` with one row of each group of near copies: the one with the least id.
 
     Near copies have a Jaccard similarity of ``similarity`` or more in ``shingle``-word
-    shingles.  Their fingerprints over such long shingles lie too far apart for a
-    filter (about 11 of 64 bits at 0.8), so candidates come from fingerprints over
-    shingles of ``words`` words, within ``distance`` bits, and from ``BANDS`` independent
-    fingerprints of the shingle set itself, which are equal whatever the kind of edit
-    (a pair at 0.8 shares none with a probability of 3e-6).  All candidates are
-    verified before they are contracted to groups, but those that the sets' sizes or
-    parities already rule out.  Rows with a null id stay; rows that repeat an
-    id are told apart by their text, and rows that repeat both are one.  Texts of equal
-    shingle sets (by a 64-bit digest) are one node; equal fingerprints are verified like others.
+    shingles.  A fingerprint over all shingles lies too far off for a filter there (about
+    10 of 64 bits at 0.8).  So each text has ``FAMILIES`` fingerprints, each over the
+    ``SAMPLE`` shingles that come first in an order of its own; near copies have equal
+    samples, whatever the kind of edit, but for a probability of 0.002 at 0.8.  Texts
+    with fingerprints of one family within ``distance`` bits, by pigeonring, are
+    candidates, and all candidates are compared by their whole shingle sets.
+
+    First each text of a bucket of candidates is compared with the bucket's hub, which
+    joins most groups.  Then those that are still apart are compared with each other: all
+    of them in a bucket of at most ``max_bucket``; in a larger one, those that share one of
+    their rarest shingles, which loses no pair of the similarity.
+
+    Rows with a null id stay; rows that repeat an id are told apart by their text, and
+    rows that repeat both are one.  Texts of equal shingle sets (by a 64-bit digest) are
+    one node; equal fingerprints are compared like others.
     """
     ids = df.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text"), F.xxhash64(text_col).alias("__mark")).where("__id IS NOT NULL")
-    rows = cut(ids.select("__id", "__mark", sketches(F.col("__text"), words, shingle).alias("__sketch")).select("__id", "__mark", "__sketch.*"))
-    same = [F.first(c).alias(c) for c in ("n", *PARITY, "bands")]
-    nodes = cut(rows.groupBy("node").agg(F.min("fp").alias("fp"), *same, F.min(F.struct("__id", "__mark")).alias("least"), F.count(F.lit(1)).alias("__rows")))
-    chosen = nodes.select("node", "least.__id", "least.__mark")
-    texts = ids.join(chosen, ["__id", "__mark"]).dropDuplicates(["node"]).select("node", "__text")
-
-    def verified(links: DataFrame) -> DataFrame:
-        tidy = cut(links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-        return similar_links(texts, tidy, "node", "__text", shingle, similarity)
-
-    plain = nodes.withColumn("part", F.col("node"))
-    shared = cut(band_members(plain))
-    # links to a band's least node join most groups; then only those between the parts left are looked at
-    first = verified(shared.where("node <> least").select(F.col("node").alias("a"), F.col("least").alias("b")))
-    first = cut(first)
-    parts = connected_components(first).withColumnRenamed("root", "part")
-    apart = cut(nodes.join(parts, "node", "left").withColumn("part", F.coalesce("part", "node")))
-    more = near_pairs(apart, distance, segments, max_bucket, similarity=similarity).unionByName(band_pairs(shared, apart, similarity))
-    roots = connected_components(first.unionByName(verified(more)))
-    keepers = nodes.join(roots, "node", "left").select("node", "__rows", "least", F.coalesce("root", "node").alias("root"))
+    copies = NearCopies(ids, shingle, similarity)
+    members = copies.buckets(distance, segments, max_bucket)
+    first = copies.verified(copies.to_hubs(members))
+    parts = connected_components(first).select("node", F.col("root").alias("part"))
+    apart = saved(members.join(parts, "node", "left").withColumn("part", F.coalesce("part", "node")), "apart")
+    mixed = apart.groupBy("bucket").agg(F.min("part").alias("low"), F.max("part").alias("high"), F.max("size").alias("__rows")).where("low <> high").drop("high")
+    still = saved(join_groups(apart, mixed, "bucket", apart.count(), F.col("node")).where("low IS NOT NULL").drop("low"), "still-apart")
+    few, many = still.where(F.col("size") <= max_bucket), still.where(F.col("size") > max_bucket)
+    more = copies.verified(copies.across(few, "bucket").unionByName(copies.by_prefix(many.select("node", "part").distinct())))
+    roots = connected_components(first.unionByName(more))
+    keepers = copies.nodes.join(roots, "node", "left").select("node", "__rows", "least", F.coalesce("root", "node").alias("root"))
     best = keepers.groupBy("root").agg(F.min("least").alias("keep"))
-    total = nodes.agg(F.sum("__rows")).first()[0] or 0
-    found = join_groups(rows.select("__id", "__mark", "node"), keepers.join(best, "root").select("node", "__rows", "keep"), "node", total, F.col("__id"))
-    dropped = found.where("__id <> keep.__id OR __mark <> keep.__mark").select("__id", "__mark").distinct()
+    total = keepers.agg(F.sum("__rows")).first()[0] or 0
+    rooted = join_dealt(keepers, best, "root", keepers.groupBy("root").agg(F.count(F.lit(1)).alias("__rows")), total, F.col("node"))
+    found = join_groups(copies.rows.select("__id", "__mark", "node"), rooted.select("node", "__rows", "keep"), "node", total, F.col("__id"))
+    dropped = saved(found.where("__id <> keep.__id OR __mark <> keep.__mark").select("__id", "__mark").distinct(), "dropped")
     here = (F.col(id_col) == F.col("__id")) & (F.xxhash64(text_col) == F.col("__mark"))
     kept = df.join(dropped, here, "left_anti")
-    repeated = cut(rows.groupBy("__id", "__mark").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("__id", "__mark"))
+    repeated = saved(copies.rows.groupBy("__id", "__mark").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("__id", "__mark"), "repeated")
     if repeated.isEmpty():
         return kept
     again = kept.join(repeated, here, "left_semi").withColumn("__mark", F.xxhash64(text_col)).dropDuplicates([id_col, "__mark"]).drop("__mark")

@@ -52,14 +52,14 @@ def check(spark, rows, **options):
 def test_star_shaped_groups(spark, max_bucket):
     rows = stars()
     assert jaccard(rows[0][1], rows[6][1]) >= 0.8 > jaccard(rows[0][1], rows[1][1])
-    check(spark, rows, distance=16, segments=17, max_bucket=max_bucket)
+    check(spark, rows, max_bucket=max_bucket)
 
 
 def test_a_star_beyond_a_bucket(spark):
     rng = np.random.default_rng(6)
     base = [f"w{k}" for k in rng.integers(0, 5000, 300)]
     rows = [" ".join(edited(base, rng.choice(300, 5, replace=False))) for _ in range(400)]
-    check(spark, list(enumerate([*rows, " ".join(base)])), distance=16, segments=17)
+    check(spark, list(enumerate([*rows, " ".join(base)])))
 
 
 def test_equal_fingerprints_of_different_texts(spark):
