@@ -7,8 +7,8 @@ changes at most three leaves, each updated on its way to the root, until the roo
 holds no mergeable pair.
 
 The words are those of the tokenizer file: text is cut at added tokens, normalised
-(NFC, white space, lower case) and split by its pattern.  Words recur, so tokens of
-white-space separated pieces are remembered up to a bound.  The file has no decoder;
+(NFC, white space, lower case) and split by its pattern.  Words recur, so their tokens
+are remembered up to a bound of bytes.  The file has no decoder;
 decoding joins the tokens' strings with spaces, as the tokenizers library does.
 
 Defined cases: null text is empty and has no tokens; added tokens in a text become
@@ -25,7 +25,6 @@ import json
 import re
 import unicodedata
 from collections.abc import Iterator
-from dataclasses import dataclass
 
 import pandas as pd
 import public_tokenizers
@@ -33,85 +32,84 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import Remembered, byte_characters, table
 
 PLACE_BITS = 32
 PLACE_MASK = (1 << PLACE_BITS) - 1
-NO_RANK = 1 << 28
-NO_PAIR = NO_RANK << PLACE_BITS
-WORDS = 1 << 19
-PIECES = 1 << 17
+SYMBOL_BITS = 32
+NO_PAIR = 1 << 60
+#: Bytes of one generation of remembered words, in each Python worker.
+CACHE_BYTES = 80 << 20
 #: White space of the normaliser, as characters of a class.
 SPACE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 
 
-class PairTree:
-    """The leftmost lowest-rank pair of a sequence of symbols.
+class Pairs:
+    """Mergeable pairs of symbols: ``leaves`` has the rank of each, above the bits for a place; ``merged`` what each rank makes."""
+
+    def __init__(self, merges: list[tuple[int, int, int]]):
+        """``merges`` are (left, right, merged symbol) by rank."""
+        self.leaves = {a << SYMBOL_BITS | b: rank << PLACE_BITS for rank, (a, b, _) in enumerate(merges)}
+        self.merged = [m for _, _, m in merges]
 
-    A node holds rank and place in one number, so the lesser of two nodes is the one
-    of lower rank, and of equal ranks the left one.
-    """
 
-    def __init__(self, ranks: list[int]):
-        size = self.size = 1 << max(0, len(ranks) - 1).bit_length()
-        leaves = [rank << PLACE_BITS | at for at, rank in enumerate(ranks)]
-        tree = self.tree = [NO_PAIR] * size + leaves + [NO_PAIR] * (size - len(ranks))
-        for node in range(size - 1, 0, -1):
-            left, right = tree[2 * node], tree[2 * node + 1]
-            tree[node] = left if left < right else right
-
-    def update(self, at: int, rank: int) -> None:
-        tree, node = self.tree, self.size + at
-        tree[node] = rank << PLACE_BITS | at
-        while node > 1:
-            node >>= 1
-            left, right = tree[2 * node], tree[2 * node + 1]
-            least = left if left < right else right
-            if tree[node] == least:
-                break
-            tree[node] = least
-
-
-def merge(symbols: list[int], ranks: dict[tuple[int, int], tuple[int, int]]) -> list[int]:
-    """Merges pairs by (rank, merged symbol) until none is left."""
-    n = len(symbols)
+def merge(symbols: list[int], pairs: Pairs) -> list[int]:
+    """Merges the leftmost pair of lowest rank until none is left.
+
+    A node of the tree holds rank and place in one number, so the lesser of two nodes
+    is the one of lower rank, and of equal ranks the left one.
+    """
+    n, leaf, merged = len(symbols), pairs.leaves.get, pairs.merged
     if n < 2:
         return symbols
-    symbols, none = list(symbols), (NO_RANK, -1)
-    after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-    pairs = PairTree([ranks.get(p, none)[0] for p in zip(symbols, symbols[1:], strict=False)])
-    tree, update = pairs.tree, pairs.update
+    size = 1 << (n - 2).bit_length()
+    tree = [NO_PAIR] * size
+    tree += [leaf(a << SYMBOL_BITS | b, NO_PAIR) | at for at, (a, b) in enumerate(zip(symbols, symbols[1:], strict=False))]
+    tree += [NO_PAIR] * (2 * size - len(tree))
+    for node in range(size - 1, 0, -1):
+        left, right = tree[2 * node], tree[2 * node + 1]
+        tree[node] = left if left < right else right
+    symbols, after, before = list(symbols), list(range(1, n + 1)), list(range(-1, n - 1))
     while tree[1] < NO_PAIR:
-        i = tree[1] & PLACE_MASK
+        i, rank = tree[1] & PLACE_MASK, tree[1] >> PLACE_BITS
         j = after[i]
-        symbols[i] = ranks[symbols[i], symbols[j]][1]
+        nxt = after[j]
+        one = symbols[i] = merged[rank]
         symbols[j] = -1
-        nxt = after[i] = after[j]
+        after[i] = nxt
+        changed = [(i, NO_PAIR)]
         if nxt < n:
             before[nxt] = i
-            update(j, NO_RANK)
-            update(i, ranks.get((symbols[i], symbols[nxt]), none)[0])
-        else:
-            update(i, NO_RANK)
-        if before[i] >= 0:
-            update(before[i], ranks.get((symbols[before[i]], symbols[i]), none)[0])
+            changed = [(j, NO_PAIR), (i, leaf(one << SYMBOL_BITS | symbols[nxt], NO_PAIR) | i)]
+        h = before[i]
+        if h >= 0:
+            changed.append((h, leaf(symbols[h] << SYMBOL_BITS | one, NO_PAIR) | h))
+        for at, value in changed:
+            node = size + at
+            tree[node] = value
+            while node > 1:
+                node >>= 1
+                left, right = tree[2 * node], tree[2 * node + 1]
+                least = left if left < right else right
+                if tree[node] == least:
+                    break
+                tree[node] = least
     return [s for s in symbols if s >= 0]
 
 
-def byte_characters() -> list[str]:
-    """The visible character that stands for each byte: printable Latin-1 for itself, others from U+0100 on."""
-    plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
-    other = iter(range(0x100, 0x200))
-    return [chr(b) if b in plain else chr(next(other)) for b in range(256)]
+class Words(Remembered):
+    """Of each lower-cased word its token ids in decimal and their strings, both joined by a space."""
 
+    def __init__(self, codec: Codec):
+        super().__init__(CACHE_BYTES)
+        self.codec = codec
 
-@dataclass(slots=True)
-class Encoded:
-    """Tokens of a piece of text."""
+    def fresh(self, word: str) -> tuple[str, str]:
+        ids = self.codec.word(word)
+        return " ".join(map(str, ids)), self.codec.decode(ids)
 
-    ids: tuple[int, ...]
-    written: str
-    decoded: str
+    def length(self, word: str, value: tuple[str, str]) -> int:
+        return len(word) + len(value[0]) + len(value[1])
 
 
 class Codec:
@@ -125,71 +123,49 @@ class Codec:
         end = model["end_of_word_suffix"]
         self.added = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.tokens = {i: t for t, i in (self.vocabulary | self.added).items()}
-        self.ranks = {}
-        for rank, (a, b) in enumerate(model["merges"]):
-            self.ranks[self.vocabulary[a], self.vocabulary[b]] = (rank, self.vocabulary[a + b])
+        self.pairs = Pairs([(self.vocabulary[a], self.vocabulary[b], self.vocabulary[a + b]) for a, b in model["merges"]])
         self.inner = [self.vocabulary[c] for c in byte_characters()]
         self.last = [self.vocabulary[c + end] for c in byte_characters()]
         pattern = next(p["pattern"]["Regex"] for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
         self.pattern = regex.compile(pattern.replace(r"\s", SPACE))
         self.split_added = re.compile("(" + "|".join(re.escape(t) for t in sorted(self.added, key=len, reverse=True)) + ")")
-        self.space = re.compile(f"[{SPACE}]+")
-        self.words: dict[str, tuple[int, ...]] = {}
-        self.pieces: dict[str, Encoded] = {}
-
-    def word(self, word: str) -> tuple[int, ...]:
-        found = self.words.get(word)
-        if found is None:
-            data = word.encode("utf-8", "replace")
-            found = tuple(merge([*(self.inner[b] for b in data[:-1]), self.last[data[-1]]], self.ranks))
-            if len(self.words) >= WORDS:
-                self.words.clear()
-            if len(word) < 256:
-                self.words[word] = found
-        return found
-
-    def piece(self, piece: str) -> Encoded:
-        """A piece without white space or added tokens."""
-        found = self.pieces.get(piece)
-        if found is None:
-            normal = unicodedata.normalize("NFC", piece)
-            lowered = "".join(map(str.lower, normal)) if not normal.isascii() else normal.lower()
-            ids = tuple(i for w in self.pattern.findall(lowered) for i in self.word(w))
-            found = Encoded(ids, " ".join(map(str, ids)), self.decode(ids))
-            if len(self.pieces) >= PIECES:
-                self.pieces.clear()
-            if len(piece) < 256:
-                self.pieces[piece] = found
-        return found
-
-    def parts(self, text: str) -> Iterator[Encoded]:
-        if "<|" in text:
-            for k, part in enumerate(self.split_added.split(text)):
-                if k % 2:
-                    yield Encoded((self.added[part],), str(self.added[part]), part)
-                else:
-                    yield from map(self.piece, self.pieces_of(part))
-        else:
-            yield from map(self.piece, self.pieces_of(text))
+        self.words = Words(self)
 
-    def pieces_of(self, text: str) -> list[str]:
-        return [p for p in self.space.split(text) if p]
+    def word(self, word: str) -> list[int]:
+        data = word.encode("utf-8", "replace")
+        return merge([*(self.inner[b] for b in data[:-1]), self.last[data[-1]]], self.pairs)
+
+    def split(self, text: str) -> list[str]:
+        """The lower-cased words of a text without added tokens."""
+        if text.isascii():
+            lowered = text.lower()
+        else:
+            normal = unicodedata.normalize("NFC", text)
+            # as a whole, a capital sigma that ends a word would become another letter
+            lowered = normal.lower() if "\u03a3" not in normal else "".join(map(str.lower, normal))
+        return self.pattern.findall(lowered)
+
+    def parts(self, text: str) -> list[tuple[str, str]]:
+        """Ids in decimal and strings of each word and added token."""
+        if "<|" not in text:
+            return list(map(self.words.__getitem__, self.split(text)))
+        out = []
+        for k, part in enumerate(self.split_added.split(text)):
+            out += [(str(self.added[part]), part)] if k % 2 else map(self.words.__getitem__, self.split(part))
+        return out
 
     def encode(self, text: str | None) -> list[int]:
-        return [i for part in self.parts(text or "") for i in part.ids]
+        return [int(i) for written, _ in self.parts(text or "") for i in written.split(" ")]
 
     def decode(self, ids) -> str:
-        return " ".join(self.tokens[i] for i in ids)
+        return " ".join([self.tokens[i] for i in ids])
 
     def digests(self, text: str | None) -> tuple[int, str, str]:
         """Number of ids, and SHA-256 of the ids in decimal and of the decoded text."""
-        parts = [p for p in self.parts(text or "") if p.ids]
-        written, decoded = " ".join(p.written for p in parts), " ".join(p.decoded for p in parts)
-        return (
-            sum(len(p.ids) for p in parts),
-            hashlib.sha256(written.encode()).hexdigest(),
-            hashlib.sha256(decoded.encode("utf-8", "replace")).hexdigest(),
-        )
+        parts = self.parts(text or "")
+        written, decoded = " ".join([w for w, _ in parts]), " ".join([d for _, d in parts])
+        count = written.count(" ") + 1 if written else 0
+        return count, hashlib.sha256(written.encode()).hexdigest(), hashlib.sha256(decoded.encode("utf-8", "replace")).hexdigest()
 
 
 @functools.cache

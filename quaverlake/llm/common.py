@@ -91,6 +91,47 @@ def join_dealt(rows: DataFrame, side: DataFrame, key: str, counts: DataFrame, to
     return left.join(right, [key, "__share"]).drop("__share")
 
 
+class Remembered(dict):
+    """Values by key, made by ``fresh`` when they are first asked for and kept up to a bound of bytes.
+
+    When it is full, it becomes the older one, and what is met again moves on from there.
+    Very large entries are not kept.
+    """
+
+    #: Bytes of an entry besides the length of its key and value, about.
+    ENTRY = 240
+
+    def __init__(self, most_bytes: int):
+        super().__init__()
+        self.most, self.held, self.older = most_bytes, 0, {}
+
+    def fresh(self, key):
+        raise NotImplementedError
+
+    def length(self, key, value) -> int:
+        return len(key) + len(value)
+
+    def __missing__(self, key):
+        found = self.older.get(key)
+        if found is None:
+            found = self.fresh(key)
+        size = self.ENTRY + self.length(key, found)
+        if size * 1000 <= self.most:
+            if self.held + size > self.most:
+                self.older, self.held = dict(self), 0
+                self.clear()
+            self[key] = found
+            self.held += size
+        return found
+
+
+def byte_characters() -> list[str]:
+    """The visible character that stands for each byte: printable Latin-1 for itself, others from U+0100 on."""
+    plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    other = iter(range(0x100, 0x200))
+    return [chr(b) if b in plain else chr(next(other)) for b in range(256)]
+
+
 def crc_remainder(id_col: Column, modulus: int) -> Column:
     """crc32 of the id's decimal text, modulo ``modulus`` (null for a null id)."""
     return F.pmod(F.crc32(id_col.cast("string").cast("binary")), F.lit(modulus))

@@ -39,14 +39,15 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from .common import cut, new_folder, table
+from .common import Remembered, byte_characters, cut, new_folder, table
 
 MAGIC = b"DACTOK01"
 #: Bits of each chunk; the last level takes all that is left of 32.
 CHUNKS = (8, 4, 4, 16)
 RANK_BLOCK = 512
 FILE_TOKENS = 1 << 22
-CACHE = 1 << 19
+#: Bytes of one generation of remembered pieces, in each Python worker.
+CACHE_BYTES = 120 << 20
 
 
 # --- the codes -------------------------------------------------------------
@@ -174,29 +175,19 @@ def is_odd(text: str) -> bool:
     return text[:1] == " " or text[-1:] in (" ", "\n") or any(s in text for s in ("  ", "\n\n", " \n", "\n ", *RARE_SPACE))
 
 
-def byte_characters() -> dict[int, int]:
-    """The character that stands for each byte: printable Latin-1 for itself, others from U+0100 on."""
-    plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
-    others = [b for b in range(256) if b not in plain]
-    return {b: b for b in plain} | {b: 0x100 + k for k, b in enumerate(others)}
-
-
-class PieceCache(dict):
-    """Token ids of the pieces of texts, as little-endian bytes, up to a bound.
+class PieceCache(Remembered):
+    """Token ids of the pieces of texts, as little-endian bytes, up to a bound of bytes.
 
     The library encodes each piece once; a text is then a join of its pieces.  Of a
     plain word the library's model is asked at once, as its pattern cannot split it.
-    When the cache is full, it becomes the older one, and what is met again moves on
-    from there.
     """
 
     def __init__(self, path: str):
-        super().__init__()
+        super().__init__(CACHE_BYTES)
         self.library = Tokenizer.from_file(path)
         self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
         self.tokenize = self.library.model.tokenize
-        self.characters = byte_characters()
-        self.older: dict[str, bytes] = {}
+        self.characters = dict(enumerate(byte_characters()))
 
     def whole(self, text: str) -> bytes:
         return array("I", self.library.encode(text, add_special_tokens=False).ids).tobytes()
@@ -215,14 +206,6 @@ class PieceCache(dict):
             return self["\n"] + self[FIRST + piece[1:]]
         return self.whole(piece)
 
-    def __missing__(self, piece: str) -> bytes:
-        found = self.older.get(piece) or self.fresh(piece)
-        if len(self) >= CACHE:
-            self.older = dict(self)
-            self.clear()
-        self[piece] = found
-        return found
-
     def encode(self, text: str) -> bytes:
         if any(s in text for s in self.special):
             return self.whole(text)
