@@ -10,7 +10,8 @@ as hash tables from such strings to the cost in every language, and scoring a te
 is one lookup a byte, with shorter contexts for strings no language has seen.
 
 Trees are fitted on at most ``docs_per_language`` labelled documents a language,
-those with the least hashes; scoring covers every byte of every text.  The
+those with the least hashes, and ``bytes_per_language`` bytes of them; scoring covers
+every byte of every text.  The
 prediction has the shortest code; the score is its posterior under equal priors.
 
 Defined cases: a null text, or one without a letter, is ``und`` with score 0, and so
@@ -29,7 +30,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_remainder, table
+from .common import crc_remainder, saved, table
 
 UNDETERMINED = "und"
 PAD = b"\n"
@@ -191,15 +192,24 @@ def build(counts: pd.DataFrame, order: int) -> Model:
     return Model(languages, order, single.astype(np.float32), strings, escapes)
 
 
-def train(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", order: int = 4, docs_per_language: int = 300) -> Model | None:
-    """Fits the trees on the rows of ``df``; None where no row has both text and label."""
+def train(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", order: int = 4, docs_per_language: int = 300, bytes_per_language: int = 1 << 23) -> Model | None:
+    """Fits the trees on a sample of the rows of ``df``; None where no row has both text and label.
+
+    Of each language it takes the documents with the least hashes, while they are at most
+    ``docs_per_language`` and have ``bytes_per_language`` bytes before the last, so what
+    reaches the driver has a bound of bytes a language.
+    """
     from pyspark.sql import Window
 
     usable = df.where(F.col(text_col).isNotNull() & F.col(lang_col).isNotNull() & F.col(id_col).isNotNull())
     # the row limit acts within each task first, so a common language does not gather in one
     by_hash = Window.partitionBy(lang_col).orderBy(F.md5(F.col(id_col).cast("string")), id_col)
-    picked = usable.select(id_col, lang_col).withColumn("__place", F.row_number().over(by_hash)).where(F.col("__place") <= docs_per_language)
-    sample = usable.join(picked.select(F.col(id_col).alias("__id")), F.col(id_col) == F.col("__id"), "left_semi")
+    sized = usable.select(id_col, lang_col, F.octet_length(text_col).cast("long").alias("__bytes"))
+    first = sized.withColumn("__place", F.row_number().over(by_hash)).where(F.col("__place") <= docs_per_language)
+    before = F.coalesce(F.sum("__bytes").over(by_hash.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    # a small table, which the join can broadcast, so that no text is shuffled
+    picked = saved(first.withColumn("__before", before).where(F.col("__before") < bytes_per_language).select(F.col(id_col).alias("__id")), "sample")
+    sample = usable.join(picked, F.col(id_col) == F.col("__id"), "left_semi")
     counts = string_counts(sample, order, lang_col, text_col).toPandas()
     return build(counts, order) if len(counts) else None
 
