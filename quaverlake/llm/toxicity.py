@@ -1,7 +1,8 @@
 """Toxicity by non-negative positive-unlabelled learning.
 
-Confirmed toxic documents are the positives; all other text, whatever its label, is
-unlabelled.  With a class prior ``p`` and logistic loss ``l`` a linear classifier
+Confirmed toxic documents are the positives; the unlabelled ones are drawn from all
+text that may be learned from, whatever its label and positives included, so that the
+prior is theirs too.  With a class prior ``p`` and logistic loss ``l`` a linear classifier
 minimises the corrected risk ``p E+[l(g)] + max(0, Eu[l(-g)] - p E+[l(-g)])``, by
 mini-batches; where the second term falls below zero, the step goes against it, so
 that flexible classifiers cannot make it negative by overfitting.
@@ -20,6 +21,7 @@ result.
 
 from __future__ import annotations
 
+import functools
 import re
 import zlib
 from collections.abc import Iterator
@@ -31,33 +33,37 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import crc_remainder, cut, table
+from .common import Remembered, crc_remainder, saved, table
 
 WORD = re.compile(r"[^\W\d_]+")
 #: Lengths of the word beginnings that count as features, for inflected and compound words.
 STEMS = (4, 5, 6, 7, 8)
-CACHE = 1 << 17
+#: Bytes of one generation of remembered words, in each Python worker.
+CACHE_BYTES = 48 << 20
 
 
-class Places(dict):
+class Places(Remembered):
     """Word to the hashed places of itself and its stems, remembered up to a bound."""
 
     def __init__(self, bits: int):
-        super().__init__()
+        super().__init__(CACHE_BYTES)
         self.mask = (1 << bits) - 1
 
-    def __missing__(self, word: str) -> tuple[int, ...]:
-        if len(self) >= CACHE:
-            self.clear()
+    def fresh(self, word: str) -> tuple[int, ...]:
         parts = {word + "$", *(word[:n] for n in STEMS if n <= len(word))}
-        places = self[word] = tuple(zlib.crc32(p.encode("utf-8", "replace")) & self.mask for p in parts)
-        return places
+        return tuple(zlib.crc32(p.encode("utf-8", "replace")) & self.mask for p in parts)
 
     def of(self, text: str | None) -> np.ndarray:
         words = set(WORD.findall((text or "").lower()))
         return np.array(sorted(set(chain.from_iterable(map(self.__getitem__, words)))), dtype=np.int64)
 
 
+@functools.cache
+def places_of(bits: int) -> Places:
+    """One a Python worker."""
+    return Places(bits)
+
+
 @dataclass
 class Classifier:
     weights: np.ndarray
@@ -65,7 +71,7 @@ class Classifier:
     bits: int
 
     def scores(self, texts: list[str | None]) -> np.ndarray:
-        places = Places(self.bits)
+        places = places_of(self.bits)
         margins = np.array([self.weights[places.of(t)].sum() for t in texts]) + self.bias
         return 1 / (1 + np.exp(-np.clip(margins, -50, 50)))
 
@@ -124,31 +130,36 @@ def _train_member(rows: pd.DataFrame, prior: float, bits: int, least_share: floa
 def fit(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", bits: int = 18, members: int = 3, positives: int = 1500, unlabelled: int = 6000, least_share: float = 0.02, least_lift: float = 2.0) -> Classifier:
     """The averaged classifier of ``members`` trained ones.
 
-    Each learns from at most ``positives`` toxic rows and ``unlabelled`` other rows of
+    Each learns from at most ``positives`` toxic rows and ``unlabelled`` rows of any kind of
     ``df``, about: a row belongs to a member's sample if its hash falls below the share
-    that the bound is of all rows.  Features are those in at least ``least_share`` of
-    the positives, and ``least_lift`` times as often as in the others.  ``labels`` are those that may be learned
-    from.
+    that the bound is of all rows; a toxic row may be in both.  Features are those in at
+    least ``least_share`` of the positives, and ``least_lift`` times as often as in the
+    unlabelled: with some hundred positives, words of only a few of them, or of all text,
+    separate the sample by chance, and the corrected risk cannot tell.  ``labels`` are
+    those that may be learned from.
     """
     marks = labels.groupBy(F.col(id_col).alias("__id")).agg(F.max(label_col).alias("__label"))
     rows = df.where(F.col(id_col).isNotNull())
-    ids = cut(rows.select(F.col(id_col).alias("__row")).join(marks, F.col("__row") == F.col("__id"), "left").select("__row", "__label"))
+    ids = saved(rows.select(F.col(id_col).alias("__row")).join(marks, F.col("__row") == F.col("__id"), "left").select("__row", "__label"), "labelled")
     n = ids.agg(F.count_if(F.col("__label") == 1).alias("p"), F.count_if(F.col("__label") == 0).alias("n"), F.count(F.lit(1)).alias("all")).first()
     prior = n["p"] / max(1, n["p"] + n["n"])
     if not n["p"] or n["p"] == n["all"]:
         return Classifier(np.zeros(1 << bits), float(np.log(max(prior, 1e-6) / max(1 - prior, 1e-6))), bits)
-    share = F.when(F.col("__label") == 1, F.lit(min(1.0, positives / n["p"]))).otherwise(F.lit(min(1.0, unlabelled / (n["all"] - n["p"]))))
-    drawn = ids.select("__row", F.coalesce(F.col("__label") == 1, F.lit(False)).alias("positive"), F.explode(F.sequence(F.lit(0), F.lit(members - 1))).alias("member"), "__label")
-    drawn = drawn.withColumn("hash", F.pmod(F.xxhash64("__row", "member"), F.lit(1 << 30)) / F.lit(float(1 << 30))).where(F.col("hash") < share)
+    sides = [ids.where("__label = 1").select("__row", F.lit(True).alias("positive"), F.lit(min(1.0, positives / n["p"])).alias("share"))]
+    sides.append(ids.select("__row", F.lit(False).alias("positive"), F.lit(min(1.0, unlabelled / n["all"])).alias("share")))
+    drawn = sides[0].unionByName(sides[1]).withColumn("member", F.explode(F.sequence(F.lit(0), F.lit(members - 1))))
+    drawn = drawn.withColumn("hash", F.pmod(F.xxhash64("__row", "member", "positive"), F.lit(1 << 30)) / F.lit(float(1 << 30))).where("hash < share").drop("share")
+    # a small table, which the join can broadcast, so that no text is shuffled
+    drawn = saved(drawn.distinct(), "drawn")
 
     @F.pandas_udf("array<int>")
     def places(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        known = Places(bits)
+        known = places_of(bits)
         for batch in batches:
             yield batch.map(lambda t: known.of(t).astype(np.int32))
 
     texts = rows.select(F.col(id_col).alias("__row"), F.col(text_col).alias("__text"))
-    sample = texts.join(drawn.drop("__label"), "__row").select("member", "positive", "hash", places("__text").alias("places"))
+    sample = texts.join(drawn, "__row").select("member", "positive", "hash", places("__text").alias("places"))
     learned = sample.groupBy("member").applyInPandas(lambda x: _train_member(x, prior, bits, least_share, least_lift), "place int, weight double").toPandas()
     weights = np.zeros(1 << bits)
     inner = learned[learned["place"] >= 0]
