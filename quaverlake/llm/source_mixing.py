@@ -13,9 +13,10 @@ crossed.  Size classes (an eighth of a power of two) keep the words taken within
 a few documents of the target.
 
 A source may hold most rows, so its prefix sum has three levels: rows are numbered
-within blocks of (source, size class, id modulo ``blocks``), and counts of blocks
-within their class and of classes within their source, one small row each, are
-summed ahead of them.
+within blocks, into which a hash of id and size deals the rows of a (source, size
+class) of many, and counts of blocks within their class and of classes within their
+source, one small row each, are summed ahead of them.  A block has about
+``BLOCK_ROWS`` rows, or the ``MOST_BLOCKS``-th part of all if that is more.
 
 Defined cases: null text has size 0; documents of size 0 are numbered like the
 others, and take 0 words; a source whose sizes are all 0 has target 0 and no
@@ -29,11 +30,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, table
+from .common import cut, saved, table
 
 RESULTS = ("size", "source_size", "target", "taken")
 WEIGHT_CYCLE = 3
-BLOCK_ROWS = 65536
+BLOCK_ROWS = 2048
+MOST_BLOCKS = 20000
 BLOCK = ["__source", "__class", "__block"]
 
 
@@ -71,6 +73,20 @@ def source_targets(sized: DataFrame, max_repeat: int) -> DataFrame:
     )
 
 
+def class_blocks(slim: DataFrame) -> DataFrame:
+    """The (source, class) pairs of more than one block, with their ``__blocks``: fewer than ``MOST_BLOCKS``."""
+    most = max(BLOCK_ROWS, slim.count() // MOST_BLOCKS)
+    counts = slim.groupBy("__source", "__class").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > most)
+    return saved(counts.select("__source", "__class", F.ceil(F.col("n") / most).alias("__blocks")), "blocks")
+
+
+def in_blocks(rows: DataFrame, blocks: DataFrame) -> DataFrame:
+    """``rows`` with their ``__block``: a hash of id and size, modulo the blocks of the class."""
+    digest = F.conv(F.substring(F.md5(F.concat_ws(":", F.col("__id").cast("string"), F.col("__size").cast("string"))), 1, 8), 16, 10).cast("long")
+    met = rows.join(F.broadcast(blocks), ["__source", "__class"], "left")
+    return met.withColumn("__block", F.pmod(digest, F.coalesce("__blocks", F.lit(1)))).drop("__blocks")
+
+
 def block_starts(slim: DataFrame, max_repeat: int) -> DataFrame:
     """One row per block: the rows of its source ahead of it, and its source's figures."""
     counts = slim.groupBy(*BLOCK).agg(F.count(F.lit(1)).alias("__rows"))
@@ -99,10 +115,10 @@ def mix_sources(
     base = base.withColumn("__class", bit_class)
     slim = base.select("__source", "__class", "__size", "__id")
     slim = slim if size_col else cut(slim)
-    block = F.pmod(F.col("__id"), F.lit(max(1, -(-slim.count() // BLOCK_ROWS))))
+    blocks = class_blocks(slim)
     within = Window.partitionBy(*BLOCK).orderBy("__size", F.col(id_col).asc_nulls_first())
-    numbered = base.withColumn("__block", block).withColumn("__row", F.row_number().over(within))
-    joined = numbered.join(block_starts(slim.withColumn("__block", block), max_repeat), BLOCK)
+    numbered = in_blocks(base, blocks).withColumn("__row", F.row_number().over(within))
+    joined = numbered.join(block_starts(in_blocks(slim, blocks), max_repeat), BLOCK)
 
     def reached(rows: Column) -> Column:
         return F.floor(F.col("__rate") * rows + F.col("__offset"))
@@ -138,10 +154,11 @@ def query(spark, sf_dir: str) -> DataFrame:
 ORACLE = r"""
 WITH d AS (
   SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size FROM documents),
+k AS (SELECT *, length(bin(size)) * 8 + ((size >> greatest(length(bin(size)) - 4, 0)) & 7) AS class FROM d),
 c AS (
-  SELECT *, length(bin(size)) * 8 + ((size >> greatest(length(bin(size)) - 4, 0)) & 7) AS class,
-         coalesce(doc_id, 0) % greatest(1, ceil((SELECT count(*) FROM d) / 65536.0))::BIGINT AS block
-  FROM d),
+  SELECT *, ('0x' || substr(md5(coalesce(doc_id, 0) || ':' || size), 1, 8))::BIGINT
+         % ceil(count(*) OVER (PARTITION BY source, class) / greatest(2048, (SELECT count(*) FROM d) // 20000)::DOUBLE)::BIGINT AS block
+  FROM k),
 w AS (
   SELECT source, sum(size)::BIGINT AS source_size, sum(size)::BIGINT * 3 AS cap,
          (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1 AS weight
