@@ -8,9 +8,9 @@ passes straight through; only the other rows shuffle, to be grouped by the
 SHA-256 of their text; the rows of a large group are dealt by id instead.  False
 positives cost a shuffled row, never a wrong result.
 
-The filter is broadcast as 4 KB bitmaps.  Its size is bounded by
-``max_filter_bits`` (32 MB by default), whatever the input: beyond about
-``max_filter_bits / 8`` rows more unique rows shuffle, and results stay the same.
+The filter has 32 bits a row, as 4 KB bitmaps.  Up to ``max_filter_bits`` (32 MB by
+default) they are broadcast; a larger filter is joined by the range of hashes that a
+bitmap holds, where the few ranges that very many rows hit are dealt by id.
 
 Defined cases: a null text counts as empty; rows with a null id come after all
 others when a keeper is chosen; rows that repeat both id and text are the same
@@ -36,9 +36,9 @@ def normalised(text: Column) -> Column:
     return F.regexp_replace(F.coalesce(text, F.lit("")), ASCII_SPACE, " ")
 
 
-def filter_bits(rows: int, max_filter_bits: int) -> int:
-    """A power of two, 32 bits a row, within bounds."""
-    return max(BITMAP_BITS, min(max_filter_bits, 1 << max(1, 32 * rows).bit_length()))
+def filter_bits(rows: int) -> int:
+    """A power of two, 32 bits a row or more."""
+    return max(BITMAP_BITS, 1 << max(1, 32 * rows).bit_length())
 
 
 def _probe(digest: str, k: int, bits: int) -> Column:
@@ -46,24 +46,27 @@ def _probe(digest: str, k: int, bits: int) -> Column:
 
 
 def repeat_filter(digests: DataFrame, digest: str, bits: int) -> DataFrame:
-    """Bitmaps of the positions that two or more rows hit; at most ``bits / 8`` bytes."""
+    """Bitmaps of the positions that two or more rows hit, at most ``bits / 8`` bytes, with the hits of each (``__rows``)."""
     hit = (
         digests.select(F.explode(F.array(*[_probe(digest, k, bits) for k in range(PROBES)])).alias("__pos"))
         .groupBy("__pos").agg(F.count(F.lit(1)).alias("__n"))
         .where("__n > 1")
     )
     return hit.groupBy(F.shiftright("__pos", 15).alias("__bucket")).agg(
-        F.bitmap_construct_agg(F.col("__pos").bitwiseAND(BITMAP_BITS - 1)).alias("__bits")
+        F.bitmap_construct_agg(F.col("__pos").bitwiseAND(BITMAP_BITS - 1)).alias("__bits"), F.sum("__n").alias("__rows")
     )
 
 
-def mark_possible_repeats(rows: DataFrame, digest: str, bits: int, bitmaps: DataFrame) -> DataFrame:
+def mark_possible_repeats(rows: DataFrame, id_col: str, digest: str, bits: int, bitmaps: DataFrame, broadcast: bool, total: int) -> DataFrame:
     """Adds ``__maybe``: true where all positions of the row's hash are in the filter."""
     out = rows
     for k in range(PROBES):
-        side = F.broadcast(bitmaps.select(F.col("__bucket").alias(f"__bucket{k}"), F.col("__bits").alias(f"__bits{k}")))
+        side = bitmaps.select(F.col("__bucket").alias(f"__bucket{k}"), F.col("__bits").alias(f"__bits{k}"), "__rows")
         out = out.withColumn(f"__pos{k}", _probe(digest, k, bits))
-        out = out.join(side, F.shiftright(f"__pos{k}", 15) == F.col(f"__bucket{k}"), "left")
+        if broadcast:
+            out = out.join(F.broadcast(side.drop("__rows")), F.shiftright(f"__pos{k}", 15) == F.col(f"__bucket{k}"), "left")
+        else:
+            out = join_groups(out.withColumn(f"__bucket{k}", F.shiftright(f"__pos{k}", 15)), side, f"__bucket{k}", PROBES * total, F.col(id_col))
     test = " AND ".join(
         f"coalesce(shiftright(cast(conv(hex(substring(__bits{k}, cast(shiftright(__pos{k} & 32767, 3) + 1 AS INT), 1)), 16, 10) AS INT),"
         f" cast(__pos{k} & 7 AS INT)) & 1 = 1, false)"
@@ -72,14 +75,20 @@ def mark_possible_repeats(rows: DataFrame, digest: str, bits: int, bitmaps: Data
     return out.withColumn("__maybe", F.expr(test)).drop(*[f"__{x}{k}" for x in ("pos", "bucket", "bits") for k in range(PROBES)])
 
 
-def group_by_digest(rows: DataFrame, id_col: str, digest: str, max_filter_bits: int) -> DataFrame:
-    """``rows`` with ``__keep_id`` and ``__group_size``."""
-    total = rows.count()
-    bits = filter_bits(total, max_filter_bits)
-    tested = mark_possible_repeats(rows, digest, bits, repeat_filter(rows.select(digest), digest, bits))
-    maybe, unique = tested.where("__maybe").drop("__maybe"), tested.where("NOT __maybe").drop("__maybe")
+def group_by_digest(rows: DataFrame, id_col: str, digest: str, max_filter_bits: int, slim: DataFrame | None = None) -> DataFrame:
+    """``rows`` with ``__keep_id`` and ``__group_size``.  ``slim`` has the ids and digests of ``rows``, where these are costly."""
+    slim = rows.select(id_col, digest) if slim is None else slim
+    total = slim.count()
+    bits = filter_bits(total)
+    bitmaps = cut(repeat_filter(slim.select(digest), digest, bits))
+
+    def split(df: DataFrame) -> list[DataFrame]:
+        tested = mark_possible_repeats(df, id_col, digest, bits, bitmaps, bits <= max_filter_bits, total)
+        return [tested.where(x).drop("__maybe") for x in ("__maybe", "NOT __maybe")]
+
+    maybe, unique = split(rows)
     # min() skips null ids, so a null id is kept only where the group has no other
-    groups = maybe.groupBy(digest).agg(F.min(id_col).alias("__keep_id"), F.count(F.lit(1)).alias("__group_size")).withColumn("__rows", F.col("__group_size"))
+    groups = split(slim)[0].groupBy(digest).agg(F.min(id_col).alias("__keep_id"), F.count(F.lit(1)).alias("__group_size")).withColumn("__rows", F.col("__group_size"))
     grouped = join_groups(maybe, groups, digest, total, F.col(id_col))
     passed = unique.withColumns({"__keep_id": F.col(id_col), "__group_size": F.lit(1).cast("long")})
     return grouped.unionByName(passed)
@@ -103,7 +112,7 @@ def annotate_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "
 def keep_distinct(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_filter_bits: int = 1 << 28) -> DataFrame:
     """One row of each group of equal texts, with the input's own columns."""
     rows = df.withColumn("__sha", F.sha2(normalised(F.col(text_col)), 256))
-    found = group_by_digest(rows, id_col, "__sha", max_filter_bits)
+    found = group_by_digest(rows, id_col, "__sha", max_filter_bits, cut(rows.select(id_col, "__sha")))
     single = found.where("__group_size = 1")
     # a keeper is one row but where id and text repeat; such copies collapse by digest
     several = found.where(F.col("__keep_id").eqNullSafe(F.col(id_col)) & (F.col("__group_size") > 1)).dropDuplicates(["__sha"])
