@@ -1,22 +1,25 @@
 r"""WARC archives with revisit resolution.
 
-Writing: headers (page id and SHA-1 payload digest) shuffle by digest, without
+Writing: headers (page id and SHA-1 payload digest) are grouped by digest, without
 payloads; the largest page id of a digest becomes the ``response``, and other
 captures of at least ``min_bytes`` become ``revisit`` records that refer to it and
-carry no payload.  Each record gets fresh headers and is written by Spark's text
-writer with the line separator CR LF CR LF, which is how a WARC record ends, so
-archives go through Spark's commit protocol to any store it can write.  Each file is
-compressed as one gzip stream.
+carry no payload.  Captures learn of their group by a join on the digest, in which
+they are shuffled once, payload and all, where the groups are too many to broadcast.
+Each record gets fresh headers and is written by Spark's text writer with the line
+separator CR LF CR LF, which is how a WARC record ends, so archives go through Spark's
+commit protocol to any store it can write.  A file has at most ``file_bytes`` bytes of
+payload, or one record, and is compressed as one gzip stream.
 
 Reading: archives are parsed by Content-Length (the payload may hold any bytes),
-payload length and digest are taken from the bytes read, and revisit records are
-joined to their original responses.
+payload length and digest are taken from the bytes read and kept, and revisit records
+are joined to their original responses, those of one original dealt over tasks.
 
 Defined cases: null html is an empty payload; a null url becomes ``urn:none``;
 control characters in a url are percent-encoded; a null page id is a response or
 revisit like another, and is the original only where its digest has no other id;
 rows that repeat page id and payload are the same capture and share its record
-type; an empty table gives an empty result.  Extra columns are not archived.
+type; rows of one page id with different payloads are different records, as a record
+id names page and digest; an empty table gives an empty result.  Extra columns are not archived.
 """
 
 from __future__ import annotations
@@ -30,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import join_groups, new_folder, table
+from .common import join_groups, new_folder, saved, table
 
 CRLF = "\r\n"
 #: RFC 4648 digits, and the digits that conv() writes in base 32.
@@ -59,7 +62,7 @@ def resolve_revisits(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
 
 
 def _record_id(page_id: Column) -> Column:
-    return F.concat(F.lit("<urn:x-page:"), F.coalesce(page_id.cast("string"), F.lit("none")), F.lit(">"))
+    return F.concat(F.lit("<urn:x-page:"), F.coalesce(page_id.cast("string"), F.lit("none")), F.lit(":"), F.col("digest"), F.lit(">"))
 
 
 def records(resolved: DataFrame, date: str = "2024-01-01T00:00:00Z") -> DataFrame:
@@ -83,11 +86,17 @@ def records(resolved: DataFrame, date: str = "2024-01-01T00:00:00Z") -> DataFram
     return resolved.select(F.concat(F.concat_ws(CRLF, *lines), F.lit(CRLF * 2), block).alias("value"))
 
 
-def write_archives(pages: DataFrame, path: str, min_bytes: int = 0, records_per_file: int = 2000) -> None:
-    """Writes ``pages`` as deduplicated archives, each of at most ``records_per_file`` records."""
-    records(resolve_revisits(pages, min_bytes)).write.option("lineSep", CRLF * 2).option("maxRecordsPerFile", records_per_file).option(
-        "compression", "gzip"
-    ).text(path)
+def write_archives(pages: DataFrame, path: str, min_bytes: int = 0, file_bytes: int = 64 << 20, usual_bytes: int = 32 << 10) -> None:
+    """Writes ``pages`` as deduplicated archives, each of at most ``file_bytes`` of payload or one record.
+
+    Payloads above ``usual_bytes`` go to files of their own, of fewer records.
+    """
+    resolved, length = resolve_revisits(pages, min_bytes), F.octet_length("payload")
+    most = pages.agg(F.max(F.octet_length("html"))).first()[0] or 0
+    shares = [(resolved, max(1, most))] if most <= usual_bytes else [(resolved.where(length <= usual_bytes), usual_bytes), (resolved.where(length > usual_bytes), most)]
+    for rows, largest in shares:
+        writer = records(rows).write.mode("append").option("lineSep", CRLF * 2).option("compression", "gzip")
+        writer.option("maxRecordsPerFile", max(1, min(2000, file_bytes // largest))).text(path)
 
 
 def parse_archive(content: bytes) -> Iterator[tuple[dict[str, str], memoryview]]:
@@ -106,7 +115,7 @@ def parse_archive(content: bytes) -> Iterator[tuple[dict[str, str], memoryview]]
 
 
 def _page_of(record_id: str | None) -> int | None:
-    number = record_id[len("<urn:x-page:") : -1] if record_id else "none"
+    number = record_id[len("<urn:x-page:") :].partition(":")[0] if record_id else "none"
     return None if number == "none" else int(number)
 
 
@@ -131,12 +140,14 @@ def _parse_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
 def read_archives(spark: SparkSession, path: str) -> DataFrame:
     """One row per record, revisits resolved to their original's payload figures."""
     files = spark.read.format("binaryFile").load(path).select("content")
-    parsed = files.mapInArrow(_parse_batches, PARSED)
-    originals = parsed.where("record_type = 'response'").groupBy(F.col("record_id").alias("original")).agg(
+    parsed = saved(files.mapInArrow(_parse_batches, PARSED), "warc-records")
+    originals = parsed.where("record_type = 'response'").groupBy(F.col("record_id").alias("refers_to_record")).agg(
         F.first("payload_bytes").alias("original_bytes"), F.first("payload_digest").alias("original_digest"), F.first("page_id").alias("refers_to")
     )
     responses = parsed.where("record_type = 'response'").select("page_id", "payload_bytes", "payload_digest", "record_type", F.lit(None).cast("long").alias("refers_to"))
-    revisits = parsed.where("record_type = 'revisit'").join(originals, F.col("refers_to_record") == F.col("original"), "left").select(
+    again = parsed.where("record_type = 'revisit'").select("page_id", "record_type", "refers_to_record")
+    counts = again.groupBy("refers_to_record").agg(F.count(F.lit(1)).alias("__rows"))
+    revisits = join_groups(again, originals.join(counts, "refers_to_record"), "refers_to_record", again.count(), F.col("page_id")).select(
         "page_id", F.col("original_bytes").alias("payload_bytes"), F.col("original_digest").alias("payload_digest"), "record_type", "refers_to"
     )
     return responses.unionByName(revisits)
