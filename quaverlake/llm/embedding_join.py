@@ -33,11 +33,11 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, table
+from .common import cut, join_groups, table
 from .graph import connected_components, forest
 
 #: Bounds what is collected and broadcast: pivots, and one radius and count each.
-MAX_PIVOTS = 512
+MAX_PIVOTS = 4096
 CELL_ROWS = 4096
 HOME_BLOCK = 4096
 VISITOR_BLOCK = 16384
@@ -56,7 +56,6 @@ class Cells:
 
     def __init__(self, pivots: np.ndarray, r: float):
         self.pivots, self.r, self.radius = pivots, r, np.full(len(pivots), np.inf)
-        self.between = np.sqrt(np.maximum(0, 2 - 2 * pivots @ pivots.T))
 
     def distances(self, units: np.ndarray) -> np.ndarray:
         return np.sqrt(np.maximum(0, 2 - 2 * units @ self.pivots.T))
@@ -64,16 +63,18 @@ class Cells:
     def visits(self, d: np.ndarray, home: np.ndarray) -> np.ndarray:
         """Which earlier cells each vector must visit."""
         own = d[np.arange(len(d)), home][:, None]
-        plane = (d * d - own * own) <= 2 * (self.r + SLACK) * self.between[home] + SLACK
+        homes, at = np.unique(home, return_inverse=True)
+        between = np.sqrt(np.maximum(0, 2 - 2 * self.pivots[homes] @ self.pivots.T))[at]
+        plane = (d * d - own * own) <= 2 * (self.r + SLACK) * between + SLACK
         near = (d <= self.radius + self.r + SLACK) & (d <= own + 2 * self.r + SLACK) & plane
         return near & (np.arange(d.shape[1]) < home[:, None])
 
 
-def _deal(batches: Iterator[pd.DataFrame], spaces: dict[int, Cells]) -> Iterator[pd.DataFrame]:
-    """Each vector at home in its cell and as a visitor in others."""
+def _deal(batches: Iterator[pd.DataFrame], spaces: dict[int, Cells], r: float) -> Iterator[pd.DataFrame]:
+    """Each vector at home in its cell and as a visitor in others; a length without pivots is one cell."""
     for batch in batches:
         for length, rows in batch.groupby(batch["embedding"].map(len)):
-            cells = spaces[length]
+            cells = spaces.get(length) or Cells(np.eye(1, length), r)
             d = cells.distances(_units(rows["embedding"]))
             home = d.argmin(axis=1)
             rows = rows.reset_index(drop=True).assign(length=length)
@@ -124,15 +125,10 @@ def _join_blocks(key: tuple, rows: pd.DataFrame, least: float) -> pd.DataFrame:
 
 
 def _pivots(classes: DataFrame, rows: int) -> dict[int, np.ndarray]:
-    """Pivots by vector length: the vectors with the least hashes, one for each ``CELL_ROWS``."""
+    """Pivots by vector length: the vectors with the least hashes, one for each ``CELL_ROWS``, up to ``MAX_PIVOTS``."""
     wanted = int(max(1, min(MAX_PIVOTS, -(-rows // CELL_ROWS))))
     picked = classes.orderBy(F.xxhash64("embedding"), "class_id").select("embedding").limit(wanted).toPandas()["embedding"]
-    lengths = [r[0] for r in classes.select(F.size("embedding").alias("n")).groupBy("n").count().orderBy(F.desc("count"), "n").limit(MAX_PIVOTS).collect()]
-    spaces = {}
-    for n in lengths:
-        own = [v for v in picked if len(v) == n]
-        spaces[n] = _units(pd.Series(own)) if own else np.eye(1, n)
-    return spaces
+    return {int(n): _units(own) for n, own in picked.groupby(picked.map(len))}
 
 
 def similarity_join(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", least: float = 0.95) -> DataFrame:
@@ -149,10 +145,11 @@ def similarity_join(df: DataFrame, id_col: str = "vec_id", vector_col: str = "em
     slim = classes.select("embedding", "copies", "class_id")
 
     def dealt():
-        return slim.mapInPandas(lambda batches: _deal(batches, spaces), schema)
+        return slim.mapInPandas(lambda batches: _deal(batches, spaces, r), schema)
 
     # no more rows than pivots
-    for x in dealt().where("NOT visitor").groupBy("length", "cell").agg(F.max("d").alias("radius")).collect():
+    known = F.col("length").isin(list(spaces))
+    for x in dealt().where(known & ~F.col("visitor")).groupBy("length", "cell").agg(F.max("d").alias("radius")).collect():
         spaces[x["length"]].radius[x["cell"]] = x["radius"]
     placed = cut(dealt())
     sizes = placed.groupBy("length", "cell").agg(
@@ -182,10 +179,11 @@ def similarity_join(df: DataFrame, id_col: str = "vec_id", vector_col: str = "em
     named = rooted.join(rooted.groupBy("root").agg(F.min("least").alias("component")), "root").select("class_id", "component")
     facts = classes.join(links, "class_id", "left").join(named, "class_id", "left").select(
         "embedding",
+        F.col("copies").alias("__rows"),
         (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"),
         F.coalesce("component", "least").alias("component_id"),
     )
-    joined = rows.where("usable").join(facts, "embedding").select("id", "n_links", "component_id")
+    joined = join_groups(rows.where("usable"), facts, "embedding", rows.count(), F.col("id")).select("id", "n_links", "component_id")
     alone = rows.where("NOT usable").select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"))
     out = joined.unionByName(alone).withColumn("kept", F.col("id").eqNullSafe(F.col("component_id")))
     return out.withColumnRenamed("id", id_col)
