@@ -13,11 +13,13 @@ level the chunks, the bitmap and the rank directory.
 Documents are range-partitioned and sorted by id; each task writes files of bounded
 size to the shared folder, under a temporary name that is then renamed, so a task
 that runs again replaces its files.  The offset of each file is a prefix sum over
-the written files, one small row each.
+the written files, one small row each.  Each document is read from its first token
+on, through the rank directories, without decoding others.
 
 Defined cases: null text is empty; every document ends with ``end_id``, so none has
 zero tokens; documents with null ids come first and keep their null; repeated ids
-stay separate documents, in order of their text; an empty table writes no file.
+stay separate documents, in order of their text's hash; very long texts are encoded
+whole; extra columns take no part; an empty table writes no file.
 """
 
 from __future__ import annotations
@@ -267,11 +269,17 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer_path: str, end_id:
             yield flush(part, seq, doc_ids, texts)
 
     rows = docs.select(F.coalesce(F.col(id_col), F.lit(0)).cast("long").alias("id"), F.col(id_col).isNull().alias("null"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    ordered = rows.repartitionByRange(F.desc("null"), F.asc("id")).sortWithinPartitions(F.desc("null"), "id", "text")
+    # rows of one id, or without, are many where a table has such: their texts' hashes deal them
+    order = [F.desc("null"), F.asc("id"), F.xxhash64("text")]
+    ordered = rows.repartitionByRange(*order).sortWithinPartitions(*order, "text")
     # written once; the rows that name the files are kept
     files = cut(ordered.mapInPandas(write, "part int, seq int, path string, docs long, tokens long"))
-    before = Window.orderBy("part", "seq").rowsBetween(Window.unboundedPreceding, -1)
-    return files.withColumn("offset", F.coalesce(F.sum("tokens").over(before), F.lit(0)))
+    previous = (Window.unboundedPreceding, -1)
+    parts = files.groupBy("part").agg(F.sum("tokens").alias("in_part"))
+    # one row a task that wrote
+    parts = parts.select("part", F.coalesce(F.sum("in_part").over(Window.orderBy("part").rowsBetween(*previous)), F.lit(0)).alias("ahead"))
+    inside = F.coalesce(F.sum("tokens").over(Window.partitionBy("part").orderBy("seq").rowsBetween(*previous)), F.lit(0))
+    return files.withColumn("inside", inside).join(parts, "part").withColumn("offset", F.col("ahead") + F.col("inside")).drop("inside", "ahead")
 
 
 def read_token_files(files: DataFrame) -> DataFrame:
@@ -293,9 +301,10 @@ def _documents(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[list, list[int
     for batch in batches:
         for path, offset in zip(batch["path"], batch["offset"], strict=True):
             file = TokenFile(_read(path))
-            ids = file.slice(0, file.tokens)
             docs = [None if null else int(d) for d, null in zip(file.doc_ids, file.nulls, strict=True)]
-            yield docs, [int(offset + s) for s in file.starts], np.split(ids, file.starts[1:])
+            ends = [*file.starts[1:].tolist(), file.tokens]
+            ids = [file.slice(a, b) for a, b in zip(file.starts.tolist(), ends, strict=True)]
+            yield docs, [int(offset + s) for s in file.starts], ids
 
 
 def digest_token_files(files: DataFrame) -> DataFrame:
