@@ -155,8 +155,9 @@ def string_counts(df: DataFrame, order: int, lang_col: str, text_col: str) -> Da
 
 def build(counts: pd.DataFrame, order: int) -> Model:
     """The frozen model of counts (lang, code, n)."""
-    languages = sorted(counts["lang"].unique())
-    number, codes = counts["lang"].map({x: k for k, x in enumerate(languages)}).to_numpy(), counts["code"].to_numpy().astype(np.int64).view(np.uint64)
+    lang = counts["lang"].astype("category").cat.remove_unused_categories()
+    lang = lang.cat.reorder_categories(sorted(lang.cat.categories))
+    languages, number, codes = list(lang.cat.categories), lang.cat.codes.to_numpy(), counts["code"].to_numpy().astype(np.int64).view(np.uint64)
     n = counts["n"].to_numpy().astype(np.float64)
 
     def levels(length: int):
@@ -210,8 +211,9 @@ def train(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     # a small table, which the join can broadcast, so that no text is shuffled
     picked = saved(first.withColumn("__before", before).where(F.col("__before") < bytes_per_language).select(F.col(id_col).alias("__id")), "sample")
     sample = usable.join(picked, F.col(id_col) == F.col("__id"), "left_semi")
-    counts = string_counts(sample, order, lang_col, text_col).toPandas()
-    return build(counts, order) if len(counts) else None
+    # as Arrow columns: rows would take ten times the driver's memory
+    counts = string_counts(sample, order, lang_col, text_col).toArrow()
+    return build(counts.to_pandas(strings_to_categorical=True), order) if len(counts) else None
 
 
 def has_letter(text: str) -> bool:

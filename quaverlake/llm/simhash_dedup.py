@@ -184,8 +184,9 @@ def hash_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 # --- near copies by Jaccard similarity -------------------------------------------
 
 #: Fingerprints of a text for near copies, and the shingles that each one samples.
-#: A pair of similarity s has no equal ones with a probability of (1 - s^SAMPLE)^FAMILIES: 0.002 at 0.8.
-FAMILIES, SAMPLE = 12, 4
+#: A pair of similarity s has no equal ones with a probability of (1 - s^SAMPLE)^FAMILIES: 0.003 at 0.8.
+#: An odd number, or a bit would be set in less than half of all fingerprints.
+FAMILIES, SAMPLE = 8, 3
 #: Orders in which samples take the least: odd multipliers of 64-bit hashes.
 MULTIPLIERS = np.random.default_rng(SEED).integers(0, 1 << 63, FAMILIES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 INVERSES = np.array([pow(int(m), -1, 1 << BITS) for m in MULTIPLIERS], dtype=np.uint64)
@@ -322,7 +323,8 @@ class NearCopies:
         """``node``, ``bucket`` and its ``size``: nodes of a bucket have fingerprints of one family that link; only buckets of several."""
         marks = self.nodes.select("node", F.posexplode("fps").alias("family", "fp")).withColumn("name", F.xxhash64("family", "fp"))
         classes = saved(marks.groupBy("name").agg(F.first("family").alias("family"), F.first("fp").alias("fp"), F.count(F.lit(1)).alias("n")), "classes")
-        linked = saved(connected_components(near_pairs(classes, distance, segments, max_bucket)), "linked")
+        near = saved(near_pairs(classes, distance, segments, max_bucket), "near")
+        linked = saved(connected_components(near), "linked") if not near.isEmpty() else near.select(F.col("a").alias("node"), F.col("b").alias("root"))
         named = classes.join(linked.select(F.col("node").alias("name"), "root"), "name", "left").select("name", "n", F.coalesce("root", "name").alias("bucket"))
         sizes = named.groupBy("bucket").agg(F.sum("n").alias("size")).where("size > 1")
         shared = saved(named.join(sizes, "bucket").select("name", "bucket", "size", F.col("n").alias("__rows")), "buckets")
@@ -363,7 +365,7 @@ class NearCopies:
 
 
 def keep_one_per_group(
-    df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8, distance: int = 2, segments: int = 5, max_bucket: int = 64
+    df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8, distance: int = 1, segments: int = 3, max_bucket: int = 64
 ) -> DataFrame:
     """``df`` with one row of each group of near copies: the one with the least id.
 
@@ -371,9 +373,11 @@ def keep_one_per_group(
     shingles.  A fingerprint over all shingles lies too far off for a filter there (about
     10 of 64 bits at 0.8).  So each text has ``FAMILIES`` fingerprints, each over the
     ``SAMPLE`` shingles that come first in an order of its own; near copies have equal
-    samples, whatever the kind of edit, but for a probability of 0.002 at 0.8.  Texts
+    samples, whatever the kind of edit, but for a probability of 0.003 at 0.8.  Texts
     with fingerprints of one family within ``distance`` bits, by pigeonring, are
-    candidates, and all candidates are compared by their whole shingle sets.
+    candidates, and all candidates are compared by their whole shingle sets.  With 3
+    pieces and 1 bit the equal chain has about 42 bits, so that chance meetings do not
+    grow with the table.
 
     First each text of a bucket of candidates is compared with the bucket's hub, which
     joins most groups.  Then those that are still apart are compared with each other: all
@@ -393,8 +397,10 @@ def keep_one_per_group(
     mixed = apart.groupBy("bucket").agg(F.min("part").alias("low"), F.max("part").alias("high"), F.max("size").alias("__rows")).where("low <> high").drop("high")
     still = saved(join_groups(apart, mixed, "bucket", apart.count(), F.col("node")).where("low IS NOT NULL").drop("low"), "still-apart")
     few, many = still.where(F.col("size") <= max_bucket), still.where(F.col("size") > max_bucket)
-    more = copies.verified(copies.across(few, "bucket").unionByName(copies.by_prefix(many.select("node", "part").distinct())))
-    roots = connected_components(first.unionByName(more))
+    more = copies.across(few, "bucket")
+    if not many.isEmpty():
+        more = more.unionByName(copies.by_prefix(many.select("node", "part").distinct()))
+    roots = connected_components(first.unionByName(copies.verified(more)))
     keepers = copies.nodes.join(roots, "node", "left").select("node", "__rows", "least", F.coalesce("root", "node").alias("root"))
     best = keepers.groupBy("root").agg(F.min("least").alias("keep"))
     total = keepers.agg(F.sum("__rows")).first()[0] or 0
