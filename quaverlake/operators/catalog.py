@@ -71,7 +71,6 @@ def status(error: Column, has_vector: Column, dimension: Column, wanted: int) ->
 
 #: The named sorts of a library view.
 LAST = "￿"
-SORTS: dict[str, list[Column]] | None = None
 
 
 def named_sort(name: str) -> list[Column]:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import text
 
 NEAR_SECONDS, FAR_SECONDS = 2.0, 8.0
+#: Fixed value: words of other versions of a song.
 VERSION_WORDS = r"\b(live|remix|karaoke|instrumental|acoustic|demo|edit)\b"
 TIERS = ("basename", "artist+title", "title-only")
 
@@ -74,12 +75,11 @@ def resolve(source: DataFrame, catalog: DataFrame) -> DataFrame:
 
 
 def second_copy(existing: DataFrame, incoming: DataFrame, path: str, sample: int = 400, least: int = 20, share: float = 0.8) -> DataFrame:
-    """Whether an import looks like a second copy: of an even sample, ``hits`` share the last three components of a known path."""
-    new = incoming.join(existing, path, "left_anti")
+    """Whether an import looks like a second copy: of a sample even by the paths' hashes, ``hits`` share the last three components of a known path."""
+    new = incoming.join(existing, path, "left_anti").select(path).distinct()
     total = new.count()
     step = max(1, total // sample)
-    placed = new.select(path).withColumn("n", F.row_number().over(Window.orderBy(path))) if total <= sample * 50 else new.select(path).withColumn("n", F.abs(F.xxhash64(path)))
-    picked = placed.where(F.pmod(F.col("n"), F.lit(step)) == 0).select(text.tail_key(F.col(path)).alias("tail"))
+    picked = new.where(F.pmod(F.crc32(F.col(path).cast("binary")), F.lit(step)) == 0).select(text.tail_key(F.col(path)).alias("tail"))
     known = existing.select(text.tail_key(F.col(path)).alias("tail")).distinct().withColumn("known", F.lit(True))
     out = picked.join(known, "tail", "left").agg(F.count(F.lit(1)).alias("sampled"), F.count_if("known").alias("hits"))
     return out.withColumn("second_copy", (F.lit(total) >= least) & (F.col("hits") >= least) & (F.col("hits") >= share * F.col("sampled")))

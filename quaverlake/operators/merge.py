@@ -17,11 +17,10 @@ def upsert(base: DataFrame, new: DataFrame, key: str) -> DataFrame:
 def coalescing_upsert(base: DataFrame, new: DataFrame, key: str) -> DataFrame:
     """A new non-null value wins, else the stored one stays; rows without any new value do nothing."""
     values = [c for c in base.columns if c != key]
-    given = new.where(F.coalesce(*[F.col(c).isNotNull().cast("int") for c in values[:1]], F.lit(0)) >= 0)
     some = F.lit(False)
     for c in values:
         some = some | F.col(c).isNotNull()
-    given = given.where(some).select(F.col(key).alias("__k"), *[F.col(c).alias(f"__{c}") for c in values])
+    given = new.where(some).select(F.col(key).alias("__k"), *[F.col(c).alias(f"__{c}") for c in values])
     joined = base.join(given, F.col(key) == F.col("__k"), "full_outer")
     return joined.select(F.coalesce(key, "__k").alias(key), *[F.coalesce(f"__{c}", c).alias(c) for c in values])
 
@@ -51,11 +50,6 @@ def to_do(want: DataFrame, done: DataFrame, forced: DataFrame, key: str) -> Data
     return want.join(done, key, "left_anti").unionByName(want.join(forced, key, "left_semi")).distinct()
 
 
-def replaced(base: DataFrame, new: DataFrame) -> DataFrame:
-    """Replacing a table: the new rows in the stored table's columns."""
-    return new.select(base.columns)
-
-
 def content_digest(df: DataFrame, order: str) -> DataFrame:
     """Rows and a digest that does not depend on their order: each row's hash, summed."""
     row = F.conv(F.substring(F.md5(F.to_json(F.struct(*df.columns))), 1, 12), 16, 10).cast("decimal(38,0)")

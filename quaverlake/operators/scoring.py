@@ -49,7 +49,7 @@ def fused(table: DataFrame, how: str, weights: dict[str, float] = WEIGHTS) -> Da
 
     parts = table.select("*", *[(F.lit(w) * value(t)).alias(f"c_{t}") for t, w in weights.items() if w])
     total = sum((F.col(f"c_{t}") for t, w in weights.items() if w), F.lit(0.0))
-    return parts.withColumn("score", F.round(total, 6))
+    return parts.withColumn("score", total)
 
 
 def seed_pairs(pool: DataFrame, seeds: list[int]) -> DataFrame:

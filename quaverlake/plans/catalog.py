@@ -171,7 +171,7 @@ def twin_keys(spark, sf_dir):
     return docs.select("doc_id", text.twin_key(F.col("source"), F.col("text")).alias("key"))
 
 
-NORMAL = r"trim(regexp_replace(trim(regexp_replace(regexp_replace(regexp_replace(replace(lower({0}), '&', ' and '), '\b(feat|ft|featuring|with)\b.*$', ' ', 'g'), '\(.*?\)|\[.*?\]', ' ', 'g'), '[^a-z0-9]+', ' ', 'g')), '^(the|a|an)\s+', ''))"
+NORMAL = r"trim(regexp_replace(trim(regexp_replace(regexp_replace(regexp_replace(replace(strip_accents(lower({0})), '&', ' and '), '\b(feat|ft|featuring|with)\b.*$', ' ', 'g'), '\(.*?\)|\[.*?\]', ' ', 'g'), '[^a-z0-9]+', ' ', 'g')), '^(the|a|an)\s+', ''))"
 
 
 @query(f"SELECT item_id, {NORMAL.format('text')} AS key FROM benchmark")
@@ -186,13 +186,12 @@ def tail_keys(spark, sf_dir):
 
 def _catalogs(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
     t = tracks(spark, sf_dir).select("id", F.concat_ws("/", "artist", "title").alias("path"), "artist", "title", "album", "seconds")
-    wanted = t.where(F.col("id") < 60)
-    other = t.where(F.col("id") >= 60).withColumn("seconds", F.col("seconds") + F.col("id") % 9)
-    return wanted, other
+    other = t.withColumns({"path": F.concat_ws("/", "album", F.lower("title")), "seconds": F.col("seconds") + F.col("id") % 9})
+    return t, other
 
 
 @query(f"""WITH {TRACKS}, t AS (SELECT id, artist || '/' || title AS path, artist, title, album, seconds, {NORMAL.format('artist')} AS a, {NORMAL.format('title')} AS tt, {NORMAL.format('album')} AS al FROM tracks),
-s AS (SELECT * FROM t WHERE id < 60), c AS (SELECT * REPLACE (seconds + id % 9 AS seconds) FROM t WHERE id >= 60),
+s AS (SELECT * FROM t), c AS (SELECT * REPLACE (seconds + id % 9 AS seconds, album || '/' || lower(title) AS path) FROM t),
 j AS (SELECT s.id AS sid, s.seconds AS ss, s.al AS sal, c.*, k.tier FROM s JOIN c ON true CROSS JOIN (SELECT unnest([0, 1, 2]) AS tier) k
   WHERE (tier = 0 AND lower(s.title) = lower(c.title)) OR (tier = 1 AND s.tt = c.tt AND s.tt <> '' AND s.a = c.a AND s.a <> '')
      OR (tier = 2 AND s.tt = c.tt AND s.tt <> '' AND s.a <> '' AND (contains(c.a, s.a) OR contains(s.a, c.a)))),
@@ -315,15 +314,15 @@ def todo_select(spark, sf_dir):
     return merge.to_do(part.select(F.col("p_partkey").alias("id")), done, part.where("p_size = 1").select(F.col("p_partkey").alias("id")), "id")
 
 
-@query("""WITH g AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) <= INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS new FROM events),
-s AS (SELECT user_id, ts, sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS session FROM g)
+@query("""WITH g AS (SELECT user_id, ts, event_id, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) <= INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS new FROM events),
+s AS (SELECT user_id, ts, sum(new) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS session FROM g)
 SELECT user_id, session::BIGINT AS session, min(ts) AS start, count(*) AS n FROM s GROUP BY 1, 2""")
 def sessions(spark, sf_dir):
     """Runs of a user's events no more than 30 minutes apart."""
     order = Window.partitionBy("user_id").orderBy("ts", "event_id")
     apart = F.col("ts") - F.lag("ts").over(order) <= F.expr("INTERVAL 30 MINUTES")
     marked = table(spark, sf_dir, "events").withColumn("new", F.when(apart, 0).otherwise(1))
-    numbered = marked.withColumn("session", F.sum("new").over(Window.partitionBy("user_id").orderBy("ts").rowsBetween(Window.unboundedPreceding, 0)))
+    numbered = marked.withColumn("session", F.sum("new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
     return numbered.groupBy("user_id", "session").agg(F.min("ts").alias("start"), F.count(F.lit(1)).alias("n"))
 
 

@@ -9,7 +9,7 @@ from .registry import TRACKS, query, table, tracks
 
 
 @query(f"""WITH {TRACKS},
-listed AS (SELECT l_orderkey AS playlist, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, artist || '/' || title || '.mp3') AS n, artist, title, seconds, artist || '/' || title || '.mp3' AS path
+listed AS (SELECT l_orderkey AS playlist, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, artist || '/' || title || '.mp3', seconds) AS n, artist, title, seconds, artist || '/' || title || '.mp3' AS path
   FROM lineitem JOIN tracks ON id = l_partkey)
 SELECT playlist, 0 AS line_no, '#EXTM3U' AS value FROM listed WHERE n = 1
 UNION ALL SELECT playlist, (2 * n - 1)::INT, '#EXTINF:' || CASE WHEN seconds = 0 THEN -1 ELSE seconds END || ',' || artist || ' - ' || title FROM listed

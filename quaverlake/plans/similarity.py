@@ -248,24 +248,24 @@ terms AS (SELECT s.id AS seed_id, p.id, round(list_dot_product(p.v, s.v), 9) AS
 
 @query(f"WITH {TERMS} SELECT seed_id, id, round(clap + 0.3::DOUBLE * genre + 0.3::DOUBLE * bpm + 0.1::DOUBLE * era, 6) AS score FROM terms")
 def score_raw(spark, sf_dir):
-    return scoring.fused(track_pairs(spark, sf_dir), "raw").select("seed_id", "id", "score")
+    return scoring.fused(track_pairs(spark, sf_dir), "raw").select("seed_id", "id", F.round("score", 6).alias("score"))
 
 
 ZED = "({0} - avg({0}) OVER w) / stddev_pop({0}) OVER w"
 
 
-@query(f"""WITH {TERMS} SELECT seed_id, id, round(round({ZED.format('clap')} + 0.3::DOUBLE * {ZED.format('genre')} + 0.3::DOUBLE * {ZED.format('bpm')} + 0.1::DOUBLE * {ZED.format('era')}, 6), 4) AS score
+@query(f"""WITH {TERMS} SELECT seed_id, id, round({ZED.format('clap')} + 0.3::DOUBLE * {ZED.format('genre')} + 0.3::DOUBLE * {ZED.format('bpm')} + 0.1::DOUBLE * {ZED.format('era')}, 7) AS score
 FROM terms WINDOW w AS (PARTITION BY seed_id)""")
 def score_z(spark, sf_dir):
-    return scoring.fused(track_pairs(spark, sf_dir), "z").select("seed_id", "id", F.round("score", 4).alias("score"))
+    return scoring.fused(track_pairs(spark, sf_dir), "z").select("seed_id", "id", F.round("score", 7).alias("score"))
 
 
 PCT = "((rank() OVER (PARTITION BY seed_id ORDER BY {0}) - 1 + (count(*) OVER (PARTITION BY seed_id, {0}) - 1) / 2) / (count(*) OVER (PARTITION BY seed_id) - 1))"
 
 
-@query(f"WITH {TERMS} SELECT seed_id, id, round(round({PCT.format('clap')} + 0.3::DOUBLE * {PCT.format('genre')} + 0.3::DOUBLE * {PCT.format('bpm')} + 0.1::DOUBLE * {PCT.format('era')}, 6), 4) AS score FROM terms")
+@query(f"WITH {TERMS} SELECT seed_id, id, round({PCT.format('clap')} + 0.3::DOUBLE * {PCT.format('genre')} + 0.3::DOUBLE * {PCT.format('bpm')} + 0.1::DOUBLE * {PCT.format('era')}, 8) AS score FROM terms")
 def score_rank(spark, sf_dir):
-    return scoring.fused(track_pairs(spark, sf_dir), "rank").select("seed_id", "id", F.round("score", 4).alias("score"))
+    return scoring.fused(track_pairs(spark, sf_dir), "rank").select("seed_id", "id", F.round("score", 8).alias("score"))
 
 
 @query(f"""WITH {TERMS} SELECT seed_id, id, term, round(value, 6) + 0.0::DOUBLE AS value FROM (

@@ -44,7 +44,7 @@ def m3u8_lines(rows: DataFrame) -> DataFrame:
     name = F.substring_index("path", "/", -1)
     seconds = F.when(F.col("seconds") != 0, F.col("seconds").cast("int"))
     info = F.concat(F.lit("#EXTINF:"), F.coalesce(seconds, F.lit(-1)).cast("string"), F.lit(","), one_line(filled("artist", F.lit("?"))), F.lit(" - "), one_line(filled("title", name)))
-    place = F.row_number().over(Window.partitionBy("playlist").orderBy("position", "path"))
+    place = F.row_number().over(Window.partitionBy("playlist").orderBy("position", "path", "seconds", "artist", "title"))
     both = F.array(info, F.col("path"))
     lines = rows.withColumn("__n", place).select("playlist", "__n", F.when(F.col("__n") == 1, F.concat(F.array(F.lit("#EXTM3U")), both)).otherwise(both).alias("__lines"))
     first = F.when(F.col("__n") == 1, 0).otherwise(2 * F.col("__n") - 1)
