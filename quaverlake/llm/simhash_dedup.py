@@ -194,6 +194,10 @@ INVERSES = np.array([pow(int(m), -1, 1 << BITS) for m in MULTIPLIERS], dtype=np.
 MIX = np.uint64(0x9E3779B97F4A7C15)
 #: A set's hashes by their low byte, each bit the parity of a count: two sets differ in at least as many members as bits.
 PARITY = ["p0", "p1", "p2", "p3"]
+#: What rows of nodes carry, so that pairs that surely fall below the similarity are not made.
+CARRIED = ["n", *PARITY]
+#: Most members whose numbers order the others; any order gives the same links.
+COMMON = 1 << 16
 
 
 #: Long texts go in pieces of about so many bytes.
@@ -312,60 +316,97 @@ class NearCopies:
 
     def verified(self, links: DataFrame) -> DataFrame:
         """Those of the links (``a``, ``b``) whose sets have the similarity."""
-        tidy = saved(links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct(), "candidates")
-        hopeful = saved(self.with_sides(tidy, self.nodes.select("node", "n", *PARITY)).where(_may_reach(self.similarity)).select("a", "b"), "hopeful")
+        hopeful = saved(links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct(), "candidates")
         sets = self.sets(hopeful.select(F.col("a").alias("node")).unionByName(hopeful.select(F.col("b").alias("node"))))
         both = F.size(F.array_intersect("a_set", "b_set"))
         either = F.size("a_set") + F.size("b_set") - both
         return saved(self.with_sides(hopeful, sets).where(both >= self.similarity * either).select("a", "b"), "links")
 
     def buckets(self, distance: int, segments: int, max_bucket: int) -> DataFrame:
-        """``node``, ``bucket`` and its ``size``: nodes of a bucket have fingerprints of one family that link; only buckets of several."""
-        marks = self.nodes.select("node", F.posexplode("fps").alias("family", "fp")).withColumn("name", F.xxhash64("family", "fp"))
+        """``node``, what it carries, ``bucket`` and its ``size``: nodes of a bucket have fingerprints of one family that link; only buckets of several."""
+        marks = self.nodes.select("node", *CARRIED, F.posexplode("fps").alias("family", "fp")).withColumn("name", F.xxhash64("family", "fp"))
         classes = saved(marks.groupBy("name").agg(F.first("family").alias("family"), F.first("fp").alias("fp"), F.count(F.lit(1)).alias("n")), "classes")
         near = saved(near_pairs(classes, distance, segments, max_bucket), "near")
         linked = saved(connected_components(near), "linked") if not near.isEmpty() else near.select(F.col("a").alias("node"), F.col("b").alias("root"))
         named = classes.join(linked.select(F.col("node").alias("name"), "root"), "name", "left").select("name", "n", F.coalesce("root", "name").alias("bucket"))
         sizes = named.groupBy("bucket").agg(F.sum("n").alias("size")).where("size > 1")
         shared = saved(named.join(sizes, "bucket").select("name", "bucket", "size", F.col("n").alias("__rows")), "buckets")
-        found = join_groups(marks.select("node", "name"), shared, "name", max(1, FAMILIES * self.nodes.count()), F.col("node"))
-        return saved(found.where("bucket IS NOT NULL").select("node", "bucket", "size").distinct(), "members")
+        found = join_groups(marks.select("node", "name", *CARRIED), shared, "name", max(1, FAMILIES * self.nodes.count()), F.col("node"))
+        return saved(found.where("bucket IS NOT NULL").select("node", "bucket", "size", *CARRIED).distinct(), "members")
 
-    def to_hubs(self, members: DataFrame) -> DataFrame:
-        """A link from each node of a bucket to its hub: the one whose buckets are the largest, which most copies were made from."""
-        seats = members.groupBy("node").agg(F.sum("size").alias("score"), F.collect_list(F.struct("bucket", "size")).alias("at"))
-        scored = seats.select("node", "score", F.explode("at").alias("x")).select("node", "score", "x.*")
-        hubs = scored.groupBy("bucket").agg(F.max(F.struct("score", "node"))["node"].alias("hub"), F.max("size").alias("__rows"))
-        return join_groups(members, hubs, "bucket", members.count(), F.col("node")).select(F.col("node").alias("a"), F.col("hub").alias("b"))
+    def to_hubs(self, members: DataFrame, turn: int) -> DataFrame:
+        """A link from each node of a bucket to its hub, where their parts differ.
+
+        The first hub is the node whose buckets are the largest, of which most copies
+        were made; later ones are any, by a hash of the ``turn``.
+        """
+        if turn == 0:
+            seats = members.groupBy("node").agg(F.sum("size").alias("score"), F.collect_list(F.struct("bucket", "size", "part", *CARRIED)).alias("at"))
+            scored = seats.select("node", "score", F.explode("at").alias("x")).select("node", "score", "x.*")
+        else:
+            scored = members.withColumn("score", F.xxhash64("node", F.lit(turn)))
+        hubs = scored.groupBy("bucket").agg(F.max(F.struct("score", "node", "part", *CARRIED)).alias("hub"), F.max("size").alias("__rows"))
+        met = join_groups(members, hubs, "bucket", members.count(), F.col("node")).where("part <> hub.part")
+        pairs = met.select(F.col("node").alias("a"), F.col("hub.node").alias("b"), *[F.col(c).alias(f"a_{c}") for c in CARRIED], *[F.col(f"hub.{c}").alias(f"b_{c}") for c in CARRIED])
+        return pairs.where(_may_reach(self.similarity)).select("a", "b")
+
+    def apart(self, members: DataFrame, roots: DataFrame) -> DataFrame:
+        """``members`` with their ``part``, of buckets that have several."""
+        parts = roots.select("node", F.col("root").alias("part"))
+        found = saved(members.join(parts, "node", "left").withColumn("part", F.coalesce("part", "node")), "parts")
+        mixed = found.groupBy("bucket").agg(F.min("part").alias("low"), F.max("part").alias("high"), F.max("size").alias("__rows")).where("low <> high").drop("high")
+        return saved(join_groups(found, mixed, "bucket", found.count(), F.col("node")).where("low IS NOT NULL").drop("low"), "apart")
 
     def across(self, rows: DataFrame, key: str, block: int = 4096) -> DataFrame:
-        """Links between ``rows`` (``node``, ``part``, ``key``) of one key and different parts, but for pairs within the key's largest part."""
+        """Links between ``rows`` (``node``, what it carries, ``part``, ``key``) of one key and different parts, but for those that surely fall below the similarity."""
         counts = rows.groupBy(key, "part").agg(F.count(F.lit(1)).alias("n"))
         tops = counts.groupBy(key).agg(F.max(F.struct("n", "part"))["part"].alias("top"), F.count(F.lit(1)).alias("parts"), F.sum("n").alias("__rows")).where("parts > 1")
         tops = saved(tops.withColumn("blocks", F.ceil(F.col("__rows") / block).cast("int")).drop("parts"), "tops")
         met = saved(join_groups(rows, tops, key, rows.count(), F.col("node")).where("top IS NOT NULL"), "across")
-        left = met.where("part <> top").select(key, F.pmod(F.xxhash64("node", F.lit(1)), F.col("blocks")).cast("int").alias("block"), F.col("node").alias("a"), F.col("part").alias("a_part"))
-        right = met.select(key, F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.col("node").alias("b"), F.col("part").alias("b_part"))
-        return left.join(right, [key, "block"]).where("a_part <> b_part").select("a", "b")
+        left = met.where("part <> top").select(key, F.pmod(F.xxhash64("node", F.lit(1)), F.col("blocks")).cast("int").alias("block"), *[F.col(c).alias(f"a_{c}") for c in ("node", "part", *CARRIED)])
+        right = met.select(key, F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), *[F.col(c).alias(f"b_{c}") for c in ("node", "part", *CARRIED)])
+        met = left.join(right, [key, "block"]).where((F.col("a_part") != F.col("b_part")) & _may_reach(self.similarity))
+        return met.select(F.col("a_node").alias("a"), F.col("b_node").alias("b"))
 
     def by_prefix(self, rows: DataFrame) -> DataFrame:
-        """As ``across`` for all ``rows`` (``node``, ``part``) at once: sets of the similarity share one of their rarest members.
+        """As ``across`` for all ``rows`` (without a key) at once: sets of the similarity share one of their first members.
 
         Of a set of ``n`` members in one order, the first ``n - ceil(similarity * n) + 1``
-        hold one of each similar set's.  The order is by frequency, so that what all of a
-        large bucket share is not compared.
+        hold one of each similar set's, whatever the order.  Members that many sets have
+        come last, so that what all of a large bucket share is not compared; they are
+        counted within batches, the ``COMMON`` commonest of them.
         """
-        members = saved(self.sets(rows.select("node")).select("node", F.size("set").alias("n"), F.explode("set").alias("hash")), "exploded")
-        counts = members.groupBy("hash").agg(F.count(F.lit(1)).alias("__rows")).withColumn("often", F.col("__rows"))
-        ordered = join_groups(members, counts, "hash", members.count(), F.col("node"))
-        first = F.col("n") - F.ceil(F.col("n") * self.similarity - 1e-6) + 1
-        listed = ordered.groupBy("node", "n").agg(F.array_sort(F.collect_list(F.struct("often", "hash"))).alias("order"))
-        prefix = listed.select("node", F.explode(F.slice("order", F.lit(1), first.cast("int"))).alias("x")).select("node", "x.hash", "x.often").where("often > 1")
-        return self.across(prefix.join(rows, "node").select("node", "part", "hash"), "hash")
+        sets, similarity = self.sets(rows.select("node")), self.similarity
+
+        def counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for batch in batches:
+                found, n = np.unique(np.concatenate(batch["set"].tolist()), return_counts=True)
+                often = (n > 1) & (n * 100 > len(batch))
+                yield pd.DataFrame({"hash": found[often], "n": n[often]})
+
+        common = sets.select("set").mapInPandas(counted, "hash long, n long").groupBy("hash").agg(F.sum("n").alias("n"))
+        common = common.orderBy(F.desc("n"), "hash").limit(COMMON).toArrow()
+        known = [c.to_numpy() for c in common.columns]
+        order = np.argsort(known[0])
+        shared = rows.sparkSession.sparkContext.broadcast((known[0][order], known[1][order]))
+
+        @F.pandas_udf("array<long>")
+        def first(batch: pd.Series) -> pd.Series:
+            hashes, often = shared.value
+
+            def prefix(members: np.ndarray) -> np.ndarray:
+                at = np.minimum(np.searchsorted(hashes, members), max(0, len(hashes) - 1))
+                n = np.where(hashes[at] == members, often[at], 0) if len(hashes) else np.zeros(len(members))
+                return members[np.lexsort((members, n))[: len(members) - int(np.ceil(similarity * len(members) - 1e-6)) + 1]]
+
+            return batch.map(prefix)
+
+        prefixes = saved(sets.select("node", first("set").alias("prefix")).join(rows, "node"), "prefixes")
+        return self.across(prefixes.select("node", "part", *CARRIED, F.explode("prefix").alias("hash")), "hash")
 
 
 def keep_one_per_group(
-    df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8, distance: int = 1, segments: int = 3, max_bucket: int = 64
+    df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8, distance: int = 1, segments: int = 3, max_bucket: int = 64, turns: int = 3
 ) -> DataFrame:
     """``df`` with one row of each group of near copies: the one with the least id.
 
@@ -379,10 +420,11 @@ def keep_one_per_group(
     pieces and 1 bit the equal chain has about 42 bits, so that chance meetings do not
     grow with the table.
 
-    First each text of a bucket of candidates is compared with the bucket's hub, which
-    joins most groups.  Then those that are still apart are compared with each other: all
-    of them in a bucket of at most ``max_bucket``; in a larger one, those that share one of
-    their rarest shingles, which loses no pair of the similarity.
+    First each text of a bucket of candidates is compared with the bucket's hub, and with
+    others in ``turns``, which joins most groups.  Then those that are still apart are
+    compared with each other: all of them in a bucket of at most ``max_bucket``; in a larger
+    one, those that share one of their rarest shingles, which loses no pair of the
+    similarity.
 
     Rows with a null id stay; rows that repeat an id are told apart by their text, and
     rows that repeat both are one.  Texts of equal shingle sets (by a 64-bit digest) are
@@ -391,15 +433,17 @@ def keep_one_per_group(
     ids = df.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text"), F.xxhash64(text_col).alias("__mark")).where("__id IS NOT NULL")
     copies = NearCopies(ids, shingle, similarity)
     members = copies.buckets(distance, segments, max_bucket)
-    first = copies.verified(copies.to_hubs(members))
-    parts = connected_components(first).select("node", F.col("root").alias("part"))
-    apart = saved(members.join(parts, "node", "left").withColumn("part", F.coalesce("part", "node")), "apart")
-    mixed = apart.groupBy("bucket").agg(F.min("part").alias("low"), F.max("part").alias("high"), F.max("size").alias("__rows")).where("low <> high").drop("high")
-    still = saved(join_groups(apart, mixed, "bucket", apart.count(), F.col("node")).where("low IS NOT NULL").drop("low"), "still-apart")
+    first, still = None, members.withColumn("part", F.col("node"))
+    for turn in range(turns):
+        new = copies.verified(copies.to_hubs(still, turn))
+        first = new if first is None else first.unionByName(new)
+        still = copies.apart(members, connected_components(first))
+        if turn and new.isEmpty() or still.where(F.col("size") > max_bucket).isEmpty():
+            break
     few, many = still.where(F.col("size") <= max_bucket), still.where(F.col("size") > max_bucket)
     more = copies.across(few, "bucket")
     if not many.isEmpty():
-        more = more.unionByName(copies.by_prefix(many.select("node", "part").distinct()))
+        more = more.unionByName(copies.by_prefix(many.select("node", "part", *CARRIED).distinct()))
     roots = connected_components(first.unionByName(copies.verified(more)))
     keepers = copies.nodes.join(roots, "node", "left").select("node", "__rows", "least", F.coalesce("root", "node").alias("root"))
     best = keepers.groupBy("root").agg(F.min("least").alias("keep"))
