@@ -111,6 +111,23 @@ def rank(bitmap: np.ndarray, ranks: np.ndarray, at: np.ndarray) -> np.ndarray:
     return ranks[block] + whole + np.bitwise_count(bitmap[at >> 3] & ((1 << (at & 7)) - 1).astype(np.uint8))
 
 
+def consecutive(stored: np.ndarray, bits: int, at: int, n: int) -> np.ndarray:
+    """``unpack`` of ``n`` places from ``at`` on."""
+    if bits == 4:
+        pairs = stored[at >> 1 : (at + n + 1) >> 1]
+        both = np.empty(2 * len(pairs), dtype=np.uint8)
+        both[::2], both[1::2] = pairs & np.uint8(15), pairs >> np.uint8(4)
+        return both[at & 1 : (at & 1) + n]
+    return stored[at : at + n]
+
+
+def rank_of(bitmap: np.ndarray, ranks: np.ndarray, at: int) -> int:
+    """``rank`` of one place."""
+    block = at // RANK_BLOCK
+    inside = int.from_bytes(bitmap[block * (RANK_BLOCK // 8) : (at >> 3) + 1].tobytes(), "little")
+    return int(ranks[block]) + (inside & ((1 << (at - block * RANK_BLOCK)) - 1)).bit_count()
+
+
 def to_bytes(doc_ids: list[int | None], starts: np.ndarray, ids: np.ndarray) -> bytes:
     nulls = np.array([d is None for d in doc_ids], dtype=np.uint8)
     arrays = [np.array([d or 0 for d in doc_ids], dtype="<i8"), nulls, starts.astype("<i8")]
@@ -142,17 +159,21 @@ class TokenFile:
         return int(decode_at(self.levels, np.array([at]))[0])
 
     def slice(self, start: int, stop: int) -> np.ndarray:
-        """Consecutive ids: their chunks are consecutive in each level."""
-        out, which, shift, at = np.zeros(stop - start, dtype=np.uint32), np.arange(stop - start), 0, start
+        """Consecutive ids: their chunks are consecutive in each level, from the first one's rank on."""
+        out, which, shift, at, n = np.zeros(stop - start, dtype=np.uint32), None, 0, start, stop - start
         for bits, (stored, bitmap, ranks) in zip(self.header["chunks"], self.levels, strict=True):
-            if not len(which):
+            if not n:
                 break
-            out[which] |= unpack(stored, bits, np.arange(at, at + len(which))).astype(np.uint32) << np.uint32(shift)
-            covering = np.unpackbits(bitmap[at >> 3 : (at + len(which) + 7) >> 3], bitorder="little")
-            on = covering[at & 7 : (at & 7) + len(which)].astype(bool)
-            which, shift = which[on], shift + bits
-            if len(which):
-                at = int(rank(bitmap, ranks, np.array([at]))[0])
+            chunk = consecutive(stored, bits, at, n).astype(np.uint32) << np.uint32(shift)
+            if which is None:
+                out |= chunk
+            else:
+                out[which] |= chunk
+            on = np.unpackbits(bitmap[at >> 3 : (at + n + 7) >> 3], bitorder="little")[at & 7 : (at & 7) + n]
+            going = np.flatnonzero(on)
+            which, shift, n = going if which is None else which[going], shift + bits, len(going)
+            if n:
+                at = rank_of(bitmap, ranks, at)
         return out
 
 
