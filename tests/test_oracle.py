@@ -12,11 +12,9 @@ def test_same_as_sql(same, name):
     same(QUERIES[name], SQL[name])
 
 
-@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(SQL)))
-def test_runs_without_sql(spark, name):
-    from conftest import SF
-
-    assert QUERIES[name](spark, SF).count() >= 0
+def test_queries_without_sql_are_few():
+    """Those are compared with plain versions in ``test_lists``."""
+    assert set(QUERIES) - set(SQL) == {"all_but_the_top", "adventure_path", "radio_wave", "walk_reports"}
 
 
 def test_entry(spark):
