@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import vectors
+from ..functions import text, vectors
 from . import lists, scoring
 
 
@@ -130,3 +130,57 @@ def clique_pairs(marked: DataFrame, mark: str) -> DataFrame:
     """Number of pairs among the rows that bear a mark: it follows from their number."""
     n = F.count_if(F.col(mark))
     return marked.agg((n * (n - 1) / 2).cast("long").alias("pairs"))
+
+
+def mean_pairs(members: DataFrame, keys: list[str]) -> DataFrame:
+    """``n`` and ``mean``, the mean product of two different ``vector``s, of each group: from sums, no pairs are made."""
+    square = vectors.dot(F.col("vector"), F.col("vector"))
+    sums = members.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.sum(square).alias("own"))
+    centre = F.col("centroid")
+    met = sums.where("n > 1").join(vectors.centroid(members, "vector", tuple(keys)), keys)
+    return met.select(*keys, "n", ((F.col("n") * F.col("n") * vectors.dot(centre, centre) - F.col("own")) / (F.col("n") * (F.col("n") - 1))).alias("mean"))
+
+
+def coherence(listed: DataFrame, rows: DataFrame, draws: int = 60, least: int = 12) -> DataFrame:
+    """How much tighter than chance each list is: ``z`` of its mean product against ``draws`` random ones of its size.
+
+    ``listed`` has ``list_id`` and ``id``; ``rows`` has ids from 0 up without holes, and ``vector``.
+    A draw takes the first different ids of four times as many tries, which leaves it
+    some short where the list holds most rows.
+    """
+    tight = mean_pairs(listed.distinct().join(rows, "id"), ["list_id"]).where(F.col("n") >= least)
+    total = rows.agg(F.count(F.lit(1)).alias("total"))
+    cases = tight.select(F.col("n").alias("size")).distinct().crossJoin(F.broadcast(total)).select("size", "total", F.explode(F.sequence(F.lit(1), F.lit(draws))).alias("draw"))
+    tried = F.transform(F.sequence(F.lit(1), F.col("size") * 4), lambda k: F.floor(text.hash_unit(F.lit("null"), F.col("size"), F.col("draw"), k) * F.col("total")))
+    drawn = cases.select("size", "draw", F.explode(F.slice(F.array_distinct(tried), 1, F.col("size").cast("int"))).alias("id"))
+    chance = mean_pairs(drawn.join(rows, "id"), ["size", "draw"]).groupBy("size").agg(F.avg("mean").alias("expected"), F.stddev_pop("mean").alias("spread"))
+    spread = F.when(F.col("spread") > 0, F.col("spread")).otherwise(1e-9)
+    return tight.join(F.broadcast(chance), F.col("n") == F.col("size")).select("list_id", "n", "mean", (F.col("mean") - F.col("expected")).alias("excess"), ((F.col("mean") - F.col("expected")) / spread).alias("z"))
+
+
+def sampled_seeds(candidates: DataFrame, n: int, seed: int = 0) -> DataFrame:
+    """``n`` of the candidates (``id``, ``twin``) by a hash: at most a third of them twins, or one, the rest others."""
+    order = [F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("id").cast("string"))), F.col("id")]
+    twins = candidates.where("twin").orderBy(*order).limit(max(1, n // 3))
+    others = candidates.where("NOT twin").orderBy(*order).limit(n)
+    place = F.row_number().over(Window.orderBy(*order))  # of at most n rows
+    taken = twins.agg(F.count(F.lit(1)).alias("taken"))
+    rest = others.withColumn("place", place).crossJoin(F.broadcast(taken)).where(F.col("place") <= n - F.col("taken"))
+    return twins.unionByName(rest.select(*twins.columns))
+
+
+def swept(pairs: DataFrame, configs: dict[str, tuple[str, list[float]]], k: int) -> DataFrame:
+    """The ``k`` nearest of each seed under each of several metrics (``cosine`` or ``euclidean``) and weights of the dimensions, all in one pass."""
+
+    def closeness_by(metric: str, weights: list[float]) -> Column:
+        a, b = F.col("seed_vector"), F.col("vector")
+        if metric == "euclidean":
+            return -vectors.weighted_distance(a, b, weights)
+        w = F.array(*map(F.lit, weights))
+        a, b = (F.zip_with(x, w, lambda p, q: p * q) for x in (a, b))
+        return vectors.dot(a, b) / (F.greatest(vectors.norm(a), F.lit(1e-9)) * F.greatest(vectors.norm(b), F.lit(1e-9)))
+
+    scores = F.array(*[F.struct(F.lit(name).alias("config"), F.round(closeness_by(*c), 9).alias("score")) for name, c in configs.items()])
+    each = pairs.select("seed_id", "id", F.explode(scores).alias("x")).select("seed_id", "id", "x.*")
+    order = Window.partitionBy("config", "seed_id").orderBy(F.desc("score"), "id")
+    return each.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)

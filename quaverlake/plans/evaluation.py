@@ -133,3 +133,58 @@ def direction_scores(spark, sf_dir):
     up, down = (vectors.centroid(rows.where(F.col("id").isin(ids)), "vector").select(F.col("centroid").alias(n)) for ids, n in (([1, 2], "up"), ([5, 6], "down")))
     both = rows.crossJoin(F.broadcast(up)).crossJoin(F.broadcast(down))
     return both.select("id", F.round(vectors.dot(F.col("vector"), vectors.less(F.col("up"), F.col("down"))), 6).alias("score"))
+
+
+@query(f"""WITH {POOL}, lists AS (SELECT id // 15 AS list_id, id, v FROM pool),
+tight AS (SELECT a.list_id, count(DISTINCT a.id) AS n, avg(list_dot_product(a.v, b.v)) AS mean FROM lists a JOIN lists b ON a.list_id = b.list_id AND a.id <> b.id GROUP BY 1 HAVING count(DISTINCT a.id) >= 12),
+tried AS (SELECT n AS size, draw, k, floor(('0x' || substr(md5('null:' || n || ':' || draw || ':' || k), 1, 8))::BIGINT / 4294967296.0::DOUBLE * (SELECT count(*) FROM pool))::BIGINT AS id
+  FROM (SELECT DISTINCT n FROM tight), range(1, 61) d(draw), LATERAL (SELECT unnest(range(1, n * 4 + 1)) AS k)),
+drawn AS (SELECT size, draw, id FROM (SELECT size, draw, id, row_number() OVER (PARTITION BY size, draw ORDER BY min(k)) AS place FROM tried GROUP BY 1, 2, 3) WHERE place <= size),
+x AS (SELECT size, draw, p.id, v FROM drawn JOIN pool p USING (id)),
+chance AS (SELECT size, avg(m) AS expected, stddev_pop(m) AS spread FROM (SELECT a.size, a.draw, avg(list_dot_product(a.v, b.v)) AS m FROM x a JOIN x b ON a.size = b.size AND a.draw = b.draw AND a.id <> b.id GROUP BY 1, 2) GROUP BY 1)
+SELECT list_id, n, round(mean, 6) AS mean, round(mean - expected, 6) AS excess, round((mean - expected) / spread, 6) AS z FROM tight JOIN chance ON size = n""")
+def coherence(spark, sf_dir):
+    """Runs of fifteen rows as lists, against lists by chance."""
+    rows = pool(spark, sf_dir).select("id", "vector")
+    found = evaluation.coherence(rows.select(F.floor(F.col("id") / 15).alias("list_id"), "id"), rows)
+    return found.select("list_id", "n", *[F.round(c, 6).alias(c) for c in ("mean", "excess", "z")])
+
+
+@query(f"""WITH {POOL}, m AS (SELECT artist, d, avg(x) AS m FROM (SELECT artist, unnest(range(64)) AS d, unnest(v) AS x FROM pool) GROUP BY artist, d),
+c AS (SELECT artist, list(m ORDER BY d) AS c FROM m GROUP BY artist), a AS (SELECT p.*, list_transform(c.c, lambda x: x / sqrt(list_dot_product(c.c, c.c))) AS c FROM pool p JOIN c USING (artist)),
+t AS (SELECT s.id AS seed_id, p.id, list_dot_product(p.v, s.v) AS x, list_dot_product(p.c, s.c) AS y FROM a p JOIN a s ON s.id IN (0, 7, 42)),
+z AS (SELECT seed_id, avg(x) AS mx, stddev_pop(x) AS sx, avg(y) AS my, stddev_pop(y) AS sy FROM t GROUP BY 1)
+SELECT seed_id, id, round((x - mx) / sx + 0.5 * (y - my) / sy, 6) AS score FROM t JOIN z USING (seed_id)""")
+def profile_blend(spark, sf_dir):
+    """Closeness and half of the closeness of the artists' profiles, each standardised."""
+    rows = pool(spark, sf_dir)
+    profiles = vectors.centroid(rows, "vector", ("artist",)).select("artist", vectors.unit(F.col("centroid")).alias("profile"))
+    pairs = scoring.seed_pairs(rows.join(profiles, "artist"), SEEDS)
+    close = pairs.select("seed_id", "id", vectors.dot(F.col("vector"), F.col("seed_vector")).alias("clap"), vectors.dot(F.col("profile"), F.col("seed_profile")).alias("profile"))
+    return scoring.fused(close, "z", {"clap": 1.0, "profile": 0.5}).select("seed_id", "id", F.round("score", 6).alias("score"))
+
+
+@query(f"""WITH {TRACKS}, c AS (SELECT id, count(*) OVER (PARTITION BY title) > 1 OR id % 5 = 0 AS twin, md5('0:' || id) AS h FROM tracks),
+t AS (SELECT id, twin FROM c WHERE twin ORDER BY h, id LIMIT 20), r AS (SELECT id, twin, row_number() OVER (ORDER BY h, id) AS place FROM c WHERE NOT twin)
+SELECT id, twin FROM t UNION ALL SELECT id, twin FROM r WHERE place <= 60 - (SELECT count(*) FROM t)""")
+def sampled_seeds(spark, sf_dir):
+    rows = tracks(spark, sf_dir)
+    often = rows.groupBy("title").agg((F.count(F.lit(1)) > 1).alias("often"))
+    return evaluation.sampled_seeds(rows.join(often, "title").select("id", (F.col("often") | (F.col("id") % 5 == 0)).alias("twin")), 60)
+
+
+SWEEP = {name: (metric, [a] * 40 + [b] * 23 + [c]) for name, metric, a, b, c in (("plain", "euclidean", 1.0, 1.0, 1.0), ("plain cosine", "cosine", 1.0, 1.0, 1.0), ("timbre", "euclidean", 2.5, 0.6, 0.4), ("timbre cosine", "cosine", 2.5, 0.6, 0.4), ("rhythm", "euclidean", 0.5, 2.0, 1.0))}
+CLOSE = {
+    "euclidean": "-sqrt(list_sum(list_transform(range(1, 65), lambda i: power((p.v[i] - s.v[i]) * w[i], 2))))",
+    "cosine": "list_cosine_similarity(list_transform(range(1, 65), lambda i: p.v[i] * w[i]), list_transform(range(1, 65), lambda i: s.v[i] * w[i]))",
+}
+
+
+@query(f"WITH {POOL}, each AS (" + " UNION ALL ".join(f"SELECT '{name}' AS config, s.id AS seed_id, p.id, round({CLOSE[m]}, 9) AS score FROM pool p JOIN pool s ON s.id IN (0, 7, 42) AND p.id <> s.id, (SELECT {w}::DOUBLE[] AS w)" for name, (m, w) in SWEEP.items()) + """),
+top AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY config, seed_id ORDER BY score DESC, id) AS rank FROM each) WHERE rank <= 20)
+SELECT a.config, round(count(b.id) / 60.0::DOUBLE, 6) AS overlap FROM top a LEFT JOIN top b ON b.config = 'plain cosine' AND b.seed_id = a.seed_id AND b.id = a.id GROUP BY 1""")
+def weight_sweep(spark, sf_dir):
+    """The share of twenty nearest that each metric and weighting has in common with the plain cosine."""
+    top = evaluation.swept(scoring.seed_pairs(pool(spark, sf_dir), SEEDS).where("id <> seed_id"), SWEEP, 20)
+    plain = top.where("config = 'plain cosine'").select("seed_id", "id", F.lit(1).alias("hit"))
+    return top.join(F.broadcast(plain), ["seed_id", "id"], "left").groupBy("config").agg(F.round(F.count("hit") / F.lit(60.0), 6).alias("overlap"))
