@@ -48,13 +48,23 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def saved(df: DataFrame, label: str) -> DataFrame:
+def saved(df: DataFrame, label: str, path: str | None = None) -> DataFrame:
     """As ``cut``, but as a table, whose size decides whether a join may broadcast it."""
-    path = new_folder(df.sparkSession, label)
+    path = path or new_folder(df.sparkSession, label)
     df.write.parquet(path)
     return df.sparkSession.read.parquet(path)
 
 
+def discard(spark: SparkSession, *folders: str) -> None:
+    """Deletes folders of the shared folder that nothing reads any more, and lets Spark delete the shuffles of plans that are no longer referred to."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    for folder in folders:
+        path = jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(conf).delete(path, True)
+    # Spark's cleaner follows the driver's garbage collection, which a driver with little to do seldom runs
+    jvm.System.gc()
+
+
 #: At most so many keys hold more than this share of all rows each.
 HOT_KEYS = 1000
 

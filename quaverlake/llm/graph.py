@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, join_dealt
+from .common import discard, join_dealt, new_folder, saved
 
 
 def forest(nodes: int, links: Iterable[tuple[int, np.ndarray]]) -> list[tuple[int, int]]:
@@ -44,19 +44,32 @@ def _star(edges: DataFrame, large: bool, total: int) -> DataFrame:
     return moved.where("a <> b").distinct()
 
 
+def _flatness(edges: DataFrame) -> tuple[int, bool]:
+    """The number of ``edges`` (``a > b``, distinct), and whether all components are stars about their least node."""
+    ends = edges.select(F.col("a").alias("node"), F.col("b").alias("above")).unionByName(edges.select(F.col("b").alias("node"), F.lit(None).cast("long").alias("above")))
+    nodes = ends.groupBy("node").agg(F.count("above").alias("n"), F.count_if(F.col("above").isNull()).alias("below"))
+    bad = (F.col("n") > 1) | ((F.col("n") == 1) & (F.col("below") > 0))
+    total, wrong = nodes.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count_if(bad)).first()
+    return total, wrong == 0
+
+
 def connected_components(edges: DataFrame) -> DataFrame:
     """``node`` and ``root`` (its component's least node) for every node of ``edges`` (``a``, ``b``: long).
 
-    Each round is written to the shared folder; a component of diameter ``d`` takes
-    about ``log d`` rounds.
+    Each contraction is written to the shared folder, and the one before it deleted; a
+    component of diameter ``d`` takes about ``log d`` rounds.
     """
-    current, seen = cut(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct()), None
+    spark = edges.sparkSession
+    path = new_folder(spark, "edges")
+    current = saved(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct(), "edges", path)
     while True:
-        # a sum of row hashes and a count stand for the set of edges
-        mark = current.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if mark == seen or mark[0] == 0:
+        total, flat = _flatness(current)
+        if flat:
             break
-        seen = mark
-        current = cut(_star(_star(current, True, mark[0]), False, mark[0]))
+        for large in (True, False):
+            old, path = path, new_folder(spark, "edges")
+            current = saved(_star(current, large, total), "edges", path)
+            total = current.count() if large else total
+            discard(spark, old)
     roots = current.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct()
     return current.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(roots)

@@ -41,7 +41,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, join_dealt, join_groups, saved, table
+from .common import cut, discard, join_dealt, join_groups, new_folder, saved, table
 from .graph import connected_components, forest
 
 SEED = 42
@@ -308,19 +308,23 @@ class NearCopies:
             links = join_dealt(links, named, end, counts, total, F.col(other))
         return links
 
-    def sets(self, wanted: DataFrame) -> DataFrame:
+    def sets(self, wanted: DataFrame, path: str | None = None) -> DataFrame:
         """``node`` and ``set`` of some nodes, from the texts."""
         chosen = saved(self.nodes.select("node", "least.__id", "least.__mark").join(wanted.distinct(), "node"), "wanted")
         found = self.ids.join(chosen, ["__id", "__mark"]).select("node", shingle_hashes(F.col("__text"), self.shingle).alias("set"))
-        return saved(found.dropDuplicates(["node"]), "sets")
+        return saved(found.dropDuplicates(["node"]), "sets", path)
 
     def verified(self, links: DataFrame) -> DataFrame:
         """Those of the links (``a``, ``b``) whose sets have the similarity."""
-        hopeful = saved(links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct(), "candidates")
-        sets = self.sets(hopeful.select(F.col("a").alias("node")).unionByName(hopeful.select(F.col("b").alias("node"))))
+        spark = links.sparkSession
+        used = [new_folder(spark, label) for label in ("candidates", "sets")]
+        hopeful = saved(links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct(), "candidates", used[0])
+        sets = self.sets(hopeful.select(F.col("a").alias("node")).unionByName(hopeful.select(F.col("b").alias("node"))), used[1])
         both = F.size(F.array_intersect("a_set", "b_set"))
         either = F.size("a_set") + F.size("b_set") - both
-        return saved(self.with_sides(hopeful, sets).where(both >= self.similarity * either).select("a", "b"), "links")
+        found = saved(self.with_sides(hopeful, sets).where(both >= self.similarity * either).select("a", "b"), "links")
+        discard(spark, *used)
+        return found
 
     def buckets(self, distance: int, segments: int, max_bucket: int) -> DataFrame:
         """``node``, what it carries, ``bucket`` and its ``size``: nodes of a bucket have fingerprints of one family that link; only buckets of several."""
@@ -433,18 +437,20 @@ def keep_one_per_group(
     ids = df.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text"), F.xxhash64(text_col).alias("__mark")).where("__id IS NOT NULL")
     copies = NearCopies(ids, shingle, similarity)
     members = copies.buckets(distance, segments, max_bucket)
-    first, still = None, members.withColumn("part", F.col("node"))
+    # groups so far, as links from nodes to their roots, stand for all links found
+    joined, still = None, members.withColumn("part", F.col("node"))
     for turn in range(turns):
         new = copies.verified(copies.to_hubs(still, turn))
-        first = new if first is None else first.unionByName(new)
-        still = copies.apart(members, connected_components(first))
+        roots = connected_components(new if joined is None else joined.unionByName(new))
+        joined = roots.select(F.col("node").alias("a"), F.col("root").alias("b"))
+        still = copies.apart(members, roots)
         if turn and new.isEmpty() or still.where(F.col("size") > max_bucket).isEmpty():
             break
     few, many = still.where(F.col("size") <= max_bucket), still.where(F.col("size") > max_bucket)
     more = copies.across(few, "bucket")
     if not many.isEmpty():
         more = more.unionByName(copies.by_prefix(many.select("node", "part", *CARRIED).distinct()))
-    roots = connected_components(first.unionByName(copies.verified(more)))
+    roots = connected_components(joined.unionByName(copies.verified(more)))
     keepers = copies.nodes.join(roots, "node", "left").select("node", "__rows", "least", F.coalesce("root", "node").alias("root"))
     best = keepers.groupBy("root").agg(F.min("least").alias("keep"))
     total = keepers.agg(F.sum("__rows")).first()[0] or 0
