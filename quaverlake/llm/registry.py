@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, embedding_join, exact_dedup, language_id, periodic_runs, prefix_trie, secret_scan, simhash_dedup, source_mixing, token_files, toxicity, warc
+from . import bpe, embedding_join, exact_dedup, language_id, periodic_runs, prefix_trie, secret_scan, simhash_dedup, source_mixing, substring_dedup, token_files, toxicity, warc
 
 MODULES = {
     "op1_language_id": language_id,
@@ -19,6 +19,7 @@ MODULES = {
     "op8_source_mixing": source_mixing,
     "op9_warc_revisits": warc,
     "op10_simhash_dedup": simhash_dedup,
+    "op11_substring_dedup": substring_dedup,
     "op12_prefix_trie": prefix_trie,
     "op13_periodic_runs": periodic_runs,
 }
