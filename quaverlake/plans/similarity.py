@@ -17,6 +17,12 @@ def seed_scores(rows: DataFrame, seeds: list[int], digits: int = 9) -> DataFrame
     return pairs.select("seed_id", "id", "artist", F.round(vectors.dot(F.col("vector"), F.col("seed_vector")), digits).alias("score"))
 
 
+def seed_pool_scores(rows: DataFrame, seeds: DataFrame, digits: int = 9) -> DataFrame:
+    """Scores of every row of the pool for each row of ``seeds``; pairs of a seed travel by seed."""
+    chosen = seeds.select(F.col("id").alias("seed_id"), F.col("vector").alias("seed_vector"))
+    return rows.crossJoin(chosen).where("id <> seed_id").select("seed_id", "id", "artist", F.round(vectors.dot(F.col("vector"), F.col("seed_vector")), digits).alias("score"))
+
+
 def ranked_sql(seeds=SEEDS, where: str = "p.id <> s.id", score: str = "round(list_dot_product(p.v, s.v), 9)") -> str:
     return f"""{POOL},
 scored AS (SELECT s.id AS seed_id, p.id, p.artist, {score} AS score FROM pool p JOIN pool s ON s.id IN ({', '.join(map(str, seeds))}) AND {where}),
