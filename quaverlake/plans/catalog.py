@@ -190,7 +190,7 @@ def _catalogs(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
     return t, other
 
 
-@query(f"""WITH {TRACKS}, t AS (SELECT id, artist || '/' || title AS path, artist, title, album, seconds, {NORMAL.format('artist')} AS a, {NORMAL.format('title')} AS tt, {NORMAL.format('album')} AS al FROM tracks),
+RESOLVED = f"""{TRACKS}, t AS (SELECT id, artist || '/' || title AS path, artist, title, album, seconds, {NORMAL.format('artist')} AS a, {NORMAL.format('title')} AS tt, {NORMAL.format('album')} AS al FROM tracks),
 s AS (SELECT * FROM t), c AS (SELECT * REPLACE (seconds + id % 9 AS seconds, album || '/' || lower(title) AS path) FROM t),
 j AS (SELECT s.id AS sid, s.seconds AS ss, s.al AS sal, c.*, k.tier FROM s JOIN c ON true CROSS JOIN (SELECT unnest([0, 1, 2]) AS tier) k
   WHERE (tier = 0 AND lower(s.title) = lower(c.title)) OR (tier = 1 AND s.tt = c.tt AND s.tt <> '' AND s.a = c.a AND s.a <> '')
@@ -200,15 +200,38 @@ d AS (SELECT *, CASE WHEN ss > 0 AND seconds > 0 THEN abs(seconds - ss)::DOUBLE
 b AS (SELECT *, CASE WHEN drift <= 2 THEN 0 WHEN drift <= 8 THEN 1 ELSE 2 END AS bucket FROM d),
 p AS (SELECT *, row_number() OVER (PARTITION BY sid, tier ORDER BY bucket, penalty, drift, path, id) AS place FROM b),
 h AS (SELECT * FROM p WHERE place = 1),
-g AS (SELECT *, row_number() OVER (PARTITION BY sid ORDER BY CASE WHEN bucket = 0 THEN tier ELSE 9 END, drift, tier) AS choice FROM h)
-SELECT s.id, g.id AS match_id, ['basename', 'artist+title', 'title-only'][g.tier + 1] AS tier,
+g AS (SELECT *, row_number() OVER (PARTITION BY sid ORDER BY CASE WHEN bucket = 0 THEN tier ELSE 9 END, drift, tier) AS choice FROM h),
+resolved AS (SELECT s.id, g.id AS match_id, ['basename', 'artist+title', 'title-only'][g.tier + 1] AS tier,
   CASE WHEN g.bucket = 0 THEN ['exact', 'strong', 'probable'][g.tier + 1] WHEN g.bucket = 1 THEN 'probable' WHEN g.bucket = 2 THEN 'weak' END AS grade, round(g.drift, 2) AS drift,
   CASE WHEN g.id IS NOT NULL THEN (SELECT count(*) FROM p WHERE p.sid = s.id AND p.tier = g.tier AND p.place > 1 AND p.bucket = g.bucket AND p.penalty = g.penalty AND abs(p.drift - g.drift) < 0.5) END AS ties
-FROM s LEFT JOIN (SELECT * FROM g WHERE choice = 1) g ON g.sid = s.id""")
+FROM s LEFT JOIN (SELECT * FROM g WHERE choice = 1) g ON g.sid = s.id)"""
+
+
+@query(f"WITH {RESOLVED} SELECT * FROM resolved")
 def entity_resolve(spark, sf_dir):
     return matching.resolve(*_catalogs(spark, sf_dir))
 
 
+REPORTED = RESOLVED + """,
+m AS (SELECT r.*, s.path, min(row(s.path, s.id)) OVER (PARTITION BY match_id) AS claim FROM resolved r JOIN s USING (id)),
+o AS (SELECT id, path, match_id, tier, grade, drift, ties, CASE WHEN match_id IS NULL THEN 'residue' WHEN claim[2] = id THEN 'resolved' ELSE 'duplicate' END AS outcome, claim[1] AS claimed FROM m),
+reported AS (SELECT *, outcome = 'resolved' AND (grade IN ('probable', 'weak') OR ties > 0) AS flagged FROM o)"""
+
+
+@query(f"WITH {REPORTED} SELECT id, path, match_id, tier, grade, drift, ties, outcome, coalesce(flagged, false) AS flagged, CASE WHEN outcome = 'duplicate' THEN claimed END AS same_as FROM reported")
+def resolve_report(spark, sf_dir):
+    """What becomes of each row: resolved, residue or a duplicate, and which to look at."""
+    source, catalog = _catalogs(spark, sf_dir)
+    return matching.report(source, matching.resolve(source, catalog)).withColumn("flagged", F.coalesce("flagged", F.lit(False)))
+
+
+@query(f"""WITH {REPORTED} SELECT count(*) AS source, count(*) FILTER (outcome = 'resolved') AS resolved, count(*) FILTER (outcome = 'residue') AS residue, count(*) FILTER (flagged) AS flagged,
+count(*) FILTER (outcome = 'duplicate') AS dupes, {', '.join(f"count(*) FILTER (outcome = 'resolved' AND grade = '{g}') AS {g}" for g in ('exact', 'strong', 'probable', 'weak'))} FROM reported""")
+def resolve_counts(spark, sf_dir):
+    source, catalog = _catalogs(spark, sf_dir)
+    return matching.report_counts(matching.report(source, matching.resolve(source, catalog)))
+
+
 @query("""WITH l AS (SELECT DISTINCT l_orderkey AS k, l_partkey AS p, min(l_linenumber) AS n FROM lineitem GROUP BY 1, 2)
 SELECT a.p AS a, b.p AS b, sum(CASE WHEN abs(b.n - a.n) <= 3 THEN 2.0 ELSE 1.0 END)::DOUBLE AS weight FROM l a JOIN l b ON a.k = b.k AND a.p < b.p GROUP BY 1, 2""")
 def cooccurrence_pairs(spark, sf_dir):
