@@ -203,20 +203,37 @@ def radio(ranking: DataFrame, size: int, spacing: int, variety: float, kind: str
     return out.select("seed_id", "position", "id", "artist", "score", "rank")
 
 
+def spread_of(rel: np.ndarray, x: np.ndarray, k: int, balance: float) -> list[int]:
+    """Places of ``k`` rows by maximal marginal relevance, the first row first; ``rel`` has its greatest value there."""
+    if not len(rel):
+        return []
+    sims = np.round(x @ x.T, 9)
+    chosen, nearest = [0], sims[:, 0].copy()
+    while len(chosen) < min(k, len(rel)):
+        value = np.round(balance * rel - (1 - balance) * nearest, 9)
+        value[chosen] = -np.inf
+        chosen.append(int(value.argmax()))
+        nearest = np.maximum(nearest, sims[:, chosen[-1]])
+    return chosen
+
+
+def flow_of(x: np.ndarray, ids: list[int]) -> list[int]:
+    """Places of rows so that each is followed by the nearest of those left, the lesser id on a tie."""
+    sims = np.round(x @ x.T, 9)
+    at, left = [0], list(range(1, len(ids)))
+    while left:
+        nearest = max(left, key=lambda j: (sims[at[-1], j], -ids[j]))
+        at.append(nearest)
+        left.remove(nearest)
+    return at
+
+
 def diverse(candidates: DataFrame, k: int, balance: float) -> DataFrame:
     """Maximal marginal relevance over (``seed_id``, ``id``, ``score``, ``vector``): ``balance`` weighs relevance."""
 
     def one(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(["score", "id"], ascending=[False, True]).reset_index(drop=True)
-        x = np.array(rows["vector"].tolist(), dtype=np.float64)
-        sims, rel = np.round(x @ x.T, 9), rows["score"].to_numpy()
-        chosen = [0] if len(rows) else []
-        nearest = sims[:, 0].copy() if len(rows) else None
-        while len(chosen) < min(k, len(rows)):
-            value = np.round(balance * rel - (1 - balance) * nearest, 9)
-            value[chosen] = -np.inf
-            chosen.append(int(value.argmax()))
-            nearest = np.maximum(nearest, sims[:, chosen[-1]])
+        chosen = spread_of(rows["score"].to_numpy(), np.array(rows["vector"].tolist(), dtype=np.float64), k, balance)
         return rows.iloc[chosen][["seed_id", "id", "score"]].assign(position=range(1, len(chosen) + 1))
 
     return candidates.groupBy("seed_id").applyInPandas(one, "seed_id long, id long, score double, position int")
@@ -227,13 +244,7 @@ def by_flow(members: DataFrame) -> DataFrame:
 
     def one(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("position").reset_index(drop=True)
-        x = np.array(rows["vector"].tolist(), dtype=np.float64)
-        sims = np.round(x @ x.T, 9)
-        at, left = [0], list(range(1, len(rows)))
-        while left:
-            nearest = max(left, key=lambda j: (sims[at[-1], j], -rows["id"][j]))
-            at.append(nearest)
-            left.remove(nearest)
+        at = flow_of(np.array(rows["vector"].tolist(), dtype=np.float64), rows["id"].tolist())
         return pd.DataFrame({"seed_id": rows["seed_id"], "position": range(1, len(at) + 1), "id": rows["id"].iloc[at].tolist()})
 
     return members.groupBy("seed_id").applyInPandas(one, "seed_id long, position int, id long")

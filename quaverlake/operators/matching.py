@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text
+from .shared import kept
 
 NEAR_SECONDS, FAR_SECONDS = 2.0, 8.0
 #: Fixed value: words of other versions of a song.
@@ -88,17 +89,16 @@ def resolve(source: DataFrame, catalog: DataFrame) -> DataFrame:
     sides can be best, which an as-of join finds; ties are added up from counts by
     duration.  No pairs of a title are made.
     """
-    asks, offers = scopes(keyed(source), keyed(catalog))
+    asks, offers = scopes(kept(keyed(source), "source-keys"), kept(keyed(catalog), "catalog-keys"))
     flag = lambda c: F.when(c, 1).otherwise(0)
     kind = flag(F.col("a") == "various artists") * 2 + flag(F.col("t").rlike(VERSION_WORDS))
     offers = offers.withColumns({"kind": kind, "pick": F.struct("path", "id")}).select("tier_no", "scope", "al", "kind", "x", "pick")
     # by album, and once more whatever the album: the empty one, which no source compares
     spread = offers.withColumn("al", F.explode(F.array_distinct(F.array(F.lit(""), "al"))))
     keys = ["tier_no", "scope", "al", "kind"]
-    points = spread.groupBy(*keys, "x").agg(F.min("pick").alias("pick"), F.count(F.lit(1)).alias("n"))
-    kinds = F.explode(F.array(*[F.lit(k) for k in range(4)]))
+    points = kept(spread.groupBy(*keys, "x").agg(F.min("pick").alias("pick"), F.count(F.lit(1)).alias("n")), "durations")
     asked = asks.select("id", "tier_no", "scope", "x", F.explode(F.array_distinct(F.array(F.lit(""), "al"))).alias("al"))
-    asked = asked.withColumn("kind", kinds).withColumn("ask", F.struct("id", "x"))
+    asked = asked.join(points.select(*keys).distinct(), ["tier_no", "scope", "al"]).select(*keys, "x", F.struct("id", "x").alias("ask"))
     timed = nearest_durations(asked.where("x IS NOT NULL"), points.where("x IS NOT NULL"), keys)
     sides = F.explode(F.array(*[F.struct((F.abs(F.col(f"{c}.x") - F.col("ask.x"))).alias("drift"), F.col(f"{c}.pick").alias("pick")) for c in ("below", "above")]))
     timed = timed.withColumn("found", sides).where("found.pick IS NOT NULL").select(*keys, "ask", "found.*")
@@ -112,7 +112,7 @@ def resolve(source: DataFrame, catalog: DataFrame) -> DataFrame:
     # among tiers: the first near one, else the least drift, the earlier tier on a tie
     near = F.when(F.col("bucket") == 0, F.col("tier_no")).otherwise(9)
     fields = [c for c in best.columns if c not in ("ask", "tier_no")]
-    chosen = best.groupBy("ask").agg(F.min_by(F.struct("tier_no", *fields), F.struct(near, "drift", "tier_no")).alias("c")).select("ask", "c.*")
+    chosen = kept(best.groupBy("ask").agg(F.min_by(F.struct("tier_no", *fields), F.struct(near, "drift", "tier_no")).alias("c")).select("ask", "c.*"), "chosen")
     grade = (
         F.when(F.col("bucket") == 0, F.element_at(F.array(F.lit("exact"), F.lit("strong"), F.lit("probable")), F.col("tier_no") + 1))
         .when(F.col("bucket") == 1, "probable").otherwise("weak")

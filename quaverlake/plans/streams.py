@@ -2,28 +2,16 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import lists
+from ..operators.shared import shared_folder
 from ..streaming import players, usage
 from .registry import pool, query, table
 from .similarity import seed_pool_scores
 
 
-def shared_folder(spark: SparkSession, label: str) -> str:
-    """A fresh path in the folder that driver and executors share (on one machine a temporary one where none is named)."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if root is None:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-        root = tempfile.mkdtemp(prefix="shared-")
-    return f"{root.rstrip('/')}/{label}-{uuid.uuid4().hex}"
-
-
 def event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     # a pattern, as a stream takes no path of a single file
     return spark.readStream.schema(table(spark, sf_dir, "events").schema).parquet(f"{sf_dir}/events.parquet*")
