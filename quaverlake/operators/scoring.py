@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text, vectors
+from .ranks import percentiles
 
 #: Default weights of the terms, and the scales of the gaps.
 WEIGHTS = {"clap": 1.0, "genre": 0.3, "bpm": 0.3, "era": 0.1}
@@ -26,30 +27,24 @@ def terms(pairs: DataFrame) -> DataFrame:
     )
 
 
-def mean_percentile(value: str, group: str = "seed_id") -> Column:
-    """Percentile with the average rank of ties; 0.5 for a single row."""
-    n = F.count(F.lit(1)).over(Window.partitionBy(group))
-    tied = F.count(F.lit(1)).over(Window.partitionBy(group, value))
-    below = F.rank().over(Window.partitionBy(group).orderBy(value)) - 1
-    return F.when(n < 2, F.lit(0.5)).otherwise((below + (tied - 1) / 2) / (n - 1))
-
-
 def fused(table: DataFrame, how: str, weights: dict[str, float] = WEIGHTS) -> DataFrame:
-    """``contributions`` of each term and their sum, ``score``; statistics are over the seed's whole pool."""
-    pool = Window.partitionBy("seed_id")
-
-    def value(term: str) -> Column:
-        x = F.col(term)
-        if how == "raw":
-            return x
-        if how == "rank":
-            return mean_percentile(term)
-        sd = F.stddev_pop(x).over(pool)
-        return F.when(sd > 1e-12, (x - F.avg(x).over(pool)) / sd).otherwise(0.0)
-
-    parts = table.select("*", *[(F.lit(w) * value(t)).alias(f"c_{t}") for t, w in weights.items() if w])
-    total = sum((F.col(f"c_{t}") for t, w in weights.items() if w), F.lit(0.0))
-    return parts.withColumn("score", total)
+    """``contributions`` of each term and their sum, ``score``; statistics are over the seed's whole pool.
+
+    Moments are one row a seed, and percentiles come from ranges of values, so that no
+    task holds a pool.  A term that is null for a seed has null contributions.
+    """
+    used = {t: w for t, w in weights.items() if w}
+    if how == "raw" or not used:
+        on_scale, value = table, {t: F.col(t) for t in used}
+    elif how == "rank":
+        places = percentiles(table, list(used)).withColumnsRenamed({t: f"p_{t}" for t in used})
+        on_scale, value = table.join(places, ["seed_id", "id"]), {t: F.col(f"p_{t}") for t in used}
+    else:
+        moments = table.groupBy("seed_id").agg(*[f(t).alias(f"{n}_{t}") for t in used for n, f in (("m", F.avg), ("s", F.stddev_pop))])
+        on_scale = table.join(moments, "seed_id")
+        value = {t: F.when(F.col(t).isNotNull(), F.when(F.col(f"s_{t}") > 1e-12, (F.col(t) - F.col(f"m_{t}")) / F.col(f"s_{t}")).otherwise(0.0)) for t in used}
+    parts = on_scale.select(*table.columns, *[(F.lit(w) * value[t]).alias(f"c_{t}") for t, w in used.items()])
+    return parts.withColumn("score", sum((F.col(f"c_{t}") for t in used), F.lit(0.0)))
 
 
 def seed_pairs(pool: DataFrame, seeds: list[int]) -> DataFrame:

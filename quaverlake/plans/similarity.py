@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text, vectors
-from ..operators import lists, scoring
+from ..operators import lists, ranks, scoring
 from .registry import POOL, TRACKS, pool, query, table, tracks, walk_sql
 
 SEEDS = [0, 7, 42]
@@ -235,7 +235,18 @@ def sensation_percentile(spark, sf_dir):
     """Place of each row along the direction of row 1, ties averaged."""
     rows = pool(spark, sf_dir)
     scored = scoring.seed_pairs(rows, [1]).select("seed_id", "id", F.round(vectors.dot(F.col("vector"), F.col("seed_vector")), 9).alias("score"))
-    return scored.select("id", "score", F.round(scoring.mean_percentile("score"), 9).alias("percentile"))
+    places = ranks.percentiles(scored, ["score"]).select("id", F.round("score", 9).alias("percentile"))
+    return scored.select("id", "score").join(places, "id")
+
+
+@query(f"""WITH {POOL}, s AS (SELECT p.id, round(list_dot_product(p.v, d.v), 2) AS s FROM pool p, pool d WHERE d.id = 1),
+r AS (SELECT id, s AS score, round((rank() OVER (ORDER BY s) - 1 + (count(*) OVER (PARTITION BY s) - 1) / 2.0) / (count(*) OVER () - 1), 9)::DOUBLE AS percentile FROM s)
+SELECT * FROM (SELECT *, row_number() OVER (ORDER BY percentile DESC, id)::INT AS position FROM r) WHERE position BETWEEN 21 AND 60""")
+def sensation_sort(spark, sf_dir):
+    """A page of the pool sorted by the percentile along the direction of row 1, with many ties."""
+    rows = pool(spark, sf_dir)
+    scored = scoring.seed_pairs(rows, [1]).select("id", F.round(vectors.dot(F.col("vector"), F.col("seed_vector")), 2).alias("score"))
+    return ranks.sorted_page(scored, "score", 20, 40).withColumn("percentile", F.round("percentile", 9))
 
 
 def track_pairs(spark, sf_dir, seeds=SEEDS) -> DataFrame:
