@@ -184,3 +184,33 @@ def swept(pairs: DataFrame, configs: dict[str, tuple[str, list[float]]], k: int)
     each = pairs.select("seed_id", "id", F.explode(scores).alias("x")).select("seed_id", "id", "x.*")
     order = Window.partitionBy("config", "seed_id").orderBy(F.desc("score"), "id")
     return each.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+
+
+#: Albums of so few and so many rows count as labels, and so many mates of an artist.
+ALBUM_LEAST, ALBUM_MOST, ARTIST_MATES = 2, 25, 20
+RING = 1000
+
+
+def label_pairs(rows: DataFrame, placeholder: Column, mates: int = ARTIST_MATES) -> DataFrame:
+    """Positive labels of (``id``, ``artist``, ``album``): ``kind`` album or artist, ``id`` and ``mate``.
+
+    Rows of an album of 2 to 25 are each other's mates, but for placeholder albums.
+    An artist's rows have up to ``mates`` mates each: all others in a small group, in a
+    larger one those that follow on a ring in order of a hash.  Rings have some thousand
+    rows of an artist, so that one with most of the rows is spread, and no square of an
+    artist is made.  Rows without an artist have no mates.
+    """
+    clean = rows.select("id", F.trim(F.coalesce("artist", F.lit(""))).alias("artist"), F.trim(F.coalesce("album", F.lit(""))).alias("album"), placeholder.alias("vague")).where("artist <> ''")
+    albums = clean.where("album <> '' AND NOT coalesce(vague, false)")
+    counts = albums.groupBy("artist", "album").agg(F.count(F.lit(1)).alias("n")).where(F.col("n").between(ALBUM_LEAST, ALBUM_MOST)).drop("n")
+    fit = albums.join(counts, ["artist", "album"]).select("artist", "album", "id")
+    album_pairs = fit.join(fit.withColumnRenamed("id", "mate"), ["artist", "album"]).where("id <> mate").select(F.lit("album").alias("kind"), "id", "mate")
+    sizes = clean.groupBy("artist").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    rings = F.when(F.col("n") <= mates + 1, F.lit(1)).otherwise(F.ceil(F.col("n") / RING))
+    dealt = clean.join(sizes, "artist").withColumn("ring", F.pmod(F.conv(F.substring(F.md5(F.concat(F.lit("ring:"), F.col("id").cast("string"))), 1, 8), 16, 10).cast("long"), rings))
+    ring = Window.partitionBy("artist", "ring")
+    placed = dealt.select("artist", "ring", "id", F.row_number().over(ring.orderBy(F.md5(F.col("id").cast("string")), "id").rowsBetween(Window.unboundedPreceding, Window.currentRow)).alias("place"), F.count(F.lit(1)).over(ring).alias("m"))
+    asked = placed.where("m > 1").withColumn("step", F.explode(F.sequence(F.lit(1), F.least(F.lit(mates), F.col("m") - 1).cast("int"))))
+    asked = asked.select("artist", "ring", "id", (F.pmod(F.col("place") - 1 + F.col("step"), F.col("m")) + 1).alias("place"))
+    artist_pairs = asked.join(placed.select("artist", "ring", "place", F.col("id").alias("mate")), ["artist", "ring", "place"]).select(F.lit("artist").alias("kind"), "id", "mate")
+    return album_pairs.unionByName(artist_pairs)

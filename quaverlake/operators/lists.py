@@ -160,6 +160,45 @@ def walk_report(ranking: DataFrame, size: int, spacing: int, line: float | None
     return head.drop("ended").unionByName(left)
 
 
+#: How wide the pool of a varied mix is at most, in sizes, and the scale of ranks in its weights.
+WIDEST, STEEPEST, FLATTER, MOST_VARIETY = 8, 3.0, 30.0, 9.0
+
+
+def sampled_mix(ranking: DataFrame, size: int, spacing: int, variety: str = "variety", draw: str = "draw") -> DataFrame:
+    """The baseline mix of rankings with a ``variety`` from 0 to 9: without it the spaced walk, else a weighted sample.
+
+    The pool is the first 1 to 8 times ``size`` rows, and weights fall with the rank,
+    exp(-rank / (3 + 30 v)).  Drawing without replacement by weights is the order of
+    exponential keys, -ln(u) / weight, with u a hash of draw, seed and row: one sort
+    instead of a draw at a time.  A row too close to the last ``spacing`` artists is
+    passed over while enough rows are left to fill the list.  A spacing of 0 restricts
+    nothing here.
+    """
+    v = F.greatest(F.least(F.col(variety).cast("double"), F.lit(MOST_VARIETY)), F.lit(0.0)) / MOST_VARIETY
+    rows = ranking.withColumn("v", v)
+    wide = rows.where((F.col("v") > 0) & (F.col("rank") <= size * (1 + F.bround(F.col("v") * (WIDEST - 1)))))
+    u = text.hash_unit(F.lit("draw"), F.col(draw), F.col("seed_id"), F.col("id")) + 2.0**-33
+    wide = wide.withColumn("key", -F.log(u) / F.exp(-(F.col("rank") - 1) / (STEEPEST + FLATTER * F.col("v"))))
+    # without variety the order is the rank, and nothing is taken for want of rows
+    plain = rows.where("v = 0").withColumn("key", F.col("rank").cast("double"))
+    strict = plain.where(F.col("rank") <= size * (max(spacing, 0) + 1) * 4)
+    group = ["seed_id", draw, variety]
+    member = F.struct(F.col("key"), F.col("id").cast("bigint").alias("id"), F.col("artist").cast("string").alias("artist"), F.col("score").cast("double").alias("score"), F.col("rank").cast("int").alias("rank"))
+    heads = wide.unionByName(strict).groupBy(*group).agg(F.array_sort(F.collect_list(member)).alias("head"), F.max("v").alias("v"))
+    state = F.struct(F.lit(0).alias("drawn"), F.array().cast("array<struct<key:double,id:bigint,artist:string,score:double,rank:int>>").alias("out"))
+    n = F.size("head")
+
+    def take(s: Column, x: Column) -> Column:
+        out, drawn = s["out"], s["drawn"] + 1
+        recent = F.slice(out, F.greatest(F.size(out) - spacing + 1, F.lit(1)), spacing) if spacing > 0 else F.slice(out, 1, 0)
+        close = F.coalesce(F.exists(recent, lambda m: (m["artist"] == x["artist"]) & (x["artist"] != "")), F.lit(False))
+        enough = (F.col("v") == 0) | (n - drawn + F.size(out) > size)
+        return F.struct(drawn.alias("drawn"), F.when((F.size(out) >= size) | (close & enough), out).otherwise(F.concat(out, F.array(x))).alias("out"))
+
+    lists = heads.select(*group, F.aggregate("head", state, take, lambda s: s["out"]).alias("out"))
+    return lists.select(*group, F.posexplode("out").alias("position", "m")).select(*group, (F.col("position") + 1).alias("position"), "m.id", "m.artist", "m.score", "m.rank")
+
+
 ENERGY_WIDTH = 0.35
 ENERGY_PERIOD = 20
 

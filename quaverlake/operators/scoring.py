@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text, vectors
 from .ranks import percentiles
+from .shared import kept
 
 #: Default weights of the terms, and the scales of the gaps.
 WEIGHTS = {"clap": 1.0, "genre": 0.3, "bpm": 0.3, "era": 0.1}
@@ -53,20 +54,58 @@ def seed_pairs(pool: DataFrame, seeds: list[int]) -> DataFrame:
     return pool.crossJoin(F.broadcast(chosen))
 
 
-def _blocks(rows: int, size: int) -> int:
-    return max(1, -(-rows // size))
+#: At most so many cells, whose centres the driver and each task hold.
+MOST_CELLS = 1024
 
 
-def _grid(pool: DataFrame, size: int, ordered: bool) -> DataFrame:
-    """Rows dealt to pairs of blocks: (``one``, ``two``), once as ``left`` and once as right side."""
-    n = _blocks(pool.count(), size)
-    own = F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")
-    others = F.sequence(F.lit(0), F.lit(n - 1))
-    base = pool.withColumn("block", own)
-    left = base.withColumn("other", F.explode(others)).select("id", "vector", F.col("block").alias("one"), F.col("other").alias("two"), F.lit(True).alias("left"))
-    right = base.withColumn("other", F.explode(others)).select("id", "vector", F.col("other").alias("one"), F.col("block").alias("two"), F.lit(False).alias("left"))
-    both = left.unionByName(right)
-    return both.where("one <= two") if ordered else both
+class Cells:
+    """Rows dealt to cells by their nearest pivot, and cells to blocks of about ``size`` rows.
+
+    By the triangle inequality, rows of two cells are no nearer than their pivots' distance
+    less both radii; with the greatest norms that bounds the dot product of any two rows,
+    and blocks that the bound rules out are never compared.  Pivots are the first rows by
+    a hash of their id, one for ``size`` rows.
+    """
+
+    def __init__(self, pool: DataFrame, size: int):
+        n = pool.count()
+        first = pool.orderBy(F.xxhash64("id"), "id").limit(min(MOST_CELLS, max(1, -(-n // size)))).select("vector")
+        pivots = np.array([r["vector"] for r in first.collect()], dtype=np.float64)
+
+        @F.pandas_udf("struct<cell:int,far:double,norm:double>")
+        def placed(v: pd.Series) -> pd.DataFrame:
+            x = np.array(v.tolist(), dtype=np.float64)
+            squares = (x * x).sum(axis=1)
+            apart = squares[:, None] - 2 * (x @ pivots.T) + (pivots * pivots).sum(axis=1)
+            cell = apart.argmin(axis=1)
+            return pd.DataFrame({"cell": cell, "far": np.sqrt(np.maximum(apart[np.arange(len(x)), cell], 0)), "norm": np.sqrt(squares)})
+
+        self.rows = kept(pool.select("id", "vector", placed("vector").alias("at")).select("id", "vector", "at.*"), "cells") if n else pool.select("id", "vector", F.lit(0).alias("cell"))
+        stats = {r["cell"]: r for r in self.rows.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.max("far").alias("far"), F.max("norm").alias("norm")).collect()} if n else {}
+        self.cells = sorted(stats)
+        self.parts = {c: -(-stats[c]["n"] // size) for c in self.cells}
+        if not n:
+            return
+        far, norm = (np.array([stats[c][k] for c in self.cells]) for k in ("far", "norm"))
+        p = pivots[self.cells]
+        apart = np.sqrt(np.maximum(((p[:, None] - p[None]) ** 2).sum(axis=2), 0)) if len(p) <= 256 else np.sqrt(np.maximum((p * p).sum(1)[:, None] - 2 * p @ p.T + (p * p).sum(1), 0))
+        least = np.maximum(apart - far[:, None] - far[None], 0)
+        #: No dot product of rows of two cells is greater; a margin covers rounding.
+        self.most = ((norm**2)[:, None] + (norm**2)[None] - least**2) / 2 + 1e-6
+
+    def pairs(self, wanted: np.ndarray, ordered: bool) -> DataFrame:
+        """Rows dealt to pairs of blocks (``one``, ``two``), as ``left`` side and as right side; ``wanted[a, b]`` says whether rows of cell a need those of cell b."""
+        spark, many = self.rows.sparkSession, max(self.parts.values(), default=1)
+        needs = [(self.cells[a], self.cells[b], self.parts[self.cells[b]], self.parts[self.cells[a]]) for a, b in zip(*np.nonzero(wanted), strict=True)]
+        table = spark.createDataFrame([tuple(map(int, x)) for x in needs], "cell int, other int, other_parts int, own_parts int")
+        code = lambda cell, part: F.col(cell).cast("long") * many + part
+        own = self.rows.join(table.select("cell", "own_parts").distinct(), "cell").withColumn("block", code("cell", F.pmod(F.xxhash64("id"), F.col("own_parts")))).drop("own_parts")
+        spread = lambda t: t.select("cell", "other", F.explode(F.sequence(F.lit(0), F.col("other_parts") - 1)).alias("part")).select("cell", code("other", F.col("part")).alias("partner"))
+        back = table.select(F.col("other").alias("cell"), F.col("cell").alias("other"), F.col("own_parts").alias("other_parts"))
+        left = own.join(spread(table), "cell").select("id", "vector", F.col("block").alias("one"), F.col("partner").alias("two"), F.lit(True).alias("left"))
+        right = own.join(spread(back), "cell").select("id", "vector", F.col("partner").alias("one"), F.col("block").alias("two"), F.lit(False).alias("left"))
+        both = left.unionByName(right)
+        return both.where("one <= two") if ordered else both
 
 
 def _sides(rows: pd.DataFrame):
@@ -78,7 +117,10 @@ def _sides(rows: pd.DataFrame):
 
 
 def similar_pairs(pool: DataFrame, least: float, block: int = 2048) -> DataFrame:
-    """Pairs ``a < b`` of (``id``, ``vector``) with a cosine of ``least`` or more, by blocked matrix products."""
+    """Pairs ``a < b`` of (``id``, ``vector``) with a cosine of ``least`` or more, by matrix products of the blocks that can have such pairs."""
+    cells = Cells(pool, block)
+    if not cells.cells:
+        return pool.sparkSession.createDataFrame([], "a long, b long, cosine double")
 
     def one(rows: pd.DataFrame) -> pd.DataFrame:
         (ia, a), (ib, b) = _sides(rows)
@@ -91,11 +133,18 @@ def similar_pairs(pool: DataFrame, least: float, block: int = 2048) -> DataFrame
         i, j = i[keep], j[keep]
         return pd.DataFrame({"a": np.minimum(ia[i], ib[j]), "b": np.maximum(ia[i], ib[j]), "cosine": s[i, j]})
 
-    return _grid(pool, block, True).groupBy("one", "two").applyInPandas(one, "a long, b long, cosine double")
+    return cells.pairs(cells.most >= least, True).groupBy("one", "two").applyInPandas(one, "a long, b long, cosine double")
 
 
 def nearest(pool: DataFrame, k: int, block: int = 2048) -> DataFrame:
-    """The ``k`` nearest others of every row: ``id``, ``neighbour``, ``cosine`` and ``rank``."""
+    """The ``k`` nearest others of every row: ``id``, ``neighbour``, ``cosine`` and ``rank``.
+
+    A first pass within blocks finds how near the k-th of each row is at least; a block
+    is then compared with those alone that can hold nearer ones for some row of its cell.
+    """
+    cells = Cells(pool, block)
+    if not cells.cells:
+        return pool.sparkSession.createDataFrame([], "id long, neighbour long, cosine double, rank int")
 
     def one(rows: pd.DataFrame) -> pd.DataFrame:
         (ia, a), (ib, b) = _sides(rows)
@@ -107,9 +156,17 @@ def nearest(pool: DataFrame, k: int, block: int = 2048) -> DataFrame:
         out = pd.DataFrame({"id": np.repeat(ia, at.shape[1]), "neighbour": ib[at].ravel(), "cosine": np.take_along_axis(s, at, 1).ravel()})
         return out[np.isfinite(out["cosine"])]
 
-    found = _grid(pool, block, False).groupBy("one", "two").applyInPandas(one, "id long, neighbour long, cosine double")
+    def best(dealt: DataFrame) -> DataFrame:
+        return dealt.groupBy("one", "two").applyInPandas(one, "id long, neighbour long, cosine double")
+
+    wanted = np.full(cells.most.shape, True)
+    if len(cells.cells) > 1:
+        own = cells.pairs(np.eye(len(cells.cells), dtype=bool), False).where("one = two")
+        sure = best(own).groupBy("id").agg(F.when(F.count(F.lit(1)) >= k, F.min("cosine")).alias("sure"))
+        found = {r["cell"]: r["sure"] for r in cells.rows.join(sure, "id", "left").groupBy("cell").agg(F.min(F.coalesce("sure", F.lit(float("-inf")))).alias("sure")).collect()}
+        wanted = cells.most >= np.array([found[c] for c in cells.cells])[:, None]
     order = Window.partitionBy("id").orderBy(F.desc("cosine"), "neighbour")
-    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    return best(cells.pairs(wanted, False)).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
 def without_top(pool: DataFrame, directions: int) -> DataFrame:

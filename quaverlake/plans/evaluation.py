@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text, vectors
-from ..operators import evaluation, lists, scoring
+from ..operators import evaluation, lists, scoring, states
 from .catalog import MARKS, NORMAL, used
 from .registry import POOL, TRACKS, pool, query, table, tracks
 from .similarity import SEEDS, TERMS, ranked_sql, seed_scores, track_pairs
@@ -188,3 +188,17 @@ def weight_sweep(spark, sf_dir):
     top = evaluation.swept(scoring.seed_pairs(pool(spark, sf_dir), SEEDS).where("id <> seed_id"), SWEEP, 20)
     plain = top.where("config = 'plain cosine'").select("seed_id", "id", F.lit(1).alias("hit"))
     return top.join(F.broadcast(plain), ["seed_id", "id"], "left").groupBy("config").agg(F.round(F.count("hit") / F.lit(60.0), 6).alias("overlap"))
+
+
+@query(f"""WITH {TRACKS}, c AS (SELECT id, trim(artist) AS artist, trim(album) AS album, regexp_matches(lower(album), 'singles & loose tracks|loose tracks|b-sides|b sides|bootleg|unknown album|various artists|compilation') AS vague FROM tracks),
+al AS (SELECT artist, album FROM c WHERE NOT vague GROUP BY 1, 2 HAVING count(*) BETWEEN 2 AND 25),
+f AS (SELECT c.* FROM c JOIN al USING (artist, album)),
+s AS (SELECT artist, count(*) AS n FROM c GROUP BY 1 HAVING count(*) > 1),
+d AS (SELECT c.artist, c.id, ('0x' || substr(md5('ring:' || id), 1, 8))::BIGINT % (CASE WHEN n <= 21 THEN 1 ELSE ceil(n / 1000.0) END)::BIGINT AS ring FROM c JOIN s USING (artist)),
+p AS (SELECT *, row_number() OVER (PARTITION BY artist, ring ORDER BY md5(id::VARCHAR), id) AS place, count(*) OVER (PARTITION BY artist, ring) AS m FROM d)
+SELECT 'album' AS kind, a.id, b.id AS mate FROM f a JOIN f b ON a.artist = b.artist AND a.album = b.album AND a.id <> b.id
+UNION ALL SELECT 'artist', p.id, q.id FROM p, LATERAL (SELECT unnest(range(1, least(20, p.m - 1) + 1)) AS step) k JOIN p q ON q.artist = p.artist AND q.ring = p.ring AND q.place = (p.place - 1 + step) % p.m + 1""")
+def label_bootstrap(spark, sf_dir):
+    """Mates by album and by artist, a bounded number a row."""
+    rows = tracks(spark, sf_dir).select("id", "artist", "album")
+    return evaluation.label_pairs(rows, states.is_placeholder(F.col("album")))

@@ -411,3 +411,28 @@ def artist_affinity(spark, sf_dir):
     reached = both.groupBy(F.col("b").alias("artist")).agg(F.max("score").alias("score"))
     seed = F.col("artist").isin(1, 5, 9)
     return table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("artist")).join(reached, "artist", "left").select("artist", F.round(F.when(seed, 1.0).otherwise(F.coalesce("score", F.lit(0.0))), 6).alias("affinity"))
+
+
+KEY = "-ln(('0x' || substr(md5('draw:' || draw || ':' || seed_id || ':' || id), 1, 8))::BIGINT / 4294967296.0::DOUBLE + power(2.0::DOUBLE, -33)) / exp(-(rank - 1) / (3.0::DOUBLE + 30.0::DOUBLE * v))"
+
+
+@query(f"""WITH RECURSIVE {ranked_sql(score=f'-round({DISTANCE}, 9)')},
+asks AS (SELECT *, variety / 9.0::DOUBLE AS v, variety + 10 AS draw FROM (SELECT unnest([0, 4, 9]) AS variety)),
+wide AS (SELECT r.*, a.variety, a.draw, a.v FROM ranked r, asks a WHERE a.v = 0 OR r.rank <= 12 * (1 + round_even(a.v * 7, 0))),
+keyed AS (SELECT *, row_number() OVER (PARTITION BY seed_id, variety ORDER BY CASE WHEN v = 0 THEN rank ELSE {KEY} END, id) AS place, count(*) OVER (PARTITION BY seed_id, variety) AS n FROM wide),
+walk AS (
+  SELECT DISTINCT seed_id, variety, 0::BIGINT AS r, []::BIGINT[] AS ids, []::VARCHAR[] AS arts FROM keyed
+  UNION ALL
+  SELECT w.seed_id, w.variety, w.r + 1, CASE WHEN ok THEN list_append(ids, x.id) ELSE ids END, CASE WHEN ok THEN list_append(arts, x.artist) ELSE arts END
+  FROM walk w JOIN keyed x ON x.seed_id = w.seed_id AND x.variety = w.variety AND x.place = w.r + 1,
+    LATERAL (SELECT NOT (x.artist <> '' AND list_contains(arts[greatest(len(arts) - 2, 1):], x.artist)) OR x.v > 0 AND x.n - x.place + len(ids) <= 12 AS ok) o WHERE len(ids) < 12),
+last AS (SELECT seed_id, variety, arg_max(ids, r) AS ids FROM walk GROUP BY seed_id, variety),
+listed AS (SELECT seed_id, variety, unnest(ids) AS id, unnest(range(1, len(ids) + 1)) AS position FROM last)
+SELECT l.seed_id, l.variety, l.position::INT AS position, l.id, r.rank::INT AS rank FROM listed l JOIN ranked r USING (seed_id, id)""")
+def baseline_mixes(spark, sf_dir):
+    """The baseline engine's mixes of three seeds without, with some and with most variety."""
+    pairs = scoring.seed_pairs(pool(spark, sf_dir), SEEDS).where("id <> seed_id")
+    far = pairs.select("seed_id", "id", "artist", (-F.round(vectors.weighted_distance(F.col("vector"), F.col("seed_vector"), GROUP_WEIGHTS), 9)).alias("score"))
+    asks = F.explode(F.array(*[F.struct(F.lit(v).alias("variety"), F.lit(v + 10).alias("draw")) for v in (0, 4, 9)]))
+    ranking = lists.ranked(far, 12 * lists.WIDEST * 2).withColumn("ask", asks).select("*", "ask.*").drop("ask")
+    return lists.sampled_mix(ranking, 12, 3).select("seed_id", "variety", "position", "id", "rank")

@@ -94,3 +94,49 @@ def test_all_but_the_top(spark, rows):
     for seed in SEEDS:
         best = sorted((-float(y[k] @ y[ids.index(seed)]) for k, i in enumerate(ids) if i != seed))[:40]
         assert np.allclose([got[seed, n] for n in range(1, 41)], -np.array(best), atol=1e-6)
+
+
+def test_draws_follow_the_weights(spark):
+    """The first draw of many mixes is each row as often as its weight says."""
+    from pyspark.sql import functions as F
+
+    from quaverlake.operators import lists
+
+    rows = spark.range(4000).selectExpr("id AS draw").crossJoin(spark.range(1, 17).selectExpr("id", "cast(id AS int) AS rank", "cast(id AS string) AS artist", "-cast(id AS double) AS score"))
+    ranking = rows.withColumns({"seed_id": F.lit(0), "variety": F.lit(9)})
+    first = lists.sampled_mix(ranking, 2, 3).where("position = 1").groupBy("rank").count().collect()
+    weights = np.exp(-np.arange(16) / 33.0)
+    want = 4000 * weights / weights.sum()
+    got = np.zeros(16)
+    for r in first:
+        got[r["rank"] - 1] = r["count"]
+    assert ((got - want) ** 2 / want).sum() < 37.7  # chi square, 15 degrees, one in a thousand
+
+
+def test_sampled_mix_fills_up_rather_than_ends_short(spark):
+    from quaverlake.operators import lists
+
+    ranking = spark.createDataFrame([(0, k, "same", -float(k), k, 1, v) for k in range(1, 9) for v in (0, 9)], "seed_id long, id long, artist string, score double, rank int, draw int, variety int")
+    got = lists.sampled_mix(ranking, 5, 3)
+    assert got.where("variety = 9").count() == 5
+    assert got.where("variety = 0").count() == 1
+    free = lists.sampled_mix(ranking, 5, 0)
+    assert free.where("variety = 0").count() == 5
+
+
+def test_label_pairs_are_bounded(spark):
+    from pyspark.sql import functions as F
+
+    from quaverlake.operators import evaluation
+
+    rows = [(k, "Big", f"album {k % 900}") for k in range(2500)] + [(9000 + k, "Small", "One") for k in range(30)] + [(9900, "Lone", "x"), (9901, None, "x"), (9902, " ", "x")]
+    df = spark.createDataFrame(rows, "id long, artist string, album string")
+    pairs = evaluation.label_pairs(df, F.lit(False)).collect()
+    of = {}
+    for r in pairs:
+        of.setdefault((r.kind, r.id), set()).add(r.mate)
+    assert len(pairs) == sum(map(len, of.values()))
+    assert all(len(m) == 20 and i not in m for (kind, i), m in of.items() if kind == "artist")
+    assert {i for kind, i in of if kind == "artist"} == {*range(2500), *range(9000, 9030)}
+    assert {len(m) for (kind, _), m in of.items() if kind == "album"} <= {1, 2}
+    assert not any(i >= 9000 for kind, i in of if kind == "album")
