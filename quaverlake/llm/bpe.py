@@ -11,6 +11,11 @@ The words are those of the tokenizer file: text is cut at added tokens, normalis
 are remembered up to a bound of bytes.  The file has no decoder;
 decoding joins the tokens' strings with spaces, as the tokenizers library does.
 
+Letters, numbers and lower case depend on a version of Unicode.  All tables agree on the
+characters that Python's own table has; a text with any other one takes its normal form
+and the classes of its pattern from the tokenizers library, so that no upgrade moves a
+token.
+
 Defined cases: null text is empty and has no tokens; added tokens in a text become
 their ids; very long words take the same way; repeated rows are encoded alike; an
 empty table gives an empty result; input columns named like a result column are
@@ -31,6 +36,7 @@ import public_tokenizers
 import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from tokenizers import Regex, normalizers, pre_tokenizers
 
 from .common import Remembered, byte_characters, table
 
@@ -44,6 +50,47 @@ CACHE_BYTES = 80 << 20
 SPACE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 
 
+#: Planes of Unicode that have characters other than of private use.
+PLANES = (0, 1, 2, 3, 14)
+
+
+def plane_characters() -> Iterator[str]:
+    for plane in PLANES:
+        yield from (chr(c) for c in range(plane << 16, (plane + 1) << 16) if not 0xD800 <= c <= 0xDFFF)
+
+
+@functools.cache
+def unknown_characters() -> frozenset[str]:
+    """Those that Python's table of Unicode does not have."""
+    return frozenset(c for c in plane_characters() if unicodedata.category(c) == "Cn")
+
+
+@functools.cache
+def library_class(name: str) -> str:
+    """The characters that the tokenizers library has in a class, as ranges within brackets."""
+    every = "".join(plane_characters())
+    outside = [span for _, span in pre_tokenizers.Split(Regex(name + "+"), "removed").pre_tokenize_str(every)]
+    inside, at = [], 0
+    for a, b in [*outside, (len(every), len(every))]:
+        if at < a:
+            inside.append((at, a - 1))
+        at = b
+    # a stretch of neighbours in ``every`` may cross from one plane to another, or over the surrogates
+    ranges = []
+    for a, b in inside:
+        begin = a
+        for k in range(a, b + 1):
+            if k == b or ord(every[k + 1]) != ord(every[k]) + 1:
+                ranges.append(f"\\U{ord(every[begin]):08x}-\\U{ord(every[k]):08x}")
+                begin = k + 1
+    return "".join(ranges)
+
+
+@functools.cache
+def library_normalizer() -> normalizers.Normalizer:
+    return normalizers.Sequence([normalizers.NFC(), normalizers.Lowercase()])
+
+
 class Pairs:
     """Mergeable pairs of symbols: ``leaves`` has the rank of each, above the bits for a place; ``merged`` what each rank makes."""
 
@@ -127,7 +174,8 @@ class Codec:
         self.inner = [self.vocabulary[c] for c in byte_characters()]
         self.last = [self.vocabulary[c + end] for c in byte_characters()]
         pattern = next(p["pattern"]["Regex"] for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
-        self.pattern = regex.compile(pattern.replace(r"\s", SPACE))
+        self.source = pattern.replace(r"\s", SPACE)
+        self.pattern = regex.compile(self.source)
         self.split_added = re.compile("(" + "|".join(re.escape(t) for t in sorted(self.added, key=len, reverse=True)) + ")")
         self.words = Words(self)
 
@@ -139,12 +187,19 @@ class Codec:
         """The lower-cased words of a text without added tokens."""
         if text.isascii():
             lowered = text.lower()
+        elif not unknown_characters().isdisjoint(text):
+            return self.exact_pattern.findall(library_normalizer().normalize_str(text))
         else:
             normal = unicodedata.normalize("NFC", text)
             # as a whole, a capital sigma that ends a word would become another letter
             lowered = normal.lower() if "\u03a3" not in normal else "".join(map(str.lower, normal))
         return self.pattern.findall(lowered)
 
+    @functools.cached_property
+    def exact_pattern(self) -> regex.Pattern:
+        """The pattern with the classes of the library spelled out."""
+        return regex.compile(self.source.replace(r"\p{L}", library_class(r"\p{L}")).replace(r"\p{N}", library_class(r"\p{N}")))
+
     def parts(self, text: str) -> list[tuple[str, str]]:
         """Ids in decimal and strings of each word and added token."""
         if "<|" not in text:

@@ -79,6 +79,22 @@ def test_codes_give_random_access():
 # --- BPE -------------------------------------------------------------------
 
 
+def test_bpe_of_every_character():
+    """Each code point between letters, after a number, and with marks and other new characters around it."""
+    path = public_tokenizers.path("word_bpe_49k.json")
+    library, codec = Tokenizer.from_file(path), bpe.Codec(path)
+    points = [chr(c) for c in range(1, 0x110000) if not 0xD800 <= c <= 0xDFFF]
+    newest = sorted(bpe.unknown_characters())[::97]
+    # many characters a text, for speed, each between letters of its own
+    texts = [" ".join(f"a{c}b 1{c}" for c in points[k : k + 64]) for k in range(0, len(points), 64)]
+    texts += [" ".join(f"{c}\u0301{d}x" for c, d in zip(points[k : k + 64 : 3], newest * 9, strict=False)) for k in range(0, len(points), 640)]
+    for k in range(0, len(texts), 512):
+        want = library.encode_batch(texts[k : k + 512], add_special_tokens=False)
+        for text, w in zip(texts[k : k + 512], want, strict=True):
+            assert codec.encode(text) == w.ids, text
+
+
+
 @pytest.mark.parametrize("which", ["odd", "table"])
 def test_bpe_codec(spark, folder_of, which):
     library = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
