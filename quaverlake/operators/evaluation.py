@@ -214,3 +214,14 @@ def label_pairs(rows: DataFrame, placeholder: Column, mates: int = ARTIST_MATES)
     asked = asked.select("artist", "ring", "id", (F.pmod(F.col("place") - 1 + F.col("step"), F.col("m")) + 1).alias("place"))
     artist_pairs = asked.join(placed.select("artist", "ring", "place", F.col("id").alias("mate")), ["artist", "ring", "place"]).select(F.lit("artist").alias("kind"), "id", "mate")
     return album_pairs.unionByName(artist_pairs)
+
+
+def ranked_letters(rankings: DataFrame, key: str, ranking: str) -> DataFrame:
+    """``key``, ``place`` and ``letter`` of rankings like "B>A=C": better before ">", equals at one place."""
+    groups = rankings.select(key, F.posexplode(F.split(ranking, ">")).alias("k", "grp"))
+    return groups.select(key, (F.col("k") + 1).alias("place"), F.explode(F.split("grp", "=")).alias("letter"))
+
+
+def outside(seeds: DataFrame, seed: str, collection: DataFrame, key: str) -> DataFrame:
+    """The seeds that are not in a collection, which would bring a row from outside it into a list."""
+    return seeds.join(collection.select(F.col(key).alias(seed)), seed, "left_anti")

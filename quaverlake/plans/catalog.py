@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text
-from ..operators import catalog, matching, merge, rules
+from ..operators import catalog, evaluation, matching, merge, rules
 from ..operators.rules import Field
 from .registry import TRACKS, query, table, tracks
 
@@ -375,8 +375,21 @@ def holdout_folds(spark, sf_dir):
     return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), (place % 5).alias("fold"))
 
 
-@query("WITH r AS (SELECT 'B>A=C>D' AS ranking), g AS (SELECT unnest(string_split(ranking, '>')) AS grp, unnest(range(1, 5)) AS place FROM r) SELECT place::INT AS place, unnest(string_split(grp, '=')) AS letter FROM g WHERE grp IS NOT NULL")
+@query("""WITH n AS (SELECT p_brand AS judge, chr((65 + p_size % 6)::INT) AS letter, count(*) AS n FROM part GROUP BY 1, 2),
+g AS (SELECT judge, n, string_agg(letter, '=' ORDER BY letter) AS grp FROM n GROUP BY 1, 2),
+r AS (SELECT judge, string_agg(grp, '>' ORDER BY n DESC) AS ranking FROM g GROUP BY 1),
+s AS (SELECT judge, unnest(string_split(ranking, '>')) AS grp, generate_subscripts(string_split(ranking, '>'), 1) AS place FROM r)
+SELECT judge, place::INT AS place, unnest(string_split(grp, '=')) AS letter FROM s""")
 def ranking_groups(spark, sf_dir):
-    """A blind ranking taken apart."""
-    groups = spark.range(1).select(F.posexplode(F.split(F.lit("B>A=C>D"), ">")).alias("k", "grp"))
-    return groups.select((F.col("k") + 1).alias("place"), F.explode(F.split("grp", "=")).alias("letter"))
+    """Blind rankings of six letters, one a brand, written as text ("B>A=C") and taken apart again."""
+    counts = table(spark, sf_dir, "part").groupBy(F.col("p_brand").alias("judge"), F.chr(65 + F.col("p_size") % 6).alias("letter")).agg(F.count(F.lit(1)).alias("n"))
+    tied = counts.groupBy("judge", "n").agg(F.array_join(F.array_sort(F.collect_list("letter")), "=").alias("grp"))
+    written = tied.groupBy("judge").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("n", "grp")), asc=False), lambda g: g["grp"]), ">").alias("ranking"))
+    return evaluation.ranked_letters(written, "judge", "ranking")
+
+
+@query("SELECT vec_id AS seed FROM embeddings WHERE vec_id % 20 = 0 AND vec_id NOT IN (SELECT p_partkey FROM part WHERE p_size <= 25)")
+def seeds_outside(spark, sf_dir):
+    """The seeds that a collection does not hold."""
+    seeds = table(spark, sf_dir, "embeddings").where("vec_id % 20 = 0").select(F.col("vec_id").alias("seed"))
+    return evaluation.outside(seeds, "seed", table(spark, sf_dir, "part").where("p_size <= 25"), "p_partkey")

@@ -376,16 +376,19 @@ def level_fit(spark, sf_dir):
     return rows.agg(F.round(F.regr_slope("bpm", "db"), 6).alias("slope"), F.round(F.regr_intercept("bpm", "db"), 6).alias("intercept"), F.count(F.lit(1)).alias("pairs"))
 
 
-@query("""WITH k AS (SELECT range AS k FROM range(24)), p AS (SELECT a.k AS a, b.k AS b, a.k // 2 AS ta, b.k // 2 AS tb, a.k % 2 = 0 AS ma, b.k % 2 = 0 AS mb FROM k a, k b)
-SELECT a, b, CASE WHEN ma = mb THEN CASE (tb - ta + 12) % 12 WHEN 0 THEN 1.0 WHEN 5 THEN 0.8 WHEN 7 THEN 0.8 WHEN 2 THEN 0.4 WHEN 10 THEN 0.4 ELSE 0.0 END
+@query("""WITH l AS (SELECT l_orderkey, l_linenumber, p_size % 24 AS k FROM lineitem JOIN part ON p_partkey = l_partkey),
+w AS (SELECT lag(k) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, k) AS a, k AS b FROM l),
+p AS (SELECT a, b, count(*) AS n, a // 2 AS ta, b // 2 AS tb, a % 2 = 0 AS ma, b % 2 = 0 AS mb FROM w WHERE a IS NOT NULL GROUP BY a, b)
+SELECT a::BIGINT AS a, b::BIGINT AS b, n, CASE WHEN ma = mb THEN CASE (tb - ta + 12) % 12 WHEN 0 THEN 1.0 WHEN 5 THEN 0.8 WHEN 7 THEN 0.8 WHEN 2 THEN 0.4 WHEN 10 THEN 0.4 ELSE 0.0 END
   WHEN ((CASE WHEN ma THEN tb ELSE ta END) + 3) % 12 = (CASE WHEN ma THEN ta ELSE tb END) THEN 0.8 ELSE 0.0 END::DOUBLE AS compatibility FROM p""")
 def key_table(spark, sf_dir):
-    """All pairs of the 24 keys."""
-    keys = spark.range(24)
-    a, b = keys.select(F.col("id").alias("a")), keys.select(F.col("id").alias("b"))
+    """The keys of neighbours in every list, how often they meet and how well they go together."""
+    keys = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("l_partkey"), (F.col("p_size") % 24).cast("long").alias("b"))
+    items = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey").join(keys, "l_partkey")
+    met = items.withColumn("a", F.lag("b").over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "b"))).where("a IS NOT NULL").groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"))
     half = lambda c: F.floor(F.col(c) / 2)
     fit = text.key_compatibility(half("a"), F.col("a") % 2 == 0, half("b"), F.col("b") % 2 == 0)
-    return a.crossJoin(b).select("a", "b", fit.alias("compatibility"))
+    return met.select("a", "b", "n", fit.alias("compatibility"))
 
 
 @query(f"""WITH {ranked_sql()}, {TRACKS}, m AS (SELECT r.seed_id, r.rank, t.*, lag(t.bpm) OVER (PARTITION BY r.seed_id ORDER BY r.rank) AS before FROM ranked r JOIN tracks t USING (id) WHERE r.rank <= 30)

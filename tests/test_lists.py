@@ -140,3 +140,19 @@ def test_label_pairs_are_bounded(spark):
     assert {i for kind, i in of if kind == "artist"} == {*range(2500), *range(9000, 9030)}
     assert {len(m) for (kind, _), m in of.items() if kind == "album"} <= {1, 2}
     assert not any(i >= 9000 for kind, i in of if kind == "album")
+
+
+def test_key_compatibility_of_all_keys(spark):
+    """The full table of 24 keys: symmetric, 1 on the diagonal, and as many of each value as the circle of fifths has."""
+    from pyspark.sql import functions as F
+
+    from quaverlake.functions import text
+
+    keys = spark.range(24)
+    half = lambda c: F.floor(F.col(c) / 2)
+    pairs = keys.selectExpr("id AS a").crossJoin(keys.selectExpr("id AS b"))
+    fit = text.key_compatibility(half("a"), F.col("a") % 2 == 0, half("b"), F.col("b") % 2 == 0)
+    got = {(r.a, r.b): r.fit for r in pairs.select("a", "b", fit.alias("fit")).collect()}
+    assert all(got[a, b] == got[b, a] for a, b in got)
+    assert all(got[k, k] == 1.0 for k in range(24))
+    assert sorted(got[0, b] for b in range(24)) == sorted([1.0, 0.8, 0.8, 0.8, 0.4, 0.4] + [0.0] * 18)
