@@ -215,7 +215,11 @@ def word_hashes(text: str | None) -> np.ndarray:
     while at < len(data):
         here = IN_WORD[data[at : at + PIECE]]
         if at + PIECE < len(data) and here[-1]:
-            here = here[: len(here) - int(here[::-1].argmin())] if not here.all() else here
+            if here.all():
+                one, at = long_word_hash(data, at)
+                out.append(one)
+                continue
+            here = here[: len(here) - int(here[::-1].argmin())]
         inside = np.zeros(len(here) + 2, dtype=np.int8)
         inside[1:-1] = here
         edges = np.flatnonzero(np.diff(inside))
@@ -223,12 +227,24 @@ def word_hashes(text: str | None) -> np.ndarray:
         sums = np.zeros(len(here) + 1, dtype=np.uint64)
         np.cumsum(BYTE_VALUES[data[at : at + len(here)]] * POWERS[: len(here)], out=sums[1:])
         hashes = ((sums[ends] - sums[starts]) * UNPOWERS[starts]) if len(starts) else np.empty(0, dtype=np.uint64)
-        # a word longer than a piece is one word a piece
         out.append((hashes ^ (hashes >> np.uint64(32))) * MIX)
         at += len(here)
     return np.concatenate(out) if out else np.empty(0, dtype=np.uint64)
 
 
+def long_word_hash(data: np.ndarray, at: int) -> tuple[np.ndarray, int]:
+    """The hash of the word at a place, longer than a piece, and the place of its end: the sum goes on from piece to piece."""
+    total, scale = np.zeros(1, dtype=np.uint64), UNPOWERS[:1]
+    while at < len(data):
+        here = IN_WORD[data[at : at + PIECE]]
+        n = len(here) if here.all() else int(here.argmin())
+        total += np.sum(BYTE_VALUES[data[at : at + n]] * POWERS[:n], dtype=np.uint64) * scale
+        scale, at = scale * POWERS[-1:], at + n
+        if n < PIECE:
+            break
+    return (total ^ (total >> np.uint64(32))) * MIX, at
+
+
 def shingle_set(text: str | None, shingle: int) -> np.ndarray:
     """The distinct hashes of a text's word shingles, ascending: each mixed from those of its words in order.
 

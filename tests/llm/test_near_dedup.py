@@ -89,3 +89,28 @@ def test_near_copies_by_each_kind_of_edit(spark):
         copies = [base[:cut_at] + base[cut_at + 54 :], edited(base, range(int(at), 290, 46)), base + [f"g{g}n{k}" for k in range(60)]]
         rows += [" ".join(base), " ".join(copies[g % 3])]
     check(spark, list(enumerate(rows)))
+
+
+def test_words_longer_than_a_piece():
+    """A word is one word however long, with the hash that it would have in one piece."""
+    from quaverlake.llm.simhash_dedup import PIECE, word_hashes
+
+    long = "ab" * PIECE
+    assert len(word_hashes("x" * 300_000)) == 1
+    for before in ("", "y ", "some words " * 30_000):
+        got = word_hashes(before + long + " z " + long + "c")
+        assert len(got) == len(before.split()) + 3
+        assert got[-2] == word_hashes("z")[0]
+        assert got[-3] == word_hashes(long)[0] != got[-1]
+    exact = "q" * PIECE
+    assert [len(word_hashes(t)) for t in (exact, exact + " ", " " + exact, exact + "q", exact + " q")] == [1, 1, 1, 1, 2]
+    assert word_hashes(" " + exact)[0] == word_hashes(exact + " ")[0] == word_hashes(exact)[0]
+    assert word_hashes(exact + "q")[0] != word_hashes(exact)[0]
+    # a plain sum over the bytes of a word that spans two pieces
+    from quaverlake.llm import simhash_dedup as m
+
+    text, total, power, mask = "z" * (PIECE + 7), 0, 1, (1 << 64) - 1
+    for b in text.encode():
+        total = (total + int(m.BYTE_VALUES[b]) * power) & mask
+        power = power * int(m.MULTIPLIERS[0]) & mask
+    assert int(word_hashes(text)[0]) == (total ^ total >> 32) * int(m.MIX) & mask
