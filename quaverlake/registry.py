@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .plans import catalog, evaluation, exports, files, mixes, profiles, requests, scalars, similarity, states, streams  # noqa: F401  (they register their queries)
+from .plans import audio, catalog, evaluation, exports, files, mixes, profiles, requests, scalars, similarity, states, streams  # noqa: F401  (they register their queries)
 from .plans.registry import QUERIES, SQL
 
 
