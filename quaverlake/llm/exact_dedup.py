@@ -58,8 +58,11 @@ def repeat_filter(digests: DataFrame, digest: str, bits: int) -> DataFrame:
 
 
 def mark_possible_repeats(rows: DataFrame, id_col: str, digest: str, bits: int, bitmaps: DataFrame, broadcast: bool, total: int) -> DataFrame:
-    """Adds ``__maybe``: true where all positions of the row's hash are in the filter."""
-    out = rows
+    """Adds ``__maybe``: true where all positions of the row's hash are in the filter.
+
+    Each bitmap is tested right after its join, so that no row takes one along.
+    """
+    out = rows.withColumn("__maybe", F.lit(True))
     for k in range(PROBES):
         side = bitmaps.select(F.col("__bucket").alias(f"__bucket{k}"), F.col("__bits").alias(f"__bits{k}"), "__rows")
         out = out.withColumn(f"__pos{k}", _probe(digest, k, bits))
@@ -67,12 +70,12 @@ def mark_possible_repeats(rows: DataFrame, id_col: str, digest: str, bits: int,
             out = out.join(F.broadcast(side.drop("__rows")), F.shiftright(f"__pos{k}", 15) == F.col(f"__bucket{k}"), "left")
         else:
             out = join_groups(out.withColumn(f"__bucket{k}", F.shiftright(f"__pos{k}", 15)), side, f"__bucket{k}", PROBES * total, F.col(id_col))
-    test = " AND ".join(
-        f"coalesce(shiftright(cast(conv(hex(substring(__bits{k}, cast(shiftright(__pos{k} & 32767, 3) + 1 AS INT), 1)), 16, 10) AS INT),"
-        f" cast(__pos{k} & 7 AS INT)) & 1 = 1, false)"
-        for k in range(PROBES)
-    )
-    return out.withColumn("__maybe", F.expr(test)).drop(*[f"__{x}{k}" for x in ("pos", "bucket", "bits") for k in range(PROBES)])
+        test = F.expr(
+            f"coalesce(shiftright(cast(conv(hex(substring(__bits{k}, cast(shiftright(__pos{k} & 32767, 3) + 1 AS INT), 1)), 16, 10) AS INT),"
+            f" cast(__pos{k} & 7 AS INT)) & 1 = 1, false)"
+        )
+        out = out.withColumn("__maybe", F.col("__maybe") & test).drop(f"__pos{k}", f"__bucket{k}", f"__bits{k}")
+    return out
 
 
 def group_by_digest(rows: DataFrame, id_col: str, digest: str, max_filter_bits: int, slim: DataFrame | None = None) -> DataFrame:

@@ -307,8 +307,19 @@ def test_exact_dedup_cases(spark):
 
 def test_a_filter_too_small_gives_the_same_rows(spark):
     df = docs_of(spark, [f"t{k % 700}" for k in range(1000)])
-    got = exact_dedup.annotate_duplicates(df, max_filter_bits=exact_dedup.BITMAP_BITS)
-    assert sum(r.kept for r in got.collect()) == 700
+    shown = ["doc_id", "keep_id", "group_size", "kept", "text_sha256"]
+    want = sorted(map(tuple, exact_dedup.annotate_duplicates(df).select(shown).collect()))
+    for most in (exact_dedup.BITMAP_BITS, 1):  # the second joins bitmaps by range in place of a broadcast
+        got = exact_dedup.annotate_duplicates(df, max_filter_bits=most).select(shown)
+        assert sorted(map(tuple, got.collect())) == want
+        assert sum(r[3] for r in want) == 700
+
+
+def test_no_row_takes_a_bitmap_along(spark):
+    df = docs_of(spark, [f"t{k % 700}" for k in range(1000)])
+    for most in (1 << 28, 1):
+        plan = exact_dedup.annotate_duplicates(df, max_filter_bits=most)._jdf.queryExecution().optimizedPlan().toString()
+        assert not [x for x in plan.splitlines() if "__bits0" in x and "__bits1" in x or "Project" in x and "__bits1" in x and "__pos0" in x]
 
 
 def test_embedding_join_cases(spark):
