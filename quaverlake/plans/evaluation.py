@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text, vectors
-from ..operators import evaluation, lists, scoring, states
+from ..operators import contrastive, evaluation, lists, scoring, states
 from .catalog import MARKS, NORMAL, used
 from .registry import POOL, TRACKS, pool, query, table, tracks
 from .similarity import SEEDS, TERMS, ranked_sql, seed_scores, track_pairs
@@ -202,3 +202,10 @@ def label_bootstrap(spark, sf_dir):
     """Mates by album and by artist, a bounded number a row."""
     rows = tracks(spark, sf_dir).select("id", "artist", "album")
     return evaluation.label_pairs(rows, states.is_placeholder(F.col("album")))
+
+
+@query()
+def contrastive_heads(spark, sf_dir):
+    """Recall of held-out lists, four of each label, by plain vectors, trained heads and their nulls."""
+    rows = pool(spark, sf_dir)
+    return contrastive.head_report(rows.select("id", "vector"), rows.select(F.concat_ws(":", "artist", (F.col("id") % 4).cast("string")).alias("list"), "id"))
