@@ -141,7 +141,7 @@ def _prior(members: DataFrame, top: DataFrame, fold: int, folds: int, k: int) ->
     held = members.where(fold_of("list", folds) == fold).join(F.broadcast(top), "id", "left")
     sizes = held.groupBy("list").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("r") <= k).alias("first"), F.count("r").alias("more")).where("n > 1")
     hits = F.when(F.col("r") <= k, F.col("more") - 1).otherwise(F.col("first"))
-    return held.join(sizes, "list").agg(F.avg(hits / F.least(F.col("n") - 1, F.lit(k))).alias("recall"), F.count(F.lit(1)).alias("seeds"))
+    return held.join(sizes, "list").agg(F.round(F.avg(hits / F.least(F.col("n") - 1, F.lit(k))), 9).alias("recall"), F.count(F.lit(1)).alias("seeds"))
 
 
 def _recall(members: DataFrame, found: DataFrame, fold: int, folds: int, k: int) -> DataFrame:
@@ -151,7 +151,7 @@ def _recall(members: DataFrame, found: DataFrame, fold: int, folds: int, k: int)
     seeds = held.join(sizes, "list")
     hits = found.join(seeds.select("list", "id"), "id").join(held.select("list", F.col("id").alias("neighbour")), ["list", "neighbour"]).groupBy("list", "id").agg(F.count(F.lit(1)).alias("hits"))
     share = F.coalesce("hits", F.lit(0)) / F.least(F.col("n") - 1, F.lit(k))
-    return seeds.join(hits, ["list", "id"], "left").agg(F.avg(share).alias("recall"), F.count(F.lit(1)).alias("seeds"))
+    return seeds.join(hits, ["list", "id"], "left").agg(F.round(F.avg(share), 9).alias("recall"), F.count(F.lit(1)).alias("seeds"))
 
 
 def head_report(pool: DataFrame, members: DataFrame, folds: int = 2, k: int = 25, most: int = 8192, seed: int = 0) -> DataFrame:
