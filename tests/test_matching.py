@@ -89,3 +89,12 @@ def test_report(spark):
     assert got[4][:2] == ("resolved", True)
     c = matching.report_counts(rows).first()
     assert (c.source, c.resolved, c.residue, c.flagged, c.dupes, c.exact, c.weak) == (4, 2, 1, 1, 1, 1, 1)
+
+
+def test_no_table_that_grows_is_broadcast(spark):
+    """Files of repeated names are a small part of the size of their rows, so the size of files must not decide on a broadcast."""
+    rows = [(k, f"p{k % 5}", "A", f"T{k % 3}", "One", 100.0 + k % 7) for k in range(200)]
+    one, other = (spark.createDataFrame(rows, SCHEMA) for _ in "pq")
+    told = matching.report(one, matching.resolve(one, other))
+    assert told.count() == 200
+    assert "Broadcast" not in told._jdf.queryExecution().executedPlan().toString()
