@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from quaverlake import registry
 from quaverlake.operators import lists
+from quaverlake.operators.shared import shared_folder
 from quaverlake.streaming import players
 
 BEGIN = datetime.datetime(2024, 1, 1, tzinfo=datetime.UTC)
@@ -122,3 +123,21 @@ def test_radio_picks_without_variety_is_a_spaced_walk():
     assert players.radio_picks(head, 3, 1, 0.0, "flat", 0, {0}) == [1, 2, 3]
     assert players.radio_picks(head, 3, 2, 0.0, "flat", 0, set()) == [0, 1]
     assert players.radio_picks(head, 3, 1, 3.0, "flat", 0, set()) == []
+
+
+def test_reports_shuffle_without_candidates(spark, monkeypatch):
+    """Candidates of a few items are held by the tasks; those of more travel with the reports, with the same queues."""
+    reports = spark.createDataFrame([(k, BEGIN + datetime.timedelta(minutes=k), k % 2, k % 3) for k in range(24)], "event_id long, ts timestamp, player long, item long")
+    heads = spark.createDataFrame([(s, [(100 * s + k, "abcd"[k % 4], None, k % 5 / 5, 0.1) for k in range(90)]) for s in range(3)], f"seed_id long, head {players.CANDIDATE}")
+    folders = [str(shared_folder(spark, name)).removeprefix("file://") for name in ("reports", "one", "two")]
+    reports.write.parquet(folders[0])
+    got = []
+    for most, folder in zip((4096, 1), folders[1:], strict=True):
+        monkeypatch.setattr(players, "MOST_HEADS", most)
+        steps = players.radio_queues(spark.readStream.schema(reports.schema).parquet(folders[0]), heads)
+        assert ("Join" in steps._jdf.queryExecution().analyzed().toString()) == (most == 1)
+        players.written(steps, folder, shared_folder(spark, "progress"))
+        got.append(sorted((r.event_id, r.place, r.upcoming, tuple(r.added)) for r in spark.read.parquet(folder).collect()))
+    assert got[0] == got[1]
+    assert len(got[0]) == 24
+    assert any(r[3] for r in got[0])
