@@ -124,6 +124,16 @@ def test_sampled_mix_fills_up_rather_than_ends_short(spark):
     assert free.where("variety = 0").count() == 5
 
 
+def test_sampled_mix_without_variety_looks_as_far_as_it_must(spark):
+    """Many copies of one artist come first: the list is filled from what lies behind them."""
+    from quaverlake.operators import lists
+
+    rows = [(0, k, "same" if k <= 600 else f"a{k}", -float(k), k, 1, v) for k in range(1, 641) for v in (0, 9)]
+    ranking = spark.createDataFrame(rows, "seed_id long, id long, artist string, score double, rank int, draw int, variety int")
+    got = lists.sampled_mix(ranking, 5, 3).where("variety = 0").orderBy("position").collect()
+    assert [r["rank"] for r in got] == [1, 601, 602, 603, 604]
+
+
 def test_label_pairs_are_bounded(spark):
     from pyspark.sql import functions as F
 
