@@ -49,3 +49,28 @@ def test_empty_and_small_pools(spark):
     assert scoring.similar_pairs(none, 0.5).count() == 0
     assert scoring.nearest(none, 3).count() == 0
     assert scoring.nearest(table(spark, np.eye(2)), 3).count() == 2
+
+
+def test_rows_travel_to_as_many_blocks_at_any_size(spark, monkeypatch):
+    """Where nothing is ruled out, a pool of four times the rows deals about four times as many, not sixteen."""
+    monkeypatch.setattr(scoring, "LEAST_BLOCK", 8)
+    rng, dealt = np.random.default_rng(4), []
+    for n in (400, 1600):
+        cells = scoring.Cells(table(spark, rng.normal(size=(n, 16))))
+        dealt.append(cells.pairs(np.full(cells.most.shape, True), False).count())
+    assert dealt[1] < 6 * dealt[0]
+
+
+def test_best_of_rows_with_many_equals():
+    rng = np.random.default_rng(5)
+    s = np.round(rng.normal(size=(40, 90)), 1)
+    s[7] = 0.5
+    own = np.eye(40, 90, dtype=bool)
+    masked = np.where(own, -np.inf, s)
+    want = {(r, int(c)) for r in range(40) for c in np.lexsort((np.arange(90), -masked[r]))[:6]}
+    exact = np.sort(masked, axis=1)[:, -6]
+    for sure in (np.full(40, -np.inf), exact, exact - 0.2):
+        i, j, v = scoring.best_of(s, own, 6, sure)
+        assert want <= set(zip(i.tolist(), j.tolist(), strict=True))
+        assert len(i) <= 40 * 24
+        assert (v == masked[i, j]).all()
