@@ -44,8 +44,8 @@ PLACE_BITS = 32
 PLACE_MASK = (1 << PLACE_BITS) - 1
 SYMBOL_BITS = 32
 NO_PAIR = 1 << 60
-#: Bytes of one generation of remembered words, in each Python worker.
-CACHE_BYTES = 80 << 20
+#: Bytes of one generation of remembered words, in each Python worker; there are two, and Spark hands the worker on to other tasks with them.
+CACHE_BYTES = 40 << 20
 #: White space of the normaliser, as characters of a class.
 SPACE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 

@@ -34,7 +34,8 @@ from .common import crc_remainder, saved, table
 
 UNDETERMINED = "und"
 PAD = b"\n"
-PIECE = 1 << 20
+#: Bytes that are scored at once, each with some 80 bytes of arrays; and texts that are encoded at once.
+PIECE, TEXTS = 1 << 16, 256
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 EMPTY = np.uint64(0xFFFFFFFFFFFFFFFF)
 
@@ -225,10 +226,12 @@ def predict(model: Model | None, texts: list[str | None]) -> tuple[list[str], np
     if model is None:
         return names, scores
     which = [i for i, t in enumerate(texts) if t is not None and has_letter(t)]
-    bits = model.text_bits([texts[i].encode("utf-8", "replace") for i in which])
-    for i, row in zip(which, bits, strict=True):
-        best = int(row.argmin())
-        names[i], scores[i] = model.languages[best], 1 / np.exp2(np.maximum(row[best] - row, -1000)).sum()
+    for at in range(0, len(which), TEXTS):
+        part = which[at : at + TEXTS]
+        bits = model.text_bits([texts[i].encode("utf-8", "replace") for i in part])
+        for i, row in zip(part, bits, strict=True):
+            best = int(row.argmin())
+            names[i], scores[i] = model.languages[best], 1 / np.exp2(np.maximum(row[best] - row, -1000)).sum()
     return names, scores
 
 
