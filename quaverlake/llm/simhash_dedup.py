@@ -41,7 +41,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, discard, join_dealt, join_groups, new_folder, saved, table
+from .common import cut, discard, join_dealt, join_groups, new_folder, saved, small_batches, table
 from .graph import connected_components, forest
 
 SEED = 42
@@ -311,7 +311,8 @@ class NearCopies:
     def __init__(self, ids: DataFrame, shingle: int, similarity: float):
         """``ids`` has ``__id`` (not null), ``__text`` and ``__mark``, which tells texts of one id apart."""
         self.ids, self.shingle, self.similarity = ids, shingle, similarity
-        self.rows = saved(ids.select("__id", "__mark", sketches(F.col("__text"), shingle).alias("s")).select("__id", "__mark", "s.*"), "sketches")
+        with small_batches(ids.sparkSession):
+            self.rows = saved(ids.select("__id", "__mark", sketches(F.col("__text"), shingle).alias("s")).select("__id", "__mark", "s.*"), "sketches")
         same = [F.first(c).alias(c) for c in ("n", *PARITY, "fps")]
         self.nodes = saved(self.rows.groupBy("node").agg(*same, F.min(F.struct("__id", "__mark")).alias("least"), F.count(F.lit(1)).alias("__rows")), "nodes")
 
@@ -328,7 +329,8 @@ class NearCopies:
         """``node`` and ``set`` of some nodes, from the texts."""
         chosen = saved(self.nodes.select("node", "least.__id", "least.__mark").join(wanted.distinct(), "node"), "wanted")
         found = self.ids.join(chosen, ["__id", "__mark"]).select("node", shingle_hashes(F.col("__text"), self.shingle).alias("set"))
-        return saved(found.dropDuplicates(["node"]), "sets", path)
+        with small_batches(found.sparkSession):
+            return saved(found.dropDuplicates(["node"]), "sets", path)
 
     def verified(self, links: DataFrame) -> DataFrame:
         """Those of the links (``a``, ``b``) whose sets have the similarity."""
@@ -405,6 +407,7 @@ class NearCopies:
                 yield pd.DataFrame({"hash": found[often], "n": n[often]})
 
         common = sets.select("set").mapInPandas(counted, "hash long, n long").groupBy("hash").agg(F.sum("n").alias("n"))
+        # in whole batches here: what is common is told from them
         common = common.orderBy(F.desc("n"), "hash").limit(COMMON).toArrow()
         known = [c.to_numpy() for c in common.columns]
         order = np.argsort(known[0])
@@ -421,7 +424,8 @@ class NearCopies:
 
             return batch.map(prefix)
 
-        prefixes = saved(sets.select("node", first("set").alias("prefix")).join(rows, "node"), "prefixes")
+        with small_batches(rows.sparkSession):
+            prefixes = saved(sets.select("node", first("set").alias("prefix")).join(rows, "node"), "prefixes")
         return self.across(prefixes.select("node", "part", *CARRIED, F.explode("prefix").alias("hash")), "hash")
 
 

@@ -6,8 +6,9 @@ import tracemalloc
 
 import numpy as np
 import pandas as pd
+from pyspark.sql import functions as F
 
-from quaverlake.llm import bpe, language_id
+from quaverlake.llm import bpe, language_id, simhash_dedup
 
 
 def peak_mb(work) -> float:
@@ -48,3 +49,24 @@ def test_remembered_words():
 
     assert peak_mb(work) < 110
     assert words["word 1"] == ("1", "x")
+
+
+def test_shingle_sets_in_small_batches(spark, monkeypatch):
+    """Each Python worker gets few texts at a time, and the setting is as it was afterwards."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+
+    def lengths(text, shingle):
+        @F.pandas_udf("array<long>")
+        def counted(batch: pd.Series) -> pd.Series:
+            return pd.Series([[len(batch)]] * len(batch))
+
+        return counted(text)
+
+    monkeypatch.setattr(simhash_dedup, "shingle_hashes", lengths)
+    ids = spark.range(0, 3000, 1, 1).select(F.col("id").alias("__id"), F.concat(F.lit("one two three four five "), F.col("id").cast("string")).alias("__text"), F.lit(0).alias("__mark"))
+    copies = simhash_dedup.NearCopies(ids, 5, 0.8)
+    most = copies.sets(copies.nodes.select("node")).agg(F.max(F.col("set")[0]), F.count(F.lit(1))).first()
+    assert tuple(most)[0] <= 1000
+    assert tuple(most)[1] == 3000
+    assert spark.conf.get(key) == before
