@@ -167,3 +167,29 @@ def test_odd_pools(spark):
     alone, stops = mixes.answers(pool.where("id = 0"), [Request(1, 0)])
     assert alone.count() == 0
     assert [(s.reason, s.pool) for s in stops.collect()] == [("empty", 0)]
+
+
+def test_long_walks_hold_little():
+    """A walk past very many copies of one song holds what it took, and tells each candidate's status."""
+    import tracemalloc
+
+    import pandas as pd
+
+    def batches():
+        for k in range(60):
+            ids = np.arange(k * 5000, k * 5000 + 5000)
+            rows = {"request": 1, "id": ids, "rank": ids + 1, "score": 1.0 - ids * 1e-9, "fit": 1.0 - ids * 1e-9, "toss": 0.0, "artist": "a", "twin": np.where(ids % 100_000 == 0, ids.astype(str), "t")}
+            yield pd.DataFrame(rows | {c: None for c in ("recording", "song", "vector", "seed_twin", "seed_recording", "seed_song")})
+
+    tracemalloc.start()
+    n, last = {}, None
+    for told in mixes.walked(batches(), {1: Request(1, 0, 20, 1)}):
+        for status, m in told["status"].value_counts().items():
+            n[status] = n.get(status, 0) + m
+        last = told
+    peak = tracemalloc.get_traced_memory()[1] / 1e6
+    tracemalloc.stop()
+    assert n["kept"] >= 1
+    assert sum(n.values()) == 300_000
+    assert last["reached"].dropna().tolist() == [300_000]
+    assert peak < 30
