@@ -12,15 +12,26 @@ from ..sources import audio
 from .registry import TRACKS, query, table, tracks
 
 
+#: So many files make a task of writing, and at most a folder and so a task of reading.
+FILES = 1000
+
+
 def _stored(files: DataFrame, **options: str) -> DataFrame:
     """Files of ``name`` and ``content``, written to the shared folder and read back as ``audio_files``."""
     spark = files.sparkSession
     audio.register(spark)
     folder = shared_folder(spark, "audio")
-    files.select("name", "content").write.format("audio_files").mode("append").save(folder)
+    # rows pack far better than files: one task's rows can be a million files
+    dealt = files.select("name", "content").repartition(max(1, -(-files.count() // FILES)), "name")
+    dealt.write.format("audio_files").mode("append").save(folder)
     return spark.read.format("audio_files").options(**options).load(folder)
 
 
+def _numbered(first: Column, number: Column) -> Column:
+    """One of eight folders, and in it one that holds at most ``FILES`` different numbers; read with a ``depth`` of 2."""
+    return F.concat(first, (number % 8).cast("string"), F.lit("/"), F.floor(number / (8 * FILES)).cast("string"), F.lit("/"))
+
+
 def _pick(k: Column, choices: list[Column]) -> Column:
     out = F.when(k == 0, choices[0])
     for n, x in enumerate(choices[1:], 1):
@@ -60,8 +71,8 @@ def file_tags(spark, sf_dir):
     ]
     k = F.col("id") % 6
     ending = _pick(k, [F.lit(x) for x in (".wav", ".WAV", ".wav", ".mp3", ".flac", ".mp3")])
-    name = F.concat(F.lit("d"), (F.col("id") % 8).cast("string"), F.lit("/sub/"), F.col("id").cast("string"), ending)
-    found = tags.track_fields(_stored(_parts(spark, sf_dir).select(name.alias("name"), _pick(k, kinds).alias("content"))))
+    name = F.concat(_numbered(F.lit("d"), F.col("id")), F.lit("sub/"), F.col("id").cast("string"), ending)
+    found = tags.track_fields(_stored(_parts(spark, sf_dir).select(name.alias("name"), _pick(k, kinds).alias("content")), depth="2"))
     number = F.regexp_extract("name", r"/([0-9]+)\.[^/]*$", 1).cast("long")
     return found.select(number.alias("id"), "artist", "album", "title", "genre", "year", "seconds")
 
@@ -94,8 +105,8 @@ def file_catalog(spark, sf_dir):
         c.id3(c.text_frame("TIT2", title)),
     ]
     k = F.col("id") % 4
-    name = F.concat((F.col("id") % 8).cast("string"), F.lit("/"), F.col("id").cast("string"), _pick(k, [F.lit(x) for x in (".mp3", ".flac", ".wav", ".mp3")]))
-    found = tags.catalog_fields(_stored(_parts(spark, sf_dir).select(name.alias("name"), _pick(k, kinds).alias("content"))))
+    name = F.concat(_numbered(F.lit(""), F.col("id")), F.col("id").cast("string"), _pick(k, [F.lit(x) for x in (".mp3", ".flac", ".wav", ".mp3")]))
+    found = tags.catalog_fields(_stored(_parts(spark, sf_dir).select(name.alias("name"), _pick(k, kinds).alias("content")), depth="2"))
     return found.select(F.regexp_extract("name", r"/([0-9]+)\.", 1).cast("long").alias("id"), "recording_mbid", "artist_mbids", "original_year", "style")
 
 

@@ -97,3 +97,19 @@ def test_writing_again_leaves_one_file(spark, tmp_path):
     empty = tmp_path / "none"
     rows.limit(0).write.format("audio_files").mode("append").save(str(empty))
     assert not empty.exists() or spark.read.format("audio_files").load(str(empty)).count() == 0
+
+
+def test_tasks_hold_few_files(spark, monkeypatch):
+    """Tasks of writing and of reading grow in number with the files, not in length."""
+    from pyspark.sql import functions as F
+
+    from quaverlake.plans import audio as plans
+
+    monkeypatch.setattr(plans, "FILES", 50)
+    number = F.col("id")
+    name = F.concat(plans._numbered(F.lit("d"), number), number.cast("string"), F.lit(".mp3"))
+    files = spark.range(0, 3000, 1, 1).select(name.alias("name"), F.lit(b"").alias("content"))
+    found = plans._stored(files, depth="2")
+    tasks = found.groupBy(F.spark_partition_id()).count().collect()
+    assert sum(t["count"] for t in tasks) == 3000
+    assert max(t["count"] for t in tasks) <= 50
