@@ -9,6 +9,8 @@ from ..functions import text
 from ..operators import exports
 from .registry import TRACKS, query, table, tracks
 
+#: So many lines are grouped in one task.
+ROWS = 500_000
 ROOT, UNC, PLEX = "M:\\Music Library\\", "\\\\NAS\\music\\", "/data/music/"
 PATHS = """paths AS (SELECT page_id AS id, replace(regexp_replace(url, '^https?://', ''), '?', '') AS tail, page_id % 5 AS k FROM pages),
 local AS (SELECT id, k, tail, CASE k WHEN 0 THEN 'M:\\Music Library Backup\\' WHEN 1 THEN 'D:\\Old\\music library\\' WHEN 2 THEN 'E:\\other\\' ELSE 'm:\\Music Library\\' END || replace(tail, '/', '\\') AS path FROM paths)"""
@@ -82,7 +84,9 @@ def order_check(spark, sf_dir):
 @query("""WITH s AS (SELECT DISTINCT l_orderkey AS k, l_partkey AS item FROM lineitem WHERE l_orderkey % 2 = 0), w AS (SELECT DISTINCT l_orderkey - 1 AS k, l_partkey AS item FROM lineitem WHERE l_orderkey % 2 = 1)
 SELECT k, item, 'add' AS action FROM w ANTI JOIN s USING (k, item) UNION ALL SELECT k, item, 'remove' FROM s ANTI JOIN w USING (k, item)""")
 def playlist_sync(spark, sf_dir):
-    rows = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("k"), F.col("l_partkey").alias("item")).distinct()
+    lines = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("k"), F.col("l_partkey").alias("item"))
+    # dealt before they are made distinct: well packed files hold far more rows a task than one should group
+    rows = lines.repartition(max(1, -(-lines.count() // ROWS)), "k", "item").distinct()
     return exports.changes(rows.where("k % 2 = 1").withColumn("k", F.col("k") - 1), rows.where("k % 2 = 0"), ["k", "item"], prune=True)
 
 

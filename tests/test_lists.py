@@ -166,3 +166,17 @@ def test_key_compatibility_of_all_keys(spark):
     assert all(got[a, b] == got[b, a] for a, b in got)
     assert all(got[k, k] == 1.0 for k in range(24))
     assert sorted(got[0, b] for b in range(24)) == sorted([1.0, 0.8, 0.8, 0.8, 0.4, 0.4] + [0.0] * 18)
+
+
+def test_sync_deals_lines_before_grouping(spark, monkeypatch):
+    """Tasks that make lines distinct grow in number with the lines, however few files hold them."""
+    from conftest import SF
+
+    from quaverlake.plans import exports as plans
+
+    want = sorted(map(tuple, plans.playlist_sync(spark, SF).collect()))
+    monkeypatch.setattr(plans, "ROWS", 700, raising=False)
+    found = plans.playlist_sync(spark, SF)
+    n = spark.read.parquet(f"{SF}/lineitem.parquet").count()
+    assert f"{-(-n // 700)}), REPARTITION_BY_NUM" in found._jdf.queryExecution().executedPlan().toString()
+    assert sorted(map(tuple, found.collect())) == want
