@@ -1,15 +1,19 @@
-"""Connected components by alternating star contraction."""
+"""Connected components: of a small graph in one task, of a larger one by alternating star contraction."""
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import discard, join_dealt, new_folder, saved
 
+#: Links that one task joins at most, in some 200 MB of numpy; more are contracted over Spark.
+ONE_TASK = 1 << 20
+
 
 def forest(nodes: int, links: Iterable[tuple[int, np.ndarray]]) -> list[tuple[int, int]]:
     """Links that keep the connections of all of ``links`` (a node and its neighbours, nearest first).
@@ -53,15 +57,46 @@ def _flatness(edges: DataFrame) -> tuple[int, bool]:
     return total, wrong == 0
 
 
-def connected_components(edges: DataFrame) -> DataFrame:
+def least_nodes(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The nodes of links, and the least node of each one's component."""
+    nodes, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    a, b, label = at[: len(a)], at[len(a) :], np.arange(len(nodes))
+    while True:
+        one, other = label[a], label[b]
+        apart = one != other
+        if not apart.any():
+            return nodes, nodes[label]
+        a, b, one, other = a[apart], b[apart], one[apart], other[apart]
+        np.minimum.at(label, np.maximum(one, other), np.minimum(one, other))
+        while (label[label] != label).any():
+            label = label[label]
+
+
+def _in_one_task(edges: DataFrame) -> DataFrame:
+    def joined(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        frames = list(batches)
+        if frames:
+            node, root = least_nodes(*(np.concatenate([x[c].to_numpy() for x in frames]) for c in "ab"))
+            yield pd.DataFrame({"node": node, "root": root})
+
+    return saved(edges.coalesce(1).mapInPandas(joined, "node long, root long"), "roots")
+
+
+def connected_components(edges: DataFrame, one_task: int = ONE_TASK) -> DataFrame:
     """``node`` and ``root`` (its component's least node) for every node of ``edges`` (``a``, ``b``: long).
 
-    Each contraction is written to the shared folder, and the one before it deleted; a
+    Up to ``one_task`` distinct links are joined in one task: the contractions of a small
+    graph cost the driver more, in plans and their jobs, than the graph has.  Those of a
+    larger one are each written to the shared folder, and the one before it deleted; a
     component of diameter ``d`` takes about ``log d`` rounds.
     """
     spark = edges.sparkSession
     path = new_folder(spark, "edges")
     current = saved(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct(), "edges", path)
+    if current.count() <= one_task:
+        found = _in_one_task(current)
+        discard(spark, path)
+        return found
     while True:
         total, flat = _flatness(current)
         if flat:

@@ -316,9 +316,8 @@ class NearCopies:
         same = [F.first(c).alias(c) for c in ("n", *PARITY, "fps")]
         self.nodes = saved(self.rows.groupBy("node").agg(*same, F.min(F.struct("__id", "__mark")).alias("least"), F.count(F.lit(1)).alias("__rows")), "nodes")
 
-    def with_sides(self, links: DataFrame, side: DataFrame) -> DataFrame:
-        """``links`` with the columns of ``side`` (``node`` and others) for both ends; an end may have most links."""
-        total = links.count()
+    def with_sides(self, links: DataFrame, side: DataFrame, total: int) -> DataFrame:
+        """``links`` (``total``) with the columns of ``side`` (``node`` and others) for both ends; an end may have most links."""
         for end, other in ("ab", "ba"):
             named = side.select(*[F.col(c).alias(end if c == "node" else f"{end}_{c}") for c in side.columns])
             counts = links.groupBy(end).agg(F.count(F.lit(1)).alias("__rows"))
@@ -337,10 +336,13 @@ class NearCopies:
         spark = links.sparkSession
         used = [new_folder(spark, label) for label in ("candidates", "sets")]
         hopeful = saved(links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct(), "candidates", used[0])
+        total = hopeful.count()
+        if total == 0:
+            return hopeful
         sets = self.sets(hopeful.select(F.col("a").alias("node")).unionByName(hopeful.select(F.col("b").alias("node"))), used[1])
         both = F.size(F.array_intersect("a_set", "b_set"))
         either = F.size("a_set") + F.size("b_set") - both
-        found = saved(self.with_sides(hopeful, sets).where(both >= self.similarity * either).select("a", "b"), "links")
+        found = saved(self.with_sides(hopeful, sets, total).where(both >= self.similarity * either).select("a", "b"), "links")
         discard(spark, *used)
         return found
 
@@ -356,8 +358,8 @@ class NearCopies:
         found = join_groups(marks.select("node", "name", *CARRIED), shared, "name", max(1, FAMILIES * self.nodes.count()), F.col("node"))
         return saved(found.where("bucket IS NOT NULL").select("node", "bucket", "size", *CARRIED).distinct(), "members")
 
-    def to_hubs(self, members: DataFrame, turn: int) -> DataFrame:
-        """A link from each node of a bucket to its hub, where their parts differ.
+    def to_hubs(self, members: DataFrame, turn: int, total: int) -> DataFrame:
+        """A link from each node of a bucket to its hub, where their parts differ; ``members`` has at most ``total`` rows.
 
         The first hub is the node whose buckets are the largest, of which most copies
         were made; later ones are any, by a hash of the ``turn``.
@@ -368,16 +370,16 @@ class NearCopies:
         else:
             scored = members.withColumn("score", F.xxhash64("node", F.lit(turn)))
         hubs = scored.groupBy("bucket").agg(F.max(F.struct("score", "node", "part", *CARRIED)).alias("hub"), F.max("size").alias("__rows"))
-        met = join_groups(members, hubs, "bucket", members.count(), F.col("node")).where("part <> hub.part")
+        met = join_groups(members, hubs, "bucket", total, F.col("node")).where("part <> hub.part")
         pairs = met.select(F.col("node").alias("a"), F.col("hub.node").alias("b"), *[F.col(c).alias(f"a_{c}") for c in CARRIED], *[F.col(f"hub.{c}").alias(f"b_{c}") for c in CARRIED])
         return pairs.where(_may_reach(self.similarity)).select("a", "b")
 
-    def apart(self, members: DataFrame, roots: DataFrame) -> DataFrame:
-        """``members`` with their ``part``, of buckets that have several."""
+    def apart(self, members: DataFrame, roots: DataFrame, total: int) -> DataFrame:
+        """``members`` (``total``) with their ``part``, of buckets that have several."""
         parts = roots.select("node", F.col("root").alias("part"))
         found = saved(members.join(parts, "node", "left").withColumn("part", F.coalesce("part", "node")), "parts")
         mixed = found.groupBy("bucket").agg(F.min("part").alias("low"), F.max("part").alias("high"), F.max("size").alias("__rows")).where("low <> high").drop("high")
-        return saved(join_groups(found, mixed, "bucket", found.count(), F.col("node")).where("low IS NOT NULL").drop("low"), "apart")
+        return saved(join_groups(found, mixed, "bucket", total, F.col("node")).where("low IS NOT NULL").drop("low"), "apart")
 
     def across(self, rows: DataFrame, key: str, block: int = 4096) -> DataFrame:
         """Links between ``rows`` (``node``, what it carries, ``part``, ``key``) of one key and different parts, but for those that surely fall below the similarity."""
@@ -458,12 +460,12 @@ def keep_one_per_group(
     copies = NearCopies(ids, shingle, similarity)
     members = copies.buckets(distance, segments, max_bucket)
     # groups so far, as links from nodes to their roots, stand for all links found
-    joined, still = None, members.withColumn("part", F.col("node"))
+    joined, still, total = None, members.withColumn("part", F.col("node")), members.count()
     for turn in range(turns):
-        new = copies.verified(copies.to_hubs(still, turn))
+        new = copies.verified(copies.to_hubs(still, turn, total))
         roots = connected_components(new if joined is None else joined.unionByName(new))
         joined = roots.select(F.col("node").alias("a"), F.col("root").alias("b"))
-        still = copies.apart(members, roots)
+        still = copies.apart(members, roots, total)
         if turn and new.isEmpty() or still.where(F.col("size") > max_bucket).isEmpty():
             break
     few, many = still.where(F.col("size") <= max_bucket), still.where(F.col("size") > max_bucket)
