@@ -82,6 +82,52 @@ def test_nulls_are_left_out(run):
     assert [(p, i, k) for p, i, _, k, _ in run(rows, [report(9, 900, 9, 1, 1)])] == [(1, 5, "played")]
 
 
+class OneValue:
+    """A value state that counts its writes."""
+
+    def __init__(self):
+        self.value, self.writes = None, 0
+
+    def get(self):
+        return self.value
+
+    def update(self, value):
+        self.value, self.writes = value, self.writes + 1
+
+    def clear(self):
+        self.value = None
+
+
+class Handle:
+    """Values and timers of one player; there is no list state."""
+
+    def __init__(self):
+        self.values, self.timers = {}, []
+
+    def getValueState(self, name, schema):
+        return self.values.setdefault(name, OneValue())
+
+    def registerTimer(self, at):
+        self.timers.append(at)
+
+
+def test_waiting_reports_are_one_value():
+    """However many reports of a player come or wait, they are one write; those without an id repeat nothing."""
+    from pyspark.sql import Row
+
+    def rows(ids):
+        return iter([Row(event_id=k, at=1000 * (5 + n), item=7, position=float(n), duration=100.0) for n, k in enumerate(ids)])
+
+    counter, handle = players.PlayCounter(60_000), Handle()
+    counter.init(handle)
+    none = players.NO_ID
+    for ids in (range(500), [*range(400, 600), none, none]):
+        assert list(counter.handleInputRows((1,), rows(ids), None)) == []
+    assert sorted(v.writes for v in handle.values.values()) == [0, 2]
+    assert len(counter._waiting()) == 602
+    assert handle.timers == [5, 5]
+
+
 def plain_queue(rows, heads, size=20, low=5, remembered=100):
     out, state = [], {}
     for r in sorted(rows, key=lambda r: (r.ts, r.event_id)):
