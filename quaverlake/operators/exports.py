@@ -45,28 +45,33 @@ def coverage(paths: DataFrame, path: str, root: str) -> DataFrame:
     return paths.agg(F.count_if(relative(F.col(path), root).isNotNull()).alias("ok"), F.count(F.lit(1)).alias("total"))
 
 
-def copy_plan(items: DataFrame, tree: bool = False) -> DataFrame:
-    """``playlist``, ``ordinal``, ``path`` and the relative ``name`` of each copy, over lists with a ``position``.
+def copy_names(items: DataFrame, tree: bool = False) -> DataFrame:
+    """``items`` with what the names of their copies are made of besides the ordinal: ``folder``, ``stem`` and ``extension``.
 
-    Names carry their ordinal, at least two digits wide, are safe for file systems with
-    few allowed characters, and a name that recurs in its folder gets a number.
+    These depend on the item alone: of a table of items that many lists share, they are made once an item.
     """
-    one = Window.partitionBy("playlist").orderBy("position", "path")
-    rows = items.withColumn("ordinal", F.row_number().over(one)).withColumn("width", F.greatest(F.lit(2), F.length(F.count(F.lit(1)).over(Window.partitionBy("playlist")).cast("string"))))
-    number = F.lpad(F.col("ordinal").cast("string"), F.greatest("width", F.length(F.col("ordinal").cast("string"))), F.lit("0"))
     base = text.basename(F.col("path"))
     extension = F.regexp_replace(F.regexp_extract(base, r"(\.[^.]*)$", 1), r'[<>:"/\\|?*\x00-\x1f]', "_")
     title = F.coalesce(F.nullif(F.col("title"), F.lit("")), F.regexp_replace(base, r"\.[^.]*$", ""))
     if tree:
-        folder = F.concat(text.safe_component(F.col("artist"), "Unknown Artist"), F.lit("/"), text.safe_component(F.coalesce(F.nullif(F.col("album"), F.lit("")), F.lit("Unknown Album")), "Unknown Album"), F.lit("/"))
-        stem = text.safe_component(F.concat_ws(" ", number, title))
+        folder, stem = F.concat(text.safe_component(F.col("artist"), "Unknown Artist"), F.lit("/"), text.safe_component(F.coalesce(F.nullif(F.col("album"), F.lit("")), F.lit("Unknown Album")), "Unknown Album"), F.lit("/")), title
     else:
         label = F.btrim(F.concat(F.coalesce("artist", F.lit("")), F.lit(" - "), title), F.lit(" -"))
-        folder, stem = F.lit(""), F.concat_ws(" ", number, text.safe_component(F.coalesce(F.nullif(label, F.lit("")), title), "track"))
-    named = rows.select("playlist", "ordinal", "path", folder.alias("folder"), stem.alias("stem"), extension.alias("extension"))
-    again = F.row_number().over(Window.partitionBy("playlist", F.lower("folder"), F.lower("stem"), F.lower("extension")).orderBy("ordinal"))
-    suffix = F.when(again > 1, F.concat(F.lit(" ("), again.cast("string"), F.lit(")"))).otherwise("")
-    return named.select("playlist", "ordinal", "path", F.concat("folder", "stem", suffix, "extension").alias("name"))
+        folder, stem = F.lit(""), text.safe_component(F.coalesce(F.nullif(label, F.lit("")), title), "track")
+    return items.withColumns({"folder": folder, "stem": stem, "extension": extension})
+
+
+def copy_plan(items: DataFrame, tree: bool = False) -> DataFrame:
+    """``playlist``, ``ordinal``, ``path`` and the relative ``name`` of each copy, over lists with a ``position``; ``items`` as of ``copy_names``.
+
+    Names begin with their ordinal, at least two digits wide and as wide as the list's
+    length, so that none recurs in a list, and are safe for file systems with few allowed
+    characters.
+    """
+    one = Window.partitionBy("playlist").orderBy("position", "path")
+    rows = items.withColumn("ordinal", F.row_number().over(one)).withColumn("width", F.greatest(F.lit(2), F.length(F.count(F.lit(1)).over(Window.partitionBy("playlist")).cast("string"))))
+    named = F.concat_ws(" ", F.lpad(F.col("ordinal").cast("string"), F.col("width"), F.lit("0")), F.col("stem"))
+    return rows.select("playlist", "ordinal", "path", F.concat("folder", text.safe_component(named) if tree else named, "extension").alias("name"))
 
 
 def in_order(wanted: Column, existing: Column) -> Column:

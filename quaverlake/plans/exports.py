@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import partial
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -41,22 +44,23 @@ def root_coverage(spark, sf_dir):
 LISTED = f"{TRACKS}, items AS (SELECT l_orderkey AS playlist, l_linenumber AS position, artist, title, album, artist || '/' || title || ':' || id || '.mp3' AS path, id FROM lineitem JOIN tracks ON id = l_partkey)"
 
 
-def _listed(spark, sf_dir) -> DataFrame:
+def _listed(spark, sf_dir, made: Callable[[DataFrame], DataFrame] = lambda parts: parts) -> DataFrame:
+    """Lines with their parts, with what ``made`` adds to each part."""
     parts = tracks(spark, sf_dir).select("id", "artist", "title", "album", F.concat("artist", F.lit("/"), "title", F.lit(":"), F.col("id").cast("string"), F.lit(".mp3")).alias("path"))
     lines = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("playlist"), F.col("l_linenumber").alias("position"), F.col("l_partkey").alias("id"))
-    return lines.join(parts, "id")
+    return lines.join(made(parts), "id")
 
 
 @query(f"""WITH {LISTED} SELECT playlist, ordinal::INT AS ordinal, path, lpad(ordinal::VARCHAR, greatest(2, len(count(*) OVER (PARTITION BY playlist)::VARCHAR))::INT, '0') || ' ' || artist || ' - ' || title || '.mp3' AS name
 FROM (SELECT *, row_number() OVER (PARTITION BY playlist ORDER BY position, path) AS ordinal FROM items)""")
 def copy_plan(spark, sf_dir):
-    return exports.copy_plan(_listed(spark, sf_dir))
+    return exports.copy_plan(_listed(spark, sf_dir, exports.copy_names))
 
 
 @query(f"""WITH {LISTED} SELECT playlist, ordinal::INT AS ordinal, path, artist || '/' || album || '/' || lpad(ordinal::VARCHAR, greatest(2, len(count(*) OVER (PARTITION BY playlist)::VARCHAR))::INT, '0') || ' ' || title || '.mp3' AS name
 FROM (SELECT *, row_number() OVER (PARTITION BY playlist ORDER BY position, path) AS ordinal FROM items)""")
 def copy_plan_tree(spark, sf_dir):
-    return exports.copy_plan(_listed(spark, sf_dir), tree=True)
+    return exports.copy_plan(_listed(spark, sf_dir, partial(exports.copy_names, tree=True)), tree=True)
 
 
 PAIRS = """l AS (SELECT l_orderkey AS k, list(DISTINCT l_partkey ORDER BY l_partkey) AS items FROM lineitem GROUP BY 1),
