@@ -392,43 +392,79 @@ class NearCopies:
         met = left.join(right, [key, "block"]).where((F.col("a_part") != F.col("b_part")) & _may_reach(self.similarity))
         return met.select(F.col("a_node").alias("a"), F.col("b_node").alias("b"))
 
-    def by_prefix(self, rows: DataFrame) -> DataFrame:
-        """As ``across`` for all ``rows`` (without a key) at once: sets of the similarity share one of their first members.
-
-        Of a set of ``n`` members in one order, the first ``n - ceil(similarity * n) + 1``
-        hold one of each similar set's, whatever the order.  Members that many sets have
-        come last, so that what all of a large bucket share is not compared; they are
-        counted within batches, the ``COMMON`` commonest of them.
+    def around_hubs(self, members: DataFrame) -> DataFrame:
+        """The nodes of ``members`` (buckets that meet are taken together) but hubs: with their hub, its size and part, and ``delta``, the members that only one of both sets has."""
+        seats = members.groupBy("node").agg(F.sum("size").alias("score"), *[F.first(c).alias(c) for c in ("part", *CARRIED)])
+        meeting = connected_components(members.select(F.col("node").alias("a"), F.col("bucket").alias("b")))
+        rows = saved(seats.join(meeting, "node"), "seats")
+        total, sets = rows.count(), self.sets(rows.select("node"))
+        hubs = rows.groupBy("root").agg(F.max(F.struct("score", "node", "n", "part")).alias("hub"), F.count(F.lit(1)).alias("__rows"))
+        hubs = saved(hubs.select("root", F.col("hub.node").alias("hub"), F.col("hub.n").alias("hub_n"), F.col("hub.part").alias("hub_part"), "__rows"), "hubs")
+        met = join_groups(rows.drop("score"), hubs, "root", total, F.col("node")).drop("root").where("node <> hub").join(sets, "node")
+        hub_sets = hubs.select(F.col("hub").alias("node"), "hub").join(sets, "node").select("hub", F.col("set").alias("hub_set"))
+        met = join_dealt(met, hub_sets, "hub", hubs.select("hub", "__rows"), total, F.col("node"))
+        delta = F.concat(F.array_except("set", "hub_set"), F.array_except("hub_set", "set"))
+        return saved(met.select("node", "part", *CARRIED, "hub", "hub_n", "hub_part", delta.alias("delta")), "deltas")
+
+    def by_deltas(self, members: DataFrame, block: int = 4096) -> DataFrame:
+        """Links that connect all similar ``members`` (of large buckets, with their ``part``) that share a bucket, but for those that surely fall below the similarity.
+
+        Most sets of a large bucket are copies of one, and share nearly all that they have.
+        So each set ``A`` is told by its ``delta``, what it and the hub's set ``H`` do not
+        share: two sets differ as their deltas do.  Similar sets ``A`` and ``B`` differ in
+        at most ``c * (|A| + |B|)`` members, with ``c = (1 - s) / (1 + s)``, so that their
+        deltas share at least ``(|dA| - c * |A| + |dB| - c * |B|) / 2``.  A set that is not
+        similar to ``H`` is far, with ``|d| - c * |A| > c * |H|``; and deltas of similar sets
+        differ in size by no more than the sets differ.  This bounds the overlap from below
+        for one delta alone, and deltas of an overlap of ``o`` share one of the first
+        ``|d| - o + 1`` of each, in any one order; rare members come first here.
+
+        Two sets that are not far are joined by their links to the hub.  Of a pair with one
+        far set, that one lists what any other may share (``list``); of two far ones, both
+        the first about half of that (``short``), as does a set that is not far.  Where two
+        lists meet first, as much must follow in both deltas as they are to share.
         """
-        sets, similarity = self.sets(rows.select("node")), self.similarity
-
-        def counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for batch in batches:
-                found, n = np.unique(np.concatenate(batch["set"].tolist()), return_counts=True)
-                often = (n > 1) & (n * 100 > len(batch))
-                yield pd.DataFrame({"hash": found[often], "n": n[often]})
-
-        common = sets.select("set").mapInPandas(counted, "hash long, n long").groupBy("hash").agg(F.sum("n").alias("n"))
-        # in whole batches here: what is common is told from them
-        common = common.orderBy(F.desc("n"), "hash").limit(COMMON).toArrow()
-        known = [c.to_numpy() for c in common.columns]
+        deltas, similarity = self.around_hubs(members), self.similarity
+        c = (1 - similarity) / (1 + similarity)
+        both, either = ((F.col("n") + F.col("hub_n") + sign * F.size("delta")) / 2 for sign in (-1, 1))
+        near = both >= similarity * either
+        to_hub = deltas.where(near & (F.col("part") != F.col("hub_part"))).select(F.col("node").alias("a"), F.col("hub").alias("b"))
+        counts = deltas.select(F.explode("delta").alias("hash")).groupBy("hash").agg(F.count(F.lit(1)).alias("n"))
+        common = counts.where("n > 1").orderBy(F.desc("n"), "hash").limit(COMMON).toArrow()
+        known = [x.to_numpy() for x in common.columns]
         order = np.argsort(known[0])
-        shared = rows.sparkSession.sparkContext.broadcast((known[0][order], known[1][order]))
+        shared = deltas.sparkSession.sparkContext.broadcast((known[0][order], known[1][order]))
 
         @F.pandas_udf("array<long>")
-        def first(batch: pd.Series) -> pd.Series:
+        def rare_first(batch: pd.Series, most: pd.Series) -> pd.Series:
             hashes, often = shared.value
 
-            def prefix(members: np.ndarray) -> np.ndarray:
-                at = np.minimum(np.searchsorted(hashes, members), max(0, len(hashes) - 1))
-                n = np.where(hashes[at] == members, often[at], 0) if len(hashes) else np.zeros(len(members))
-                return members[np.lexsort((members, n))[: len(members) - int(np.ceil(similarity * len(members) - 1e-6)) + 1]]
-
-            return batch.map(prefix)
-
-        with small_batches(rows.sparkSession):
-            prefixes = saved(sets.select("node", first("set").alias("prefix")).join(rows, "node"), "prefixes")
-        return self.across(prefixes.select("node", "part", *CARRIED, F.explode("prefix").alias("hash")), "hash")
+            def first(delta: np.ndarray, most: int) -> np.ndarray:
+                at = np.minimum(np.searchsorted(hashes, delta), max(0, len(hashes) - 1))
+                n = np.where(hashes[at] == delta, often[at], 0) if len(hashes) else np.zeros(len(delta))
+                return delta[np.lexsort((delta, n))[:most]]
+
+            return pd.Series([first(*x) for x in zip(batch, most, strict=True)], index=batch.index)
+
+        over = F.size("delta") - c * F.col("n")
+        least = over - c * F.col("n") / similarity
+        length = {"short": F.greatest((over + c * F.col("hub_n")) / 2, least), "long": least}
+        length = {k: (F.size("delta") - F.greatest(F.ceil(x - 1e-6), F.lit(1)) + 1).cast("int") for k, x in length.items()}
+        with small_batches(members.sparkSession):
+            listed = deltas.withColumns({"near": near, "first": length["short"], "list": rare_first("delta", F.when(near, length["short"]).otherwise(length["long"]))})
+            listed = listed.select("node", "part", *CARRIED, "hub", "near", "first", over.alias("over"), F.size("delta").alias("size"), F.posexplode("list").alias("at", "hash"))
+            listed = listed.withColumns({"short": F.col("at") < F.col("first"), "onward": F.col("size") - F.col("at"), "key": F.xxhash64("hub", "hash")})
+            rows = saved(listed.select("node", "part", *CARRIED, "near", "short", "over", "onward", "key"), "lists")
+        keys = rows.groupBy("key").agg(F.min("part").alias("low"), F.max("part").alias("high"), F.count_if("short").alias("shorts"), F.count(F.lit(1)).alias("__rows"))
+        keys = saved(keys.where("low <> high AND shorts > 0").select("key", "__rows", F.ceil(F.col("__rows") / block).cast("int").alias("blocks")), "keys")
+        met = saved(join_groups(rows, keys, "key", rows.count(), F.col("node")).where("blocks IS NOT NULL"), "shared")
+        carried = ("node", "part", "near", "short", "over", "onward", *CARRIED)
+        left = met.where("short").select("key", F.pmod(F.xxhash64("node", F.lit(1)), F.col("blocks")).cast("int").alias("block"), *[F.col(x).alias(f"a_{x}") for x in carried])
+        right = met.where("NOT near").select("key", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), *[F.col(x).alias(f"b_{x}") for x in carried])
+        wanted = F.col("a_near") | (F.col("b_short") & (F.col("a_node") < F.col("b_node")))
+        enough = F.least("a_onward", "b_onward") + 1e-6 >= (F.col("a_over") + F.col("b_over")) / 2
+        found = left.join(right, ["key", "block"]).where((F.col("a_part") != F.col("b_part")) & wanted & enough & _may_reach(similarity))
+        return found.select(F.col("a_node").alias("a"), F.col("b_node").alias("b")).unionByName(to_hub)
 
 
 def keep_one_per_group(
@@ -449,8 +485,8 @@ def keep_one_per_group(
     First each text of a bucket of candidates is compared with the bucket's hub, and with
     others in ``turns``, which joins most groups.  Then those that are still apart are
     compared with each other: all of them in a bucket of at most ``max_bucket``; in a larger
-    one, those that share one of their rarest shingles, which loses no pair of the
-    similarity.
+    one, those that share one of the rarest shingles in which they differ from its hub,
+    which loses no pair of the similarity (``by_deltas``).
 
     Rows with a null id stay; rows that repeat an id are told apart by their text, and
     rows that repeat both are one.  Texts of equal shingle sets (by a 64-bit digest) are
@@ -471,7 +507,7 @@ def keep_one_per_group(
     few, many = still.where(F.col("size") <= max_bucket), still.where(F.col("size") > max_bucket)
     more = copies.across(few, "bucket")
     if not many.isEmpty():
-        more = more.unionByName(copies.by_prefix(many.select("node", "part", *CARRIED).distinct()))
+        more = more.unionByName(copies.by_deltas(many))
     roots = connected_components(joined.unionByName(copies.verified(more)))
     keepers = copies.nodes.join(roots, "node", "left").select("node", "__rows", "least", F.coalesce("root", "node").alias("root"))
     best = keepers.groupBy("root").agg(F.min("least").alias("keep"))
