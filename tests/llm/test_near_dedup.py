@@ -66,7 +66,7 @@ def test_copies_far_from_their_hub_make_few_candidates(spark, monkeypatch):
     """Copies share most shingles with all others; those far from the original are told apart by what they changed."""
     rng, made = np.random.default_rng(8), []
     base = [f"w{k}" for k in rng.integers(0, 5000, 300)]
-    rows = [[f"c{c}{w}" if w.startswith("edit") else w for w in edited(base, rng.choice(300, 13, replace=False))] for c in range(200)]
+    rows = [[f"c{c}{w}" if w.startswith("edit") else w for w in edited(base, rng.choice(300, 9, replace=False))] for c in range(200)]
     rows += [edited(words, rng.choice(300, 2, replace=False)) for words in rows[:30]]
     rows += [base[:220], base[:216], base[60:], base[64:], base + [f"n{k}" for k in range(90)], base + [f"n{k}" for k in range(95)]]
     verified = simhash_dedup.NearCopies.verified
